@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import counts, exact, langid, mixing, quality, spm, warc
+from tessera.llm import counts, exact, langid, mixing, quality, spm, substring, warc
 from tessera.llm.common import table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -106,3 +106,23 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_langid": op9_langid}
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substring.remove_repeats(docs)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES |= {"op5_substring_dedup": op5_substring_dedup}
+
+SQL["op5_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM g) WHERE rn > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM r),
+x AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
