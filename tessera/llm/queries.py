@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import counts, exact, langid, mixing, quality, spm, substring, warc
+from tessera.llm import counts, exact, jaccard, langid, mixing, quality, spm, substring, warc
 from tessera.llm.common import table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -126,3 +126,25 @@ k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept, count(*) AS
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+QUERIES |= {"op4_ngram_join": op4_ngram_join}
+
+SQL["op4_ngram_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')))) AS shingles FROM w WHERE len(words) > 0),
+c AS (SELECT min(doc_id) AS c, shingles, len(shingles) AS n FROM s GROUP BY shingles),
+x AS (SELECT c, n, unnest(shingles) AS shingle FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT c AS node, c AS seen FROM c UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component, w.doc_id) AS component_id
+FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN m ON c.c = m.node
+"""
