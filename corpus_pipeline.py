@@ -1,11 +1,16 @@
-"""The corpus pipeline: quality rules and exact duplicates so far."""
+"""The corpus pipeline: quality rules, exact and near duplicates, mixing, and tokens.
+
+Each stage works on all that the one before kept. All but the last return the columns of documents; the last
+adds the token ids of each document's text, their number, and whether they decode to the text again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, quality
+from tessera.llm import exact, jaccard, mixing, quality, spm
 
+#: SQL has no SentencePiece encoding; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -17,7 +22,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup)]
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spm.encode(docs, check=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", ngram_join),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
