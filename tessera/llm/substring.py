@@ -26,15 +26,15 @@ DEPTH, GRAM = 20, 6
 #: A table of ids that repeat of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 _ANCHORS = "anchor long, id__ long, tie__ long, pos int, weight int"
-_SUFFIXES = "prefix long, path long, id__ long, tie__ long, start int, run int"
+_SUFFIXES = "prefix int, path long, id__ long, tie__ long, start int, run int"
 _MARKS = "id__ long, tie__ long, mark long"
 
 
 class _Batch:
     """The words of a batch of texts in one array, with hashes of all windows that lie inside a text."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        self.words = [(t or b"").split() for t in batch.column("text__").cast(pa.binary()).to_pylist()]
+    def __init__(self, batch: pa.RecordBatch, text: str):
+        self.words = [(t or b"").split() for t in batch.column(text).cast(pa.binary()).to_pylist()]
         self.ids = batch.column("id__").to_numpy(zero_copy_only=False)
         self.ties = batch.column("tie__").to_numpy(zero_copy_only=False)
         lengths = np.array([len(w) for w in self.words], dtype=np.int64)
@@ -65,63 +65,72 @@ def _own_key(ids, ties, at) -> np.ndarray:
     return mixed(mixed(ids.view(np.uint64) ^ mixed(ties.view(np.uint64))) + at.astype(np.uint64))
 
 
-def _anchors(batches):
+def _anchors(text: str):
     """Anchors of the texts; of those that a batch holds several times, one with weight 2 and the others under keys of their own."""
-    for b in map(_Batch, batches):
-        at = np.unique(b.anchors)
-        keys = b.grams[at]
-        order = np.argsort(keys, kind="stable")
-        at, keys = at[order], keys[order]
-        head = np.ones(len(keys), dtype=bool)
-        head[1:] = keys[1:] != keys[:-1]
-        several = np.zeros(len(keys), dtype=bool)
-        several[:-1] = ~head[1:]
-        ids, ties, pos = b.place(at)
-        keys = np.where(head, keys, _own_key(ids, ties, pos))
-        weight = np.where(several | ~head, 2, 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(keys), ids, ties, pos, weight)], names=["anchor", "id__", "tie__", "pos", "weight"])
-
-
-def _suffixes(batches):
+
+    def run(batches):
+        for batch in batches:
+            b = _Batch(batch, text)
+            at = np.unique(b.anchors)
+            keys = b.grams[at]
+            order = np.argsort(keys, kind="stable")
+            at, keys = at[order], keys[order]
+            head = np.ones(len(keys), dtype=bool)
+            head[1:] = keys[1:] != keys[:-1]
+            several = np.zeros(len(keys), dtype=bool)
+            several[:-1] = ~head[1:]
+            ids, ties, pos = b.place(at)
+            keys = np.where(head, keys, _own_key(ids, ties, pos))
+            weight = np.where(several | ~head, 2, 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(keys), ids, ties, pos, weight)], names=["anchor", "id__", "tie__", "pos", "weight"])
+
+    return run
+
+
+def _suffixes(text: str):
     """Suffixes at windows of recurring anchors. Those that a batch holds several times: the first, and runs of the others as marks."""
-    for batch in batches:
-        b = _Batch(batch)
-        lists = batch.column("recurring").to_pylist()
-        recurs = np.zeros(len(b.text), dtype=bool)
-        for i, own in enumerate(lists):
-            recurs[np.array(own, dtype=np.int64) + b.first[i]] = True
-        at = b.starts[recurs[b.anchors]]
-        paths = sequence_hashes(b.hashes, DEPTH)
-        path = paths[at] if len(at) else np.empty(0, np.uint64)
-        again = np.zeros(len(b.hashes) + GRAM, dtype=np.int64)
-        again[1 : len(b.hashes)] = b.hashes[1:] == b.hashes[:-1]
-        total = np.concatenate([[0], np.cumsum(again)])
-        flat = total[at + GRAM] - total[at + 1] > 0  # a word follows itself among the first six
-        prefix = np.where(flat, path, b.grams[at]) if len(at) else path
-        ids, ties, pos = b.place(at)
-        order = np.lexsort((pos, ties, ids, path, prefix))
-        at, prefix, path, ids, ties, pos = (x[order] for x in (at, prefix, path, ids, ties, pos))
-        head = np.ones(len(at), dtype=bool)
-        head[1:] = (prefix[1:] != prefix[:-1]) | (path[1:] != path[:-1])
-        marked = np.sort(at[~head])
-        begins = np.concatenate([[True], np.diff(marked) != 1]) if len(marked) else np.empty(0, bool)
-        if len(marked):
-            begins |= np.concatenate([[False], b.text[marked[1:]] != b.text[marked[:-1]]])
-        runs = np.diff(np.concatenate([np.flatnonzero(begins), [len(marked)]]))
-        more = marked[begins] if len(marked) else marked
-        m_ids, m_ties, m_pos = b.place(more)
-        own = _own_key(m_ids, m_ties, m_pos)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(_signed(np.concatenate([prefix[head], own]))),
-                pa.array(_signed(np.concatenate([path[head], mixed(own)]))),
-                pa.array(np.concatenate([ids[head], m_ids])),
-                pa.array(np.concatenate([ties[head], m_ties])),
-                pa.array(np.concatenate([pos[head], m_pos])),
-                pa.array(np.concatenate([np.zeros(int(head.sum()), np.int32), runs[: len(more)].astype(np.int32)])),
-            ],
-            names=["prefix", "path", "id__", "tie__", "start", "run"],
-        )
+
+    def run(batches):
+        for batch in batches:
+            b = _Batch(batch, text)
+            lists = batch.column("recurring").to_pylist()
+            recurs = np.zeros(len(b.text), dtype=bool)
+            for i, own in enumerate(lists):
+                recurs[np.array(own, dtype=np.int64) + b.first[i]] = True
+            at = b.starts[recurs[b.anchors]]
+            paths = sequence_hashes(b.hashes, DEPTH)
+            path = paths[at] if len(at) else np.empty(0, np.uint64)
+            again = np.zeros(len(b.hashes) + GRAM, dtype=np.int64)
+            again[1 : len(b.hashes)] = b.hashes[1:] == b.hashes[:-1]
+            total = np.concatenate([[0], np.cumsum(again)])
+            flat = total[at + GRAM] - total[at + 1] > 0  # a word follows itself among the first six
+            prefix = np.where(flat, path, b.grams[at]) if len(at) else path
+            ids, ties, pos = b.place(at)
+            order = np.lexsort((pos, ties, ids, path, prefix))
+            at, prefix, path, ids, ties, pos = (x[order] for x in (at, prefix, path, ids, ties, pos))
+            head = np.ones(len(at), dtype=bool)
+            head[1:] = (prefix[1:] != prefix[:-1]) | (path[1:] != path[:-1])
+            marked = np.sort(at[~head])
+            begins = np.concatenate([[True], np.diff(marked) != 1]) if len(marked) else np.empty(0, bool)
+            if len(marked):
+                begins |= np.concatenate([[False], b.text[marked[1:]] != b.text[marked[:-1]]])
+            runs = np.diff(np.concatenate([np.flatnonzero(begins), [len(marked)]]))
+            more = marked[begins] if len(marked) else marked
+            m_ids, m_ties, m_pos = b.place(more)
+            own = _own_key(m_ids, m_ties, m_pos)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((np.concatenate([prefix[head], own]) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array(_signed(np.concatenate([path[head], mixed(own)]))),
+                    pa.array(np.concatenate([ids[head], m_ids])),
+                    pa.array(np.concatenate([ties[head], m_ties])),
+                    pa.array(np.concatenate([pos[head], m_pos])),
+                    pa.array(np.concatenate([np.zeros(int(head.sum()), np.int32), runs[: len(more)].astype(np.int32)])),
+                ],
+                names=["prefix", "path", "id__", "tie__", "start", "run"],
+            )
+
+    return run
 
 
 def _walk(batches):
@@ -163,15 +172,16 @@ def _remover(text: str, old: list[str]):
     return run
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with id__, tie__ and text__; tie__ is 0 but for rows whose id repeats, where it is a hash of the text."""
-    own = df.withColumns({"id__": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "text__": F.coalesce(F.col(text_col), F.lit(""))})
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """df with id__ and tie__, and which of them make the key; tie__ is 0 but for rows whose id repeats, where it is a hash of the text."""
+    own = df.withColumns({"id__": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))})
     repeated = cut(own.groupBy("id__").count().filter("count > 1").select(F.col("id__").alias("again__")), "substring-ids")
     n = repeated.count()
     if not n:
-        return own.withColumn("tie__", F.lit(0).cast("long"))
+        return own.withColumn("tie__", F.lit(0).cast("long")), ["id__"]
     joined = own.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, F.col("id__") == F.col("again__"), "left")
-    return joined.withColumn("tie__", F.when(F.col("again__").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text__"))).drop("again__")
+    tie = F.when(F.col("again__").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text_col))
+    return joined.withColumn("tie__", tie).drop("again__"), ["id__", "tie__"]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,19 +194,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new column are replaced.
     """
     small_batches(df.sparkSession)
-    clash = dict(zip(df.columns, fresh(df.limit(0).select(*[F.lit(0).alias(n) for n in ("id__", "tie__", "text__", "again__", "marks", "recurring")]), *df.columns)))
+    clash = dict(zip(df.columns, fresh(df.limit(0).select(*[F.lit(0).alias(n) for n in ("id__", "tie__", "again__", "marks", "recurring")]), *df.columns)))
     safe = df.withColumnsRenamed(clash)
-    docs = _keyed(safe, clash[id_col], clash[text_col])
-    key = ["id__", "tie__"]
-    short = docs.select(*key, "text__")
-    asked = short.mapInArrow(_anchors, _ANCHORS).withColumn("seen", F.sum("weight").over(Window.partitionBy("anchor")))
+    docs, key = _keyed(safe, clash[id_col], clash[text_col])
+    text = clash[text_col]
+    asked = docs.select("id__", "tie__", text).mapInArrow(_anchors(text), _ANCHORS).withColumn("seen", F.sum("weight").over(Window.partitionBy("anchor")))
     recurring = asked.filter("seen > 1").groupBy(*key).agg(F.collect_list("pos").alias("recurring"))
-    suffixes = short.join(recurring, key).mapInArrow(_suffixes, _SUFFIXES)
+    # both joins take all columns of docs, so that they share one exchange of the texts
+    suffixes = docs.join(recurring, key).mapInArrow(_suffixes(text), _SUFFIXES)
     groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_groups = suffixes.repartition(groups, "prefix").sortWithinPartitions("prefix", "path", "id__", "tie__", "start")
     marks = sorted_groups.mapInArrow(_walk, _MARKS).groupBy(*key).agg(F.collect_list("mark").alias("marks"))
     old = [c for c in safe.columns if c.lower() not in {"kept_text", "n_words", "n_removed"}]
     types = [f"`{c}` {t}" for c, t in safe.dtypes if c in old]
-    out = docs.join(marks, key, "left").mapInArrow(_remover("text__", old), ", ".join([*types, "kept_text string, n_words long, n_removed long"]))
+    out = docs.join(marks, key, "left").mapInArrow(_remover(text, old), ", ".join([*types, "kept_text string, n_words long, n_removed long"]))
     back = {v: k for k, v in clash.items() if v in old}
     return out.withColumnsRenamed(back)
