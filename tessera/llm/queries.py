@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import counts, exact, jaccard, langid, mixing, quality, spm, substring, warc
+from tessera.llm import counts, exact, jaccard, langid, mixing, pii, quality, spm, substring, warc
 from tessera.llm.common import table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -148,3 +148,13 @@ m AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
 SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component, w.doc_id) AS component_id
 FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN m ON c.c = m.node
 """
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
+    number = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans")
+    return found.select("doc_id", *[number(k) for k in pii.BASE], "base_sha256", spans)
+
+
+QUERIES |= {"op2_pii": op2_pii}
