@@ -127,7 +127,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(MORE.index(kind)), n, digits / n, letters / n, sum(c.isupper() for c in span) / n, len(set(span)) / n, len(groups), max(groups, default=0), min(groups, default=0),
         float(cue >= 0), float(len(before) - cue if cue >= 0 else 99), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip().endswith(("=", ":", '="', "='", ': "'))),
         float(before[-1:] in "\"'" and bool(before)), sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:])) / n, float(kind == "iban" and _checked_iban(span)),
-        float(span[:3] in ("000", "666") or span[:1] == "9"), float("dot" in span.lower()), float(bool(re.search(r"[0-9]", after[:3]))),
+        float(span[:3] in ("000", "666") or span[:1] == "9"), float("dot" in span.lower()), float("(" in span or "[" in span), float(bool(re.search(r"[0-9]", after[:3]))),
     ]
 
 
@@ -171,8 +171,8 @@ def _example(rnd: random.Random, kind: str, good: bool) -> tuple[str, str]:
 def trained() -> tuple[gbt.Boosted, dict[str, float]]:
     """The model and the threshold of each kind; a seeded rule writes the examples, so that every run gets the same."""
     rnd, rows, labels, kinds = random.Random(17), [], [], []
-    for i in range(2 * EXAMPLES * len(MORE)):
-        kind, good = MORE[i % len(MORE)], rnd.random() < 0.5
+    for _ in range(2 * EXAMPLES * len(MORE)):
+        kind, good = rnd.choice(MORE), rnd.random() < 0.5
         before, span = _example(rnd, kind, good)
         after = '" ' if before.endswith('"') else "' " if before.endswith("'") else rnd.choice([" ", ". ", " and "])
         filler = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(30))
