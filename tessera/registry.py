@@ -1,6 +1,27 @@
-"""All queries of the engine by name, with their SQL."""
+"""All queries of the engine by name, with their SQL for an independent engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its own name, with equivalent SQL if there is any."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    from tessera.plans import candidates, evaluation, features, rows, texts  # noqa: F401
+
+
+load()
