@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.ship import ship
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -49,6 +51,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id:
 
     Queries go out in blocks; each block meets each partition of the rows once, which keeps k rows per query.
     """
+    ship(queries.sparkSession)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     blocks = q.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / BLOCK)).groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
     out = None

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.ship import ship
+
 
 def _tokens(text: str) -> list[str]:
     return text.lower().split()
@@ -50,6 +52,7 @@ def diverse_select(options: DataFrame, key: str, run: str, text: str, trials: in
     Each trial is a fold over all keys in a seeded order, so a trial is one group; trials run beside each other. The
     number of keys is a submission's rows.
     """
+    ship(options.sparkSession)
     own = options.select(F.col(key).alias("key"), F.col(run).alias("run"), F.col(text).alias("text"))
     spread = own.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
 
@@ -68,6 +71,7 @@ def diverse_select(options: DataFrame, key: str, run: str, text: str, trials: in
 
 def generate(prompts: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], batch: int = 32) -> DataFrame:
     """prompts with response, by a model that maps a list of prompts to texts; it is loaded on the executors."""
+    ship(prompts.sparkSession)
     types = ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,6 +86,7 @@ def generate(prompts: DataFrame, prompt: str, model: Callable[[list[str]], list[
 
 def encode(texts: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
     """texts with vector, by an encoder that maps texts to vectors."""
+    ship(texts.sparkSession)
     types = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

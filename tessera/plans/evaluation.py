@@ -1 +1,166 @@
-"""placeholder"""
+"""Queries of the evaluation: recall, precision, nDCG, complementarity, errors, ablations, and the checks of predictions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import evaluate as ev
+from tessera.operators import rerank, union
+from tessera.operators.turns import ROW
+from tessera.plans import fixtures as fx
+from tessera.plans.candidates import NAMES, _cooc, _transition, history_album, long
+from tessera.plans.fixtures import q, sql
+from tessera.registry import query
+from tessera.sources import tables
+
+
+def _ranks(spark, d):
+    return ev.gold_ranks(fx.golds(spark, d), _cooc(spark, d))
+
+
+def _hit(k):
+    return "(rank IS NOT NULL)::INT" if k is None else f"coalesce((rank <= {k})::INT, 0)"
+
+
+_RECALL = ", ".join(f"{q(f'avg({_hit(k)})', '1e6')} AS recall_{k or 'all'}" for k in (1, 5, 10, 20, None))
+
+
+@query(sql("ranks", f"SELECT 'overall' AS \"group\", {_RECALL} FROM ranks UNION ALL SELECT split, {_RECALL} FROM ranks GROUP BY split"))
+def recall_at_k(spark, d):
+    return ev.recall(_ranks(spark, d), (1, 5, 10, 20, None), "split")
+
+
+@query(sql("ranks", ", ".join(["SELECT " + f"{q(f'sum({_hit(k)}) / sum({e})', '1e6')} AS micro_{k or 'all'}, {q(f'avg(coalesce({_hit(k)}::DOUBLE / nullif({e}, 0), 0))', '1e6')} AS macro_{k or 'all'}, sum({e})::BIGINT AS emitted_{k or 'all'}" for k, e in ((5, 'least(n, 5)'), (None, 'n'))]).replace(", SELECT", ",") + " FROM ranks"))
+def precision_micro(spark, d):
+    return ev.precision(_ranks(spark, d), (5, None))
+
+
+@query(sql("ranks", f"SELECT {q('avg(n)', '1e6')} AS mean_n, quantile_cont(n, 0.5) AS median_n, {q('quantile_cont(n, 0.9)', '1e6')} AS p90_n, {q('avg((n > 0)::INT)', '1e6')} AS non_empty FROM ranks"))
+def candidate_size_stats(spark, d):
+    return ev.sizes(_ranks(spark, d))
+
+
+_DISC = "CASE WHEN rank <= {k} THEN d ELSE 0 END"
+
+
+@query(sql("disc", "SELECT " + ", ".join(f"{q('avg(' + _DISC.format(k=k) + ')', '1e6')} AS ndcg_{k}" for k in (1, 10, 20)) + " FROM disc"))
+def ndcg_row_mean(spark, d):
+    return ev.ndcg(_ranks(spark, d))
+
+
+@query(sql("disc", "SELECT " + ", ".join(f"{q(f'avg(n{k})', '1e6')} AS ndcg_{k}" for k in (1, 10, 20)) + " FROM (SELECT turn, " + ", ".join(f"avg({_DISC.format(k=k)}) AS n{k}" for k in (1, 10, 20)) + " FROM disc GROUP BY turn)"))
+def ndcg_turn_balanced(spark, d):
+    return ev.ndcg_balanced(_ranks(spark, d))
+
+
+_TIES = """WITH p AS (SELECT *, rank() OVER (PARTITION BY source, session_id, turn ORDER BY score DESC) AS start, count(*) OVER (PARTITION BY source, session_id, turn, score) AS ties FROM long),
+    h AS (SELECT p.source, p.start, p.ties, CASE WHEN start > 20 THEN 0 ELSE list_sum(list_transform(range(start, least(start + ties - 1, 20) + 1), lambda r: 1.0::DOUBLE / log2(r + 1))) / ties END AS gain FROM p JOIN golds g ON g.session_id = p.session_id AND g.turn = p.turn AND g.gold = p.track_id)"""
+
+
+@query(sql("long golds", f"{_TIES} SELECT s.source, {q('coalesce(sum(gain), 0) / (SELECT count(*) FROM golds)', '1e6')} AS ndcg FROM (SELECT DISTINCT source FROM long) s LEFT JOIN h ON h.source = s.source GROUP BY s.source"))
+def tie_aware_ndcg(spark, d):
+    return ev.tie_aware_ndcg(long(spark, d), fx.golds(spark, d))
+
+
+_MASKS = "m AS (SELECT g.session_id, g.turn, " + ", ".join(f"coalesce(max((l.source = '{n}')::INT), 0) AS \"{n}\"" for n in NAMES) + " FROM golds g LEFT JOIN long l ON l.session_id = g.session_id AND l.turn = g.turn AND l.track_id = g.gold GROUP BY ALL)"
+
+
+def _loo(groups):
+    every = sorted({n for g in groups.values() for n in g})
+    quoted = lambda names: "greatest(0, 0" + "".join(f', "{n}"' for n in names) + ")"
+    out = []
+    for name, own in groups.items():
+        rest = [n for n in every if n not in own]
+        out.append(f"SELECT '{name}' AS name, {q(f'avg({quoted(own)})', '1e6')} AS recall, sum({quoted(own)} * (1 - {quoted(rest)}))::BIGINT AS unique_hits, {q(f'avg({quoted(every)}) - avg({quoted(rest)})', '1e6')} AS delta FROM m")
+    return sql("long golds", f"WITH {_MASKS} " + " UNION ALL ".join(out))
+
+
+_SINGLE = {n: [n] for n in NAMES}
+_FAMILY = {"behavioural": ["cooc", "transition"], "entity": ["album"]}
+
+
+@query(_loo(_SINGLE))
+def leave_one_out(spark, d):
+    return ev.leave_one_out(ev.hit_masks(long(spark, d), fx.golds(spark, d), NAMES), _SINGLE)
+
+
+@query(_loo(_FAMILY))
+def family_complementarity(spark, d):
+    return ev.leave_one_out(ev.hit_masks(long(spark, d), fx.golds(spark, d), NAMES), _FAMILY)
+
+
+_UNION = "u AS (SELECT session_id, turn, track_id, row_number() OVER (PARTITION BY session_id, turn ORDER BY a.position, a.rank, track_id) AS place FROM (SELECT session_id, turn, track_id, min({'position': position, 'rank': rank}) AS a FROM long GROUP BY ALL)), ur AS (SELECT g.session_id, g.turn, min(CASE WHEN u.track_id = g.gold THEN place END) AS pool FROM golds g LEFT JOIN u ON u.session_id = g.session_id AND u.turn = g.turn GROUP BY ALL)"
+
+
+@query(sql("long ranks", f"""WITH {_UNION}, j AS (SELECT r.rank, ur.pool, coalesce(r.rank <= 5, FALSE) AS placed, CASE WHEN r.rank <= 5 THEN 1.0 / log2(r.rank + 1) ELSE 0 END AS g FROM ranks r JOIN ur USING (session_id, turn))
+    SELECT {q('avg((pool IS NULL)::INT)', '1e6')} AS retrieval_miss, {q('avg((pool IS NOT NULL AND NOT placed)::INT)', '1e6')} AS rerank_miss, {q('avg(CASE WHEN placed THEN 1.0 - g ELSE 0 END)', '1e6')} AS ordering_loss, {q('avg(g)', '1e6')} AS ndcg FROM j"""))
+def error_decomposition(spark, d):
+    pool = ev.gold_ranks(fx.golds(spark, d), union.ordered_union(long(spark, d)), rank="place")
+    return ev.error_parts(pool, _ranks(spark, d), 5)
+
+
+_ROOT = "WITH a AS (SELECT g.session_id, g.turn, max((l.track_id = g.gold)::INT) AS w, max((l.track_id = g.gold AND l.source <> 'transition')::INT) AS o FROM golds g LEFT JOIN long l ON l.session_id = g.session_id AND l.turn = g.turn GROUP BY ALL)"
+
+
+@query(sql("long golds", f"{_ROOT} SELECT {q(q('avg(coalesce(w, 0))', '1e6') + ' - ' + q('avg(coalesce(o, 0))', '1e6'), '1e6')} AS delta_recall_all FROM a"))
+def ablation_delta(spark, d):
+    every, golds = long(spark, d), fx.golds(spark, d)
+    report = lambda df: ev.recall(ev.gold_ranks(golds, union.ordered_union(df), rank="place"), (None,))
+    return ev.ablation(report(every), report(every.filter("source <> 'transition'")))
+
+
+# -- responses and predictions ------------------------------------------------------------------------
+
+_SPLIT = r"string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')"
+_GRAMS = f"WITH t AS (SELECT list_filter({_SPLIT}, lambda x: x <> '') AS t FROM conversations WHERE role = 'assistant'), g AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM t)"
+
+
+@query(f"{_GRAMS} SELECT {q('count(DISTINCT g) / count(*)', '1e6')} AS distinct_2 FROM g")
+def distinct2(spark, d):
+    return ev.distinct_n(tables.scan(spark, d, "conversations").filter("role = 'assistant'"), "text", 2)
+
+
+@query(sql("cooc_top", f"SELECT {q('count(DISTINCT track_id) / (SELECT count(*) FROM part)', '1e6')} AS diversity FROM cooc_top"))
+def catalog_diversity(spark, d):
+    return ev.catalog_diversity(_cooc(spark, d), fx.catalog(spark, d))
+
+
+@query(sql("disc cooc_top", f"""{_GRAMS}, x AS (SELECT (SELECT {q('avg(' + _DISC.format(k=20) + ')', '1e6')} FROM disc) AS n, (SELECT {q('count(DISTINCT track_id) / (SELECT count(*) FROM part)', '1e6')} FROM cooc_top) AS c, (SELECT {q('count(DISTINCT g) / count(*)', '1e6')} FROM g) AS s)
+    SELECT {q('0.0 + 0.5::DOUBLE * n + 0.1::DOUBLE * c + 0.1::DOUBLE * s + 0.3::DOUBLE * ((4.0::DOUBLE - 1) / 4)', '1e6')} AS composite FROM x"""))
+def composite_score(spark, d):
+    both = ndcg_row_mean(spark, d).join(F.broadcast(catalog_diversity(spark, d))).join(F.broadcast(distinct2(spark, d)))
+    return both.select(ev.composite(F.col("ndcg_20"), F.col("diversity"), F.col("distinct_2"), F.lit(4.0)).alias("composite"))
+
+
+def _predictions(spark, d):
+    lists = tables.top_lists(_transition(spark, d))
+    users = tables.scan(spark, d, "orders", ["o_orderkey", "o_custkey"]).select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"))
+    own = lists.join(users, "session_id").select("session_id", "user_id", F.col("turn").alias("turn_number"), F.col("tracks").alias("predicted_track_ids"), F.lit("ok").alias("predicted_response"))
+    target = fx.golds(spark, d).join(users, "session_id").select("session_id", F.col("turn").alias("turn_number"), "user_id")
+    return own, target
+
+
+@query(sql("trans_top golds", """SELECT session_id, turn AS turn_number, 'wrong number of tracks' AS fault FROM trans_top GROUP BY ALL HAVING count(*) <> 20
+    UNION ALL SELECT session_id, turn, 'missing' FROM golds g WHERE NOT EXISTS (SELECT 1 FROM trans_top t WHERE t.session_id = g.session_id AND t.turn = g.turn)"""))
+def validate_top20(spark, d):
+    own, target = _predictions(spark, d)
+    return tables.prediction_faults(own, target, fx.catalog(spark, d))
+
+
+@query(sql("trans_top", "SELECT session_id, turn, list(track_id ORDER BY rank) AS tracks FROM trans_top GROUP BY ALL"))
+def top20_lists(spark, d):
+    return tables.top_lists(_transition(spark, d))
+
+
+@query(sql("album_top trans_top", """SELECT session_id, turn, track_id, row_number() OVER (PARTITION BY session_id, turn ORDER BY position, rank) AS place FROM (SELECT session_id, turn, track_id, 0 AS position, rank FROM album_top UNION ALL SELECT session_id, turn, track_id, 1, rank FROM trans_top)
+    QUALIFY row_number() OVER (PARTITION BY session_id, turn, track_id ORDER BY position, rank) = 1""").replace("SELECT session_id, turn, track_id, row_number() OVER (PARTITION BY session_id, turn ORDER BY position, rank) AS place FROM (", "SELECT session_id, turn, track_id, row_number() OVER (PARTITION BY session_id, turn ORDER BY position, rank) AS place FROM (SELECT * FROM (", 1) + ")")
+def source_override(spark, d):
+    """The union of two sources, the first replaced by the albums of the history."""
+    sources = union.override({"first": _cooc(spark, d), "second": _transition(spark, d)}, "first", history_album(spark, d))
+    return union.ordered_union(union.gather(sources))
+
+
+@query(sql("trans_top", "SELECT session_id, turn, track_id, rank FROM trans_top WHERE rank <= 5"))
+def emit_top(spark, d):
+    """The first five of each row: a limit per row, by the score and then the track."""
+    return rerank.ranked(_transition(spark, d).select(*ROW, "track_id", F.col("score").cast("double").alias("score")), 5).select(*ROW, "track_id", "rank")

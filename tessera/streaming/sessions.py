@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.ship import ship
+
 
 def windowed_counts(events: DataFrame, ts: str, item: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, end, item, n) per window; events later than `late` are left out."""
@@ -32,5 +34,6 @@ def transitions(events: DataFrame, user: str, item: str, order: str) -> DataFram
         state.update((str(items[-1]),))
         yield pd.DataFrame({"user": [key[0]] * (len(items) - 1), "a": items[:-1], "b": items[1:]})
 
+    ship(events.sparkSession)
     keyed = events.select(F.col(user).cast("string").alias(user), F.col(item).cast("string").alias(item), order)
     return keyed.groupBy(user).applyInPandasWithState(step, "user string, a string, b string", "last string", "append", GroupStateTimeout.NoTimeout)
