@@ -19,9 +19,3 @@ def query(sql: str | None = None, name: str | None = None):
 
     return register
 
-
-def load() -> None:
-    from tessera.plans import candidates, evaluation, features, rows, texts  # noqa: F401
-
-
-load()
