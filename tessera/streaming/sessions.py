@@ -14,13 +14,13 @@ from tessera.ship import ship
 
 def windowed_counts(events: DataFrame, ts: str, item: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, end, item, n) per window; events later than `late` are left out."""
-    own = events.withWatermark(ts, late).groupBy(F.window(ts, window), item).agg(F.count(F.lit(1)).alias("n"))
+    own = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window), item).agg(F.count(F.lit(1)).alias("n"))
     return own.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), item, "n")
 
 
 def sessions(events: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user, start, end, n): events of a user with no longer gap between them."""
-    own = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), user).agg(F.count(F.lit(1)).alias("n"))
+    own = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.session_window(ts, gap), user).agg(F.count(F.lit(1)).alias("n"))
     return own.select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
