@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,28 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_PATHS: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more; others are left alone."""
+    for t in tables:
+        ref, path = _PATHS.pop(id(t), (None, None))
+        if ref is not None and ref() is t:
+            jvm = t.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -66,25 +88,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for as many words as fit under a limit."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -92,6 +95,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_AS_IS = mixed(np.arange(1, 257, dtype=np.uint64))
+_FOLDED = _AS_IS.copy()
+_FOLDED[ord("A") : ord("Z") + 1] = _AS_IS[ord("a") : ord("z") + 1]
+_BASE, _CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = max(_CHUNK, n)
+    if size not in _POWERS:
+        ones = np.ones(size, dtype=np.uint64)
+        both = []
+        for base in (_BASE, _INVERSE):
+            ones[1:] = base
+            both.append(np.multiply.accumulate(ones))
+        if size > _CHUNK:
+            return both[0], both[1]
+        _POWERS[size] = (both[0], both[1])
+    return _POWERS[size]
+
+
+def _hash_words(data: np.ndarray, folded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words in a run of bytes, all at once: differences of a running polynomial."""
+    inside = np.concatenate([[False], ~_SPACES[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(data) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((_FOLDED if folded else _AS_IS)[data] * up[: len(data)], dtype=np.uint64)])
+    return starts, mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes | None], folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and the hashes of all words in order; folded: A-Z count as a-z.
+
+    Bytes are hashed about a megabyte at a time, cut at white space, so that memory does not grow with a text.
+    """
+    texts = [t or b"" for t in texts]
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = min(at + _CHUNK, len(data))
+        if end < len(data):
+            gaps = np.flatnonzero(_SPACES[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # one word fills the chunk: on to its end
+                while not _SPACES[data[end - 1]]:
+                    more = np.flatnonzero(_SPACES[data[end : end + _CHUNK]])
+                    end = end + int(more[0]) + 1 if len(more) else min(end + _CHUNK, len(data))
+        s, h = _hash_words(data[at:end], folded)
+        starts.append(s + at)
+        hashes.append(h)
+        at = end
+    every = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    bounds = np.searchsorted(every, np.concatenate([[0], np.cumsum(sizes)]))
+    return np.diff(bounds), np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+
+
 def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive word hashes, by doubling; len(h) - n + 1 of them."""
     if len(h) < n:

@@ -26,7 +26,7 @@ DEPTH, GRAM = 20, 6
 #: A table of ids that repeat of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 _ANCHORS = "anchor long, id__ long, tie__ long, pos int, weight int"
-_SUFFIXES = "prefix int, path long, id__ long, tie__ long, start int, run int"
+_SUFFIXES = "group int, prefix array<smallint>, path array<long>, id__ array<long>, tie__ array<long>, start array<int>, run array<int>"
 _MARKS = "id__ long, tie__ long, mark long"
 
 
@@ -34,13 +34,11 @@ class _Batch:
     """The words of a batch of texts in one array, with hashes of all windows that lie inside a text."""
 
     def __init__(self, batch: pa.RecordBatch, text: str):
-        self.words = [(t or b"").split() for t in batch.column(text).cast(pa.binary()).to_pylist()]
+        lengths, self.hashes = word_hashes(batch.column(text).cast(pa.binary()).to_pylist())
         self.ids = batch.column("id__").to_numpy(zero_copy_only=False)
         self.ties = batch.column("tie__").to_numpy(zero_copy_only=False)
-        lengths = np.array([len(w) for w in self.words], dtype=np.int64)
         self.first = np.cumsum(lengths) - lengths
         self.text = np.repeat(np.arange(len(lengths)), lengths)
-        self.hashes = np.concatenate([word_hashes(w) for w in self.words]) if len(self.text) else np.empty(0, np.uint64)
         self.grams = sequence_hashes(self.hashes, GRAM)
         n = max(0, len(self.hashes) - DEPTH + 1)
         if n:
@@ -82,13 +80,18 @@ def _anchors(text: str):
             ids, ties, pos = b.place(at)
             keys = np.where(head, keys, _own_key(ids, ties, pos))
             weight = np.where(several | ~head, 2, 1).astype(np.int32)
+            back = np.argsort(at)  # in the texts' order, which compresses better
+            keys, ids, ties, pos, weight = (x[back] for x in (keys, ids, ties, pos, weight))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(keys), ids, ties, pos, weight)], names=["anchor", "id__", "tie__", "pos", "weight"])
 
     return run
 
 
-def _suffixes(text: str):
-    """Suffixes at windows of recurring anchors. Those that a batch holds several times: the first, and runs of the others as marks."""
+def _suffixes(text: str, groups: int):
+    """Suffixes at windows of recurring anchors. Those that a batch holds several times: the first, and runs of the others as marks.
+
+    A batch makes one row for each group that it has suffixes of, with the suffixes in arrays, which take fewer bytes than rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -117,18 +120,20 @@ def _suffixes(text: str):
             runs = np.diff(np.concatenate([np.flatnonzero(begins), [len(marked)]]))
             more = marked[begins] if len(marked) else marked
             m_ids, m_ties, m_pos = b.place(more)
+            back = np.argsort(at[head])  # in the texts' order, which compresses better
+            prefix, path, ids, ties, pos = (x[head][back] for x in (prefix, path, ids, ties, pos))
             own = _own_key(m_ids, m_ties, m_pos)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((np.concatenate([prefix[head], own]) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(_signed(np.concatenate([path[head], mixed(own)]))),
-                    pa.array(np.concatenate([ids[head], m_ids])),
-                    pa.array(np.concatenate([ties[head], m_ties])),
-                    pa.array(np.concatenate([pos[head], m_pos])),
-                    pa.array(np.concatenate([np.zeros(int(head.sum()), np.int32), runs[: len(more)].astype(np.int32)])),
-                ],
-                names=["prefix", "path", "id__", "tie__", "start", "run"],
-            )
+            key = (np.concatenate([prefix, own]) >> np.uint64(48)).astype(np.uint16)
+            columns = {
+                "prefix": key.view(np.int16), "path": _signed(np.concatenate([path, mixed(own)])), "id__": np.concatenate([ids, m_ids]), "tie__": np.concatenate([ties, m_ties]),
+                "start": np.concatenate([pos, m_pos]), "run": np.concatenate([np.zeros(len(path), np.int32), runs[: len(more)].astype(np.int32)]),
+            }
+            group = key.astype(np.int64) % groups
+            order = np.argsort(group, kind="stable")
+            found, begin = np.unique(group[order], return_index=True)
+            offsets = pa.array(np.concatenate([begin, [len(order)]]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in columns.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *lists], names=["group", *columns])
 
     return run
 
@@ -201,9 +206,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = docs.select("id__", "tie__", text).mapInArrow(_anchors(text), _ANCHORS).withColumn("seen", F.sum("weight").over(Window.partitionBy("anchor")))
     recurring = asked.filter("seen > 1").groupBy(*key).agg(F.collect_list("pos").alias("recurring"))
     # both joins take all columns of docs, so that they share one exchange of the texts
-    suffixes = docs.join(recurring, key).mapInArrow(_suffixes(text), _SUFFIXES)
-    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_groups = suffixes.repartition(groups, "prefix").sortWithinPartitions("prefix", "path", "id__", "tie__", "start")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = docs.join(recurring, key).mapInArrow(_suffixes(text, 4 * parts), _SUFFIXES)
+    dealt = suffixes.repartition(parts, "group").select(F.inline(F.arrays_zip("prefix", "path", "id__", "tie__", "start", "run")))
+    sorted_groups = dealt.sortWithinPartitions("prefix", "path", "id__", "tie__", "start")
     marks = sorted_groups.mapInArrow(_walk, _MARKS).groupBy(*key).agg(F.collect_list("mark").alias("marks"))
     old = [c for c in safe.columns if c.lower() not in {"kept_text", "n_words", "n_removed"}]
     types = [f"`{c}` {t}" for c, t in safe.dtypes if c in old]
