@@ -21,7 +21,7 @@ _BITS = 22
 class Counter(dict):
     """Number of tokens of a chunk, remembered for as many chunks as fit under a limit."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, model: Model):
         super().__init__()

@@ -97,6 +97,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 
     Counts are summed on the executors; per language the most frequent n-grams come to the driver.
     """
+    small_batches(df.sparkSession)
     labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     n = labelled.count()
     share = 1.0 if n <= rows else rows / n
@@ -134,7 +135,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 def best_paths(emissions: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """The best language of each word of each text. Texts of similar length advance together; ties go to the first language and to staying."""
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(emissions)
-    order = sorted((i for i in range(len(emissions)) if len(emissions[i])), key=lambda i: len(emissions[i]))
+    order = sorted((i for i in range(len(emissions)) if emissions[i].size), key=lambda i: len(emissions[i]))
     while order:
         own = order[-256:] if len(emissions[order[-1]]) < 4000 else order[-16:]
         del order[-len(own) :]
@@ -170,7 +171,7 @@ def _advance(emissions, own, switch, out) -> None:
 class Labeller:
     """Labels texts; remembers the scores of words up to a limit."""
 
-    LIMIT = 300_000
+    LIMIT = 250_000
 
     def __init__(self, model: Languages):
         self.model, self.known, self.table = model, {}, np.zeros((0, len(model.names)), dtype=np.float32)

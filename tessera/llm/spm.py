@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.llm.common import fresh
+from tessera.ship import ship
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: kinds of model, kinds of piece, the mark for a space, the penalty of unknown characters.
@@ -80,6 +81,7 @@ class Model:
     byte_fallback: bool = False
     ids: dict[str, int] = field(init=False)
     pairs: dict[int, bool] = field(init=False, default_factory=dict)
+    known: tuple[np.ndarray, np.ndarray] = field(init=False, default=(np.empty(0, np.int64), np.empty(0, bool)))  #: tested pairs, sorted
 
     def __post_init__(self):
         if set(self.kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE}:
@@ -149,12 +151,15 @@ class Model:
         """Whether two symbols, packed into one number, stay as they are when their joint text is merged."""
         known = self.pairs.get(pair)
         if known is None:
-            a, b = self.text_of(pair >> _BITS), self.text_of(pair & ((1 << _BITS) - 1))
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= 1_000_000:
                 self.pairs.clear()
-            known = self.pairs[pair] = self.merge(a + b) == ([a, b] if a else [b])
+            known = self.pairs[pair] = self.tested(pair)
         return known
 
+    def tested(self, pair: int) -> bool:
+        a, b = self.text_of(pair >> _BITS), self.text_of(pair & ((1 << _BITS) - 1))
+        return self.merge(a + b) == ([a, b] if a else [b])
+
     # -- chunks ----------------------------------------------------------------------------------------
 
     def chunks(self, text: str) -> list[str]:
@@ -164,8 +169,6 @@ class Model:
 
     def output(self, symbols: list[int]) -> list[int]:
         """Identifiers of symbols: unknown characters become their bytes, or one unknown piece for each run."""
-        if not symbols or max(symbols) < self.n:
-            return symbols
         out: list[int] = []
         unknown = False
         for s in symbols:
@@ -178,28 +181,30 @@ class Model:
             unknown = s >= self.n
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Identifiers of each chunk; chunks of one length are searched together."""
-        out: list[list[int]] = [[]] * len(chunks)
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of identifiers of each chunk, and all identifiers in order; chunks of one length are searched together."""
         by: dict[int, list[int]] = {}
         for i, c in enumerate(chunks):
             by.setdefault(len(c), []).append(i)
+        counts, parts = np.zeros(len(chunks), dtype=np.int64), []
         for length, own in by.items():
             step = max(1, 2_000_000 // (length * self.longest))
             for k in range(0, len(own), step):
-                part = own[k : k + step]
-                for i, symbols in zip(part, self._search([chunks[i] for i in part], length)):
-                    out[i] = self.output(symbols)
-        return out
-
-    def _search(self, chunks: list[str], length: int) -> list[list[int]]:
+                part = np.array(own[k : k + step])
+                counts[part], flat = self._search([chunks[i] for i in part], length)
+                parts.append((part, flat))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), dtype=np.int32)
+        for part, flat in parts:
+            n = counts[part]
+            out[np.arange(len(flat)) + np.repeat(starts[part] - (np.cumsum(n) - n), n)] = flat
+        return counts, out
+
+    def _search(self, chunks: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(chunks), length)
         found = self._probe(points.astype(np.uint64))
         single = points.astype(np.int64) + (self.n + 1)
-        if 1 in found:
-            found[1] = np.where(found[1] >= 0, found[1], single)
-        else:
-            found[1] = single
+        found[1] = np.where(found[1] >= 0, found[1], single) if 1 in found else single
         rows = np.arange(len(chunks))
         last = np.full((len(chunks), length + 1), -1, dtype=np.int64)
         back = np.zeros((len(chunks), length + 1), dtype=np.int32)
@@ -219,16 +224,24 @@ class Model:
             score[:, end] = value[rows, best]
             last[:, end] = np.where(np.isneginf(score[:, end]), -1, pieces[rows, best])
             back[:, end] = before[best]
-        out = []
-        for r, (chunk, own, prev) in enumerate(zip(chunks, last.tolist(), back.tolist())):
-            symbols, end = [], length
-            while end and own[end] >= 0:
-                symbols.append(own[end])
-                end = prev[end]
-            if end:  # never seen: merging decides
-                symbols = [self.ids.get(s, self.n + 1 + ord(s[0])) for s in self.merge(chunk)][::-1]
-            out.append(symbols[::-1])
-        return out
+        # all chunks walk back together, a piece at a time
+        columns, at = [], np.full(len(chunks), length)
+        while at.any():
+            columns.append(np.where(at > 0, last[rows, at], -2))  # -2: this chunk is done
+            at = np.where(at > 0, back[rows, at], 0)
+        symbols = np.stack(columns[::-1], axis=1)
+        odd = np.flatnonzero((symbols >= self.n).any(axis=1) | (symbols == -1).any(axis=1))
+        counts = (symbols >= 0).sum(axis=1)
+        if not len(odd):
+            return counts, symbols[symbols >= 0]
+        own = {}
+        for r in odd.tolist():
+            path = [s for s in symbols[r].tolist() if s != -2]
+            if -1 in path:  # never seen: merging decides
+                path = [self.ids.get(s, self.n + 1 + ord(s[0])) for s in self.merge(chunks[r])]
+            own[r] = self.output(path)
+            counts[r] = len(own[r])
+        return counts, np.concatenate([np.array(own[r], dtype=np.int64) if r in own else symbols[r][symbols[r] >= 0] for r in range(len(chunks))])
 
     def _probe(self, points: np.ndarray) -> dict[int, np.ndarray]:
         """By length, the pieces that start at each position of each row, or -1."""
@@ -243,8 +256,21 @@ class Model:
 
     def _allowed(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         ok = (pieces >= 0) & (before >= 0)
-        pairs, where = np.unique((before[ok] << _BITS) | pieces[ok], return_inverse=True)
-        ok[ok] = np.fromiter(map(self.joins, pairs.tolist()), dtype=bool, count=len(pairs))[where]
+        pairs = (before[ok] << _BITS) | pieces[ok]
+        keys, joins = self.known
+        at = np.searchsorted(keys, pairs)
+        hit = at < len(keys)
+        hit[hit] = keys[at[hit]] == pairs[hit]
+        if not hit.all():
+            new = np.unique(pairs[~hit])
+            if len(keys) >= 2_000_000:
+                keys, joins = keys[:0], joins[:0]
+                new = np.unique(pairs)
+            where = np.searchsorted(keys, new)
+            tested = np.fromiter(map(self.tested, new.tolist()), dtype=bool, count=len(new))
+            keys, joins = self.known = np.insert(keys, where, new), np.insert(joins, where, tested)
+            at = np.searchsorted(keys, pairs)
+        ok[ok] = joins[at]
         return ok
 
     # -- whole texts -----------------------------------------------------------------------------------
@@ -270,15 +296,30 @@ def _hashes(points: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes many texts; remembers chunks up to a limit."""
 
-    LIMIT = 300_000
+    LIMIT = 250_000
 
     def __init__(self, model: Model):
-        self.model, self.codes, self.values = model, {}, []
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.counts, self.flat, self.used, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
+
+    def _add(self, chunks: list[str]) -> None:
+        counts, flat = self.model.encode_chunks(chunks)
+        if self.used + len(counts) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(len(self.counts) + len(counts), np.int64)])
+        if self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.int32)])
+        self.counts[self.used : self.used + len(counts)] = counts
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        self.used, self.filled = self.used + len(counts), self.filled + len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and identifiers of the texts; a null text has none."""
         if len(self.codes) > self.LIMIT:
-            self.codes, self.values = {}, []
+            self._forget()
         codes, order, new = self.codes, [], []
         for text in texts:
             own = self.model.chunks(text or "")
@@ -286,16 +327,16 @@ class Encoder:
                 codes[c] = len(codes)
                 new.append(c)
             order.append(np.fromiter(map(codes.__getitem__, own), dtype=np.int64, count=len(own)))
-        self.values += [np.array(v, dtype=np.int32) for v in self.model.encode_chunks(new)]
-        lengths = np.fromiter(map(len, self.values), dtype=np.int64, count=len(self.values))
-        flat = np.concatenate(self.values) if self.values else np.empty(0, np.int32)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
+        if new:
+            self._add(new)
+        lengths = self.counts[: self.used]
+        starts = np.cumsum(lengths) - lengths
         every = np.concatenate(order) if order else np.empty(0, np.int64)
         n = lengths[every]
         ends = np.cumsum(n)
         index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[every] - (ends - n), n)
         per_text = [int(lengths[o].sum()) for o in order]
-        return np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64), flat[index]
+        return np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64), self.flat[index]
 
 
 _MODELS: dict[bytes, Encoder] = {}
@@ -318,7 +359,8 @@ ROWS_AT_ONCE = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts: let few rows at a time go to Python."""
+    """Long texts: let few rows at a time go to Python, which is given this package."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_AT_ONCE:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
 
@@ -355,6 +397,7 @@ def encode(df: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", che
 
 def decode(df: DataFrame, path: str = DEFAULT_MODEL, ids_col: str = "token_ids") -> DataFrame:
     """All rows and columns of df with decoded, the text of the identifiers; null where they are null."""
+    small_batches(df.sparkSession)
     data = model_bytes(df.sparkSession, path)
     (ids,) = fresh(df, "ids__")
     old = [c for c in df.columns if c.lower() != "decoded"]
