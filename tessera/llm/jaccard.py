@@ -1,17 +1,19 @@
 """Exact n-gram Jaccard self-join and its components, with R-trees over count vectors.
 
 A text is a set of hashed shingles. Texts of equal sets form a class, the node of the graph. Hashing a set's shingles
-to 64 groups and counting gives a point; the overlap of two sets is at most the sum of their points' smaller
-coordinates, and over a box of points at most the sum with the box's upper corner.
+to groups and counting gives a point; the overlap of two sets is at most the sum of their points' smaller
+coordinates, and over a box of points at most the sum with the box's upper corner. A point has a power of two of
+coordinates, one or two shingles in each, and folds onto half as many by adding halves.
 
 One tree over all points would meet every query with most of its leaves, as points of unrelated texts of one length lie
 close together in every group. So the points are dealt to many small trees: sets that are similar enough share a
 shingle among their first n - ceil(0.8 n) + 1, in an order where shingles known to be frequent come last; each such
-shingle is a shard with a tree of its own. Shards are resolved in two rounds that lose no link:
+shingle is a shard with a tree of its own. Shards are resolved in rounds that lose no link:
 
-1. Each shard's members against its smallest member; components of the links found.
-2. Only shards whose other members still lie in several components: the R-tree finds the pairs across components
-   that the bound allows. Shards of more than 4,096 members are split into tiles, and pairs of tiles are separate groups.
+* A few members of each shard, drawn by hash, meet its members in other components; links found join components, and
+  shards that lie in one component are done. This is repeated while it finds links and the rest is large.
+* In the shards left over, the R-tree finds all pairs across components that the bound allows. Shards of more than 4,096
+  members are split into tiles, and pairs of tiles are separate groups.
 
 Surviving pairs are verified on whole texts. Pairs inside a component need no test, so a group of many near copies costs
 links in proportion to its members.
@@ -28,24 +30,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, cut, fresh, sequence_hashes, word_hashes
+from tessera.llm.common import cut, discard, fresh, mixed, release, sequence_hashes, word_hashes
 from tessera.llm.spm import small_batches
 
-SHINGLE, PERCENT, GROUPS = 5, 80, 64
+SHINGLE, PERCENT = 5, 80
 LEAF, FAN, TILE = 16, 16, 4096
+#: Coordinates of a point lie between these bounds; a tree's boxes use fewer.
+LEAST_GROUPS, MOST_GROUPS, TREE_GROUPS, COARSE_GROUPS = 16, 1 << 16, 128, 64
+#: Members of a shard that meet the others in a round; at most so many rounds; a rest of so many pairs per row ends them.
+STARS, ROUNDS, FEW = 3, 8, 4
+#: Shards that a member keeps, the smallest, to report a pair in one shard only.
+KEYS = 64
+#: So few links are joined into components in one task.
+FEW_LINKS = 100_000
 #: A shingle is counted as frequent once a batch of texts holds it so often; at most so many are kept, the most frequent.
 OFTEN, FREQUENT = 4, 1_000_000
 #: Tables of ids up to so many rows are broadcast.
 BROADCAST_ROWS = 500_000
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; with fewer words the whole sequence is one."""
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(sequence_hashes(word_hashes(words), min(size, len(words))) ^ np.uint64(min(size, len(words)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles, A-Z in lower case; with fewer words the whole sequence is one."""
+    lengths, hashes = word_hashes(texts, folded=True)
+    full = mixed(sequence_hashes(hashes, size) + np.uint64(size))
+    out, at = [], 0
+    for n in lengths.tolist():
+        if n >= size:
+            out.append(np.unique(full[at : at + n - size + 1]))
+        else:
+            out.append(mixed(sequence_hashes(hashes[at : at + n], n) + np.uint64(n)) if n else np.empty(0, np.uint64))
+        at += n
+    return out
 
 
 def class_of(shingle_set: np.ndarray) -> int:
@@ -53,8 +68,32 @@ def class_of(shingle_set: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(shingle_set.tobytes()) >> 1) | 1 if len(shingle_set) else 0
 
 
-def point(shingle_set: np.ndarray) -> np.ndarray:
-    return np.bincount((shingle_set >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
+def groups_of(n: int) -> int:
+    return min(MOST_GROUPS, max(LEAST_GROUPS, (1 << (max(n, 1) - 1).bit_length()) // 2))
+
+
+def point(shingle_set: np.ndarray) -> bytes:
+    """Counts per group, as bytes, or as pairs of bytes where one is over 255; the first byte tells which."""
+    groups = groups_of(len(shingle_set))
+    counts = np.bincount((shingle_set >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+    return packed(counts)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    wide = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([wide]) + counts.astype(f"<u{wide}").tobytes()
+
+
+def point_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points in a matrix, or one point, on fewer coordinates."""
+    while points.shape[-1] > groups:
+        half = points.shape[-1] // 2
+        points = points[..., :half].astype(np.uint32) + points[..., half:].astype(np.uint32)
+    return points
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -101,12 +140,12 @@ class RTree:
             upper, low, high, own, at, below = todo.pop()
             if own == part or 100 * low > high_size(size, percent) or 100 * high < percent * size:
                 continue
-            if int(np.minimum(upper, point).sum()) < least_overlap(size, max(low, -(-percent * size // 100)), percent):
+            if int(np.minimum(upper, point).sum(dtype=np.int64)) < least_overlap(size, max(low, -(-percent * size // 100)), percent):
                 continue
             if below is not None:
                 todo += below
                 continue
-            bound = np.minimum(self.points[at], point).sum(axis=1).astype(np.int64)
+            bound = np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64)
             ok = (bound >= least_overlap(size, self.sizes[at], percent)) & (self.parts[at] != part)
             found.append(at[ok])
         return self.order[np.concatenate(found)] if found else np.empty(0, np.int64)
@@ -117,15 +156,22 @@ def high_size(size: int, percent: int) -> int:
     return 100 * (100 * size // percent)
 
 
-def tree_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """Pairs (smaller class, larger class) that may link: within one group, or with right across two."""
+def tree_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None = None, percent: int = PERCENT, fine=None) -> np.ndarray:
+    """Pairs (smaller class, larger class) that may link: within one group, or with right across two.
+
+    fine(c, others) tells which of the others may still match by their whole points; it is asked query by query, so that no
+    more pairs are held than pass.
+    """
     index = RTree(left["point"], left["n"], left["part"])
     probe, pairs = left if right is None else right, []
     for p, n, part, c in zip(probe["point"], probe["n"].tolist(), probe["part"].tolist(), probe["c"].tolist()):
-        other = left["c"][index.matches(p, n, part)]
+        other = left["c"][index.matches(p, n, part, percent)]
         if right is None:
             other = other[other > c]
-        pairs.append(np.stack([np.minimum(other, c), np.maximum(other, c)], axis=1))
+        if fine is not None and len(other):
+            other = other[fine(c, other)]
+        if len(other):
+            pairs.append(np.stack([np.minimum(other, c), np.maximum(other, c)], axis=1))
     return np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
 
 
@@ -137,25 +183,31 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _members(size: int):
-    """(kind 0, id, class, n) of each text; (kind 1, shingle, texts) of shingles that recur in the batch."""
+    """(kind 0, id, class, n, point) of each text; (kind 1, shingle, texts) of shingles that recur in the batch."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, size) for t in _texts(batch)]
+            sets = shingle_sets(_texts(batch), size)
             classes = np.array([class_of(s) for s in sets], dtype=np.int64)
             counts = np.array([len(s) for s in sets], dtype=np.int64)
             firsts = np.unique(classes, return_index=True)[1]
             values, often = np.unique(np.concatenate([sets[i] for i in firsts]) if len(firsts) else np.empty(0, np.uint64), return_counts=True)
             values, often = values[often >= OFTEN], often[often >= OFTEN]
-            ids = batch.column("id__")
+            points: list[bytes | None] = [None] * len(sets)
+            coarse: list[bytes | None] = [None] * len(sets)
+            for i in firsts.tolist():
+                points[i] = point(sets[i])
+                coarse[i] = packed(folded(point_of(points[i]), COARSE_GROUPS))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.zeros(len(sets), np.int32), np.ones(len(values), np.int32)])),
-                    pa.concat_arrays([ids, pa.nulls(len(values), pa.int64())]),
+                    pa.concat_arrays([batch.column("id__"), pa.nulls(len(values), pa.int64())]),
                     pa.array(np.concatenate([classes, values.view(np.int64)])),
                     pa.array(np.concatenate([counts, often])),
+                    pa.concat_arrays([pa.array(points, pa.binary()), pa.nulls(len(values), pa.binary())]),
+                    pa.concat_arrays([pa.array(coarse, pa.binary()), pa.nulls(len(values), pa.binary())]),
                 ],
-                names=["kind", "id", "c", "n"],
+                names=["kind", "id", "c", "n", "point", "coarse"],
             )
 
     return run
@@ -167,7 +219,7 @@ def _prefixes(size: int, percent: int, frequent):
     def run(batches):
         known, rank = frequent.value
         for batch in batches:
-            own = {class_of(s): s for s in (shingles(t, size) for t in _texts(batch))}
+            own = {class_of(s): s for s in shingle_sets(_texts(batch), size)}
             own.pop(0, None)
             if not own:
                 continue
@@ -186,29 +238,32 @@ def _prefixes(size: int, percent: int, frequent):
     return run
 
 
-def _points(size: int):
-    """(class, n, point, text) of each text, one of each class in a batch."""
+def _holders(size: int, wanted_col: str):
+    """(class, text) of texts whose class is the one wanted of their id."""
 
     def run(batches):
         for batch in batches:
-            rows: dict[int, tuple] = {}
-            for t in _texts(batch):
-                s = shingles(t, size)
-                rows.setdefault(class_of(s), (len(s), point(s).tobytes(), t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(rows), pa.int64()), *[pa.array([r[k] for r in rows.values()], t) for k, t in ((0, pa.int64()), (1, pa.binary()), (2, pa.binary()))]],
-                names=["c", "n", "point", "text"],
-            )
+            texts, wanted = _texts(batch), batch.column(wanted_col).to_pylist()
+            rows = {c: t for c, t, w in zip(map(class_of, shingle_sets(texts, size)), texts, wanted) if c in w}
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["c", "text"])
 
     return run
 
 
-def _bounded(percent: int):
+def _points_of(column) -> list[np.ndarray]:
+    return [point_of(x) for x in column]
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64))
+
+
+def _bounded(percent: int, column: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                a, b = (np.frombuffer(b"".join(f[x]), dtype=np.uint32).reshape(len(f), GROUPS) for x in ("point_a", "point_b"))
-                bound = np.minimum(a, b).sum(axis=1).astype(np.int64)
+                bound = np.array([overlap_bound(a, b) for a, b in zip(_points_of(f[f"{column}_a"]), _points_of(f[f"{column}_b"]))])
                 yield f.loc[bound >= least_overlap(f["n_a"].to_numpy(), f["n_b"].to_numpy(), percent), ["a", "b"]]
 
     return run
@@ -216,46 +271,122 @@ def _bounded(percent: int):
 
 def _verified(size: int, percent: int):
     def run(batches):
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0))
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            known: dict[int, np.ndarray] = {}
+            sides = []
+            for side in ("a", "b"):
+                ids, texts = batch.column(side).to_pylist(), batch.column(f"text_{side}").to_pylist()
+                new = {i: t for i, t in zip(ids, texts) if i not in known}
+                known.update(zip(new, shingle_sets(list(new.values()), size)))
+                sides.append(ids)
             ok = []
-            for x, ta, tb in zip(a, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if last[0] != x:
-                    last = (x, shingles(ta, size))
-                other = shingles(tb, size)
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                ok.append(100 * common >= percent * (len(last[1]) + len(other) - common))
+            for a, b in zip(*sides):
+                x, y = known[a], known[b]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _searched(percent: int):
-    """Pairs that each group's tree lets through; rows come sorted by group, and one group is held at a time."""
+_NOWHERE = object()
+
+
+def _home(a: np.ndarray, b: np.ndarray) -> int | None:
+    """The shard that a pair is reported in: the smallest that both keep among their first ones, or any if there is none.
+
+    Of the shards that two members share, one that is smaller than a shared kept one is kept by both, so all their shards agree.
+    """
+    common = np.intersect1d(a, b, assume_unique=True)
+    return int(common[0]) if len(common) else None
+
+
+def _small_pairs(f: pd.DataFrame, begins: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of groups of up to a leaf's members, where the tree is that leaf: all groups of one size are enumerated at once."""
+    n, part, c, points = f["n"].to_numpy(), f["part"].to_numpy(), f["c"].to_numpy(), f["point"].to_numpy()
+    shingle, keys = f["shingle"].to_numpy(), f["keys"].to_numpy()
+    lefts, rights = [], []
+    for k in np.unique(sizes).tolist():
+        if k > 1:
+            i, j = np.triu_indices(k, 1)
+            at = begins[sizes == k][:, None]
+            lefts.append((at + i).ravel())
+            rights.append((at + j).ravel())
+    if not lefts:
+        return np.empty((0, 2), np.int64)
+    x, y = np.concatenate(lefts), np.concatenate(rights)
+    fit = (part[x] != part[y]) & (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    x, y = x[fit], y[fit]
+    pairs, first, of = np.unique(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], axis=1), axis=0, return_index=True, return_inverse=True)
+    home = np.full(len(pairs), _NOWHERE, dtype=object)
+    for k, (a, b) in enumerate(zip(x[first].tolist(), y[first].tolist())):
+        if overlap_bound(point_of(points[a]), point_of(points[b])) >= least_overlap(n[a], n[b], percent):
+            home[k] = _home(keys[a], keys[b])
+    here = {k for k, s in zip(of.ravel().tolist(), shingle[x].tolist()) if home[k] is None or home[k] == s}
+    return pairs[sorted(here)]
+
+
+def _large_pairs(group: pd.DataFrame, percent: int) -> np.ndarray:
+    """Pairs of one group by R-trees over points folded to a tree's width, then by the bound on the whole points.
+
+    There is a tree for each number of coordinates, over the points that have it or its double: sets that may match differ
+    in size by less than a factor of two, so both of a pair are in the tree of the smaller number.
+    """
+    points, out = _points_of(group["point"]), []
+    own = np.array([len(p) for p in points])
+    low, high = group["low"].iat[0], group["high"].iat[0]
+    first = (group["tile"] == low).to_numpy()
+    c = group["c"].to_numpy()
+    n, place = dict(zip(c.tolist(), group["n"].tolist())), {k: i for i, k in enumerate(c.tolist())}
+
+    keys, shard = group["keys"].to_numpy(), int(group["shingle"].iat[0])
+
+    def fine(one: int, others: np.ndarray) -> np.ndarray:
+        i, out = place[one], []
+        for x in others.tolist():
+            j = place[x]
+            out.append(overlap_bound(points[i], points[j]) >= least_overlap(n[one], n[x], percent) and _home(keys[i], keys[j]) in (None, shard))
+        return np.array(out, dtype=bool)
+
+    for groups in np.unique(own).tolist():
+        near = (own == groups) | (own == 2 * groups)
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        def side(f):
-            points = np.frombuffer(b"".join(f["point"]), dtype=np.uint32).reshape(len(f), GROUPS)
-            return {"point": points, "n": f["n"].to_numpy(), "part": f["part"].to_numpy(), "c": f["c"].to_numpy()}
+        def side(mask, groups=groups):
+            at = np.flatnonzero(mask)
+            width = min(groups, TREE_GROUPS)
+            matrix = np.stack([folded(points[i], width).astype(np.uint32) for i in at]) if len(at) else np.empty((0, width), np.uint32)
+            return {"point": matrix, "n": group["n"].to_numpy()[at], "part": group["part"].to_numpy()[at], "c": c[at]}
 
-        one = group[group["tile"] == group["low"]]
-        pairs = tree_pairs(side(one)) if group["low"].iat[0] == group["high"].iat[0] else tree_pairs(side(one), side(group[group["tile"] != group["low"]]))
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        out.append(tree_pairs(side(near & first), None if low == high else side(near & ~first), percent, fine))
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def _searched(percent: int):
+    """Pairs that each group's tree lets through; rows come sorted by group, and one batch and an unfinished group are held at a time."""
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        keys = f[["shingle", "low", "high"]].to_numpy()
+        begins = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+        sizes = np.diff(np.concatenate([begins, [len(f)]]))
+        small = (sizes <= LEAF) & (keys[begins, 1] == keys[begins, 2])
+        out = [_small_pairs(f, begins[small], sizes[small], percent)]
+        out += [_large_pairs(f.iloc[b : b + k], percent) for b, k in zip(begins[~small], sizes[~small])]
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for f in frames:
             if not len(f):
                 continue
-            keys = f[["shingle", "low", "high"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(f)]
-            for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                part = f.iloc[x:y]
-                if held and (k or (held[-1][["shingle", "low", "high"]].iloc[-1].to_numpy() != keys[0]).any()):
-                    yield solve(pd.concat(held))
-                    held = []
-                held.append(part)
+            last = (f[["shingle", "low", "high"]] == f[["shingle", "low", "high"]].iloc[-1]).all(axis=1).to_numpy()
+            open_from = len(f) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if open_from == 0 and held and (held[-1][["shingle", "low", "high"]].iloc[-1] == f[["shingle", "low", "high"]].iloc[0]).all():
+                held.append(f)  # the group goes on through the whole batch
+                continue
+            done = pd.concat([*held, f.iloc[:open_from]])
+            if len(done):
+                yield solve(done)
+            held = [f.iloc[open_from:]]
         if held:
             yield solve(pd.concat(held))
 
@@ -265,8 +396,33 @@ def _searched(percent: int):
 # -- components ---------------------------------------------------------------------------------------
 
 
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of a few links in one task: each node with the smallest that it reaches."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist()):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pd.DataFrame({"c": np.array(nodes, dtype=np.int64), "part": np.array([root(x) for x in nodes], dtype=np.int64)})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (c, part): part is the smallest node that c reaches. By large-star and small-star steps until nothing changes."""
+    """(a, b) -> (c, part): part is the smallest node that c reaches. Up to 100,000 links are joined in one task, more by stars."""
+    if edges.count() <= FEW_LINKS:
+        return cut(edges.select("a", "b").coalesce(1).mapInPandas(_united, "c long, part long"), "jaccard-parts")
+    return components_by_stars(edges)
+
+
+def components_by_stars(edges: DataFrame) -> DataFrame:
+    """Components by large-star and small-star steps until nothing changes."""
     own = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     seen = None
     while True:
@@ -290,57 +446,138 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _both(pairs: DataFrame, nodes: DataFrame, column: str, more: list[str]) -> DataFrame:
-    """pairs with a column of both nodes."""
+def _both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with columns of both nodes."""
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("c").alias(side), F.col(column).alias(f"{column}_{side}"), *[F.col(m).alias(f"{m}_{side}") for m in more]), side)
+        pairs = pairs.join(nodes.select(F.col("c").alias(side), *[F.col(m).alias(f"{m}_{side}") for m in columns]), side)
     return pairs
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, size: int, percent: int, what: str, bound: bool) -> DataFrame:
-    if bound:
-        pairs = _both(pairs, nodes, "point", ["n"]).select("a", "b", "point_a", "point_b", "n_a", "n_b").mapInPandas(_bounded(percent), "a long, b long")
-    texts = _both(pairs, nodes, "text", []).select("a", "b", "text_a", "text_b")
-    return cut(texts.mapInArrow(_verified(size, percent), "a long, b long"), what)
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "jaccard-ends")
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
+def _no_links(spark) -> DataFrame:
+    return spark.createDataFrame([], "a long, b long")
+
+
+class _Join:
+    """The stages of one join, over tables cut in the shared folder."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, size: int, percent: int):
+        self.spark, self.size, self.percent = df.sparkSession, size, percent
+        small_batches(self.spark)
+        self.docs = df.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).alias("text__"))
+        found = cut(self.docs.mapInArrow(_members(size), "kind int, id long, c long, n long, point binary, coarse binary"), "jaccard-members")
+        self.members = found.filter("kind = 0").select("id", "c", "n")
+        self.points = found.filter("kind = 0 AND point IS NOT NULL AND c <> 0").select("c", "n", "point", "coarse")
+        often = found.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").limit(FREQUENT).toPandas()
+        keys, rank = often["c"].to_numpy(np.int64).view(np.uint64), 1 + np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.int32)
+        order = np.argsort(keys)
+        self.frequent = self.spark.sparkContext.broadcast((keys[order], rank[order]))
+
+    def nodes(self, classes: DataFrame, column: str) -> DataFrame:
+        """(c, n, point or coarse) of some classes, one row each."""
+        own = self.points.join(_small(classes), "c", "left_semi")
+        return own.groupBy("c").agg(F.first("n").alias("n"), F.first(column).alias(column))
+
+    def bounded(self, pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs that the bound by points, or by coarse ones, lets through."""
+        ends = _ends(pairs)
+        nodes = cut(self.nodes(ends, column), f"jaccard-{column}")
+        both = _both(pairs, nodes, [column, "n"]).select("a", "b", f"{column}_a", f"{column}_b", "n_a", "n_b")
+        out = cut(both.mapInPandas(_bounded(self.percent, column), "a long, b long"), f"jaccard-{column}-pairs")
+        discard(ends, nodes, pairs)
+        return out
+
+    def shards(self) -> DataFrame:
+        """(shingle, c, n) of the shingles that two classes or more have in their prefixes."""
+        shard = Window.partitionBy("shingle")
+        entries = self.docs.mapInArrow(_prefixes(self.size, self.percent, self.frequent), "shingle long, c long, n long")
+        dealt = entries.withColumns({"least": F.min("c").over(shard), "most": F.max("c").over(shard)}).filter("least < most")
+        return cut(dealt.select("shingle", "c", "n").dropDuplicates(["shingle", "c"]).withColumn("part", F.col("c")), "jaccard-shards")
+
+    def verified(self, pairs: DataFrame, what: str) -> DataFrame:
+        """The pairs that link, by their whole texts. Only texts of these pairs are moved."""
+        classes = _ends(pairs)
+        held = self.members.join(_small(classes), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
+        wanted = cut(held.groupBy("id").agg(F.collect_list("c").alias("wanted__")), f"{what}-holders")
+        texts = self.docs.join(_small(wanted), F.col("id__").eqNullSafe(F.col("id"))).select("text__", "wanted__").mapInArrow(_holders(self.size, "wanted__"), "c long, text binary")
+        nodes = cut(texts.dropDuplicates(["c"]), f"{what}-texts")
+        both = _both(pairs, nodes, ["text"]).select("a", "b", "text_a", "text_b")
+        out = cut(both.mapInArrow(_verified(self.size, self.percent), "a long, b long"), what)
+        discard(classes, wanted, nodes, pairs)
+        return out
+
+    @staticmethod
+    def hubs(turn: int) -> Column:
+        """A few members of a shard, drawn by hash."""
+        shard = Window.partitionBy("shingle")
+        return F.array(*[F.min(F.struct(F.xxhash64("c", F.lit(turn * STARS + i)).alias("h"), "c", "n", "part")).over(shard) for i in range(STARS)])
+
+    def stars(self, shards: DataFrame, turn: int) -> DataFrame:
+        """Links between a few members of each shard and its members in other components."""
+        met = shards.withColumn("hub", self.hubs(turn)).withColumn("hub", F.explode("hub")).filter("hub.part <> part")
+        own = met.filter(_fits(F.col("n"), F.col("hub.n"), self.percent)).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
+        pairs = self.bounded(self.bounded(cut(own.distinct(), "jaccard-stars"), "coarse"), "point")
+        return self.verified(pairs, "jaccard-first")
+
+    def open(self, shards: DataFrame, parts: DataFrame | None, turn: int) -> tuple[DataFrame, int, int]:
+        """The shards that lie in several components, without the members that have met all others; their rows, and the pairs across components."""
+        shard = Window.partitionBy("shingle")
+        met = shards.withColumn("hub", self.hubs(turn)).filter(~F.exists("hub", lambda h: h["c"] == F.col("c"))).drop("hub")
+        if parts is not None:
+            met = met.select("shingle", "c", "n", F.col("part").alias("old")).join(_small(parts), "c", "left").select("shingle", "c", "n", F.coalesce("part", "old").alias("part"))
+        left = cut(met.withColumns({"p": F.min("part").over(shard), "q": F.max("part").over(shard)}).filter("p < q").select("shingle", "c", "n", "part"), "jaccard-open")
+        discard(shards)
+        sizes = left.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        rows, pairs = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0))).first()
+        return left, int(rows), int(pairs)
+
+    def rest(self, shards: DataFrame) -> DataFrame:
+        """All links between components, from the shards that lie in several."""
+        shard = Window.partitionBy("shingle")
+        tiled = shards.withColumn("tile", F.floor((F.row_number().over(shard.orderBy("n", "c")) - 1) / TILE).cast("int")).withColumn("last", F.max("tile").over(shard))
+        grouped = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        grouped = grouped.select("shingle", "c", "n", "part", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+        groups = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        nodes = cut(self.nodes(cut(shards.select("c").distinct(), "jaccard-ends"), "point"), "jaccard-points")
+        first = F.slice(F.sort_array(F.collect_set("shingle")), 1, KEYS)
+        keys = cut(shards.groupBy("c").agg(first.alias("keys")), "jaccard-keys")
+        placed = grouped.join(nodes.select("c", "point").join(keys, "c"), "c").repartition(groups, "shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+        pairs = placed.select("shingle", "low", "high", "tile", "c", "n", "part", "point", "keys").mapInPandas(_searched(self.percent), "a long, b long")
+        return self.verified(cut(pairs.distinct(), "jaccard-rest"), "jaccard-second")
+
+
 def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, class, n), links (a, b) between classes that connect all that are connected, and components (c, part)."""
-    spark = df.sparkSession
-    small_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).alias("text__"))
-    found = cut(docs.mapInArrow(_members(size), "kind int, id long, c long, n long"), "jaccard-members")
-    members = found.filter("kind = 0").select("id", "c", "n")
-    often = found.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").limit(FREQUENT).toPandas().sort_values("c", key=lambda s: s.to_numpy().view(np.uint64))
-    frequent = spark.sparkContext.broadcast((often["c"].to_numpy(np.int64).view(np.uint64), 1 + np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.int32)))
-    shard = Window.partitionBy("shingle")
-    entries = docs.mapInArrow(_prefixes(size, percent, frequent), "shingle long, c long, n long")
-    dealt = entries.withColumns({"least": F.min(F.struct("c", "n")).over(shard), "most": F.max("c").over(shard)})
-    shards = cut(dealt.filter("least.c < most").select("shingle", "c", "n", F.col("least.c").alias("rep"), F.col("least.n").alias("rep_n")), "jaccard-shards")
-    involved = cut(shards.select("c").distinct(), "jaccard-involved")
-    holders = cut(members.join(_small(involved), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id__")).select("id__").distinct(), "jaccard-holders")
-    nulls = docs.filter(F.col("id__").isNull())
-    texts = docs.join(_small(holders), "id__", "left_semi").unionByName(nulls)
-    nodes = cut(texts.mapInArrow(_points(size), "c long, n long, point binary, text binary").dropDuplicates(["c"]), "jaccard-nodes")
-    seeds = shards.filter("rep <> c").filter(_fits(F.col("n"), F.col("rep_n"), percent)).select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
-    first = _verify(seeds, nodes, size, percent, "jaccard-seeds", bound=True)
-    parts = components(first)
-    # the shards that the first round has not resolved
-    open_ = shards.filter("rep <> c").dropDuplicates(["shingle", "c"]).join(parts, "c", "left").withColumn("part", F.coalesce("part", "c"))
-    several = open_.withColumns({"p": F.min("part").over(shard), "q": F.max("part").over(shard)}).filter("p < q").select("shingle", "c", "n", "part")
-    tiled = several.withColumn("tile", F.floor((F.row_number().over(shard.orderBy("n", "c")) - 1) / TILE).cast("int")).withColumn("last", F.max("tile").over(shard))
-    other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    grouped = tiled.withColumn("other", other).select("shingle", "c", "n", "part", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = grouped.join(nodes.select("c", "point"), "c").repartition(groups, "shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
-    rest = placed.select("shingle", "low", "high", "tile", "c", "n", "part", "point").mapInPandas(_searched(percent), "a long, b long").distinct()
-    second = _verify(rest, nodes, size, percent, "jaccard-rest", bound=False)
-    every = first.union(second)
-    return members, every, components(every) if second.first() is not None else parts
+    join = _Join(df, id_col, text_col, size, percent)
+    shards, found, parts, before = join.shards(), _no_links(join.spark), None, None
+    for turn in range(ROUNDS):
+        new = join.stars(shards, turn)
+        if new.first() is not None:
+            found = found.union(new)
+            discard(*([parts] if parts is not None else []))
+            parts = components(found)
+        shards, rows, pairs = join.open(shards, parts, turn)
+        release(join.spark)
+        if pairs <= FEW * rows or (before is not None and pairs > 0.7 * before):
+            break
+        before = pairs
+    if pairs:
+        new = join.rest(shards)
+        if new.first() is not None:
+            found = found.union(new)
+            parts = components(found)
+    discard(shards)
+    release(join.spark)
+    if parts is None:
+        parts = components(found)
+    return join.members, found, parts
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
