@@ -154,15 +154,15 @@ def _training(spark, d):
 
 @query()
 def pointwise_rerank(spark, d):
-    """Boosted trees fitted on folds 1 to 4, applied to fold 0."""
+    """Boosted trees fitted on folds 1 to 4, applied to all rows."""
     rows = _training(spark, d)
-    scored = rerank.pointwise(rows.filter(F.col("session_id") % 5 != 0), rows.filter(F.col("session_id") % 5 == 0), ["cooc", "transition", "album"], trees=3, depth=3)
+    scored = rerank.pointwise(rows.filter(F.col("session_id") % 5 != 0), rows, ["cooc", "transition", "album"], trees=3, depth=3)
     return rerank.ranked(scored.select(*ROW, "track_id", "score"), 20)
 
 
 @query()
 def lambdarank_rerank(spark, d):
-    """LambdaRank fitted on a bounded sample of rows of folds 1 to 4, applied to fold 0."""
+    """LambdaRank fitted on a bounded sample of rows of folds 1 to 4, applied to all rows."""
     rows = _training(spark, d)
-    scored = rerank.lambdarank(rows.filter(F.col("session_id") % 5 != 0), rows.filter(F.col("session_id") % 5 == 0), ["cooc", "transition", "album"], sample_rows=200, trees=10, leaves=15)
+    scored = rerank.lambdarank(rows.filter(F.col("session_id") % 5 != 0), rows, ["cooc", "transition", "album"], sample_rows=200, trees=10, leaves=15)
     return rerank.ranked(scored.select(*ROW, "track_id", "score"), 20)
