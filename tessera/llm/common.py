@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 import weakref
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or _own_dir(sc)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _own_dir(sc)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -67,6 +70,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed(run):
+    """A function over batches that gives the memory it freed back to the system at its end; Python workers wait for the next task with what they hold."""
+
+    @functools.wraps(run)
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return own
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like those asked for that no column of df has, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

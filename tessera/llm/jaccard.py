@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, discard, fresh, mixed, release, sequence_hashes, word_hashes
+from tessera.llm.common import cut, discard, fresh, mixed, release, sequence_hashes, trimmed, word_hashes
 from tessera.llm.spm import small_batches
 
 SHINGLE, PERCENT = 5, 80
@@ -185,6 +185,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 def _members(size: int):
     """(kind 0, id, class, n, point) of each text; (kind 1, shingle, texts) of shingles that recur in the batch."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             sets = shingle_sets(_texts(batch), size)
@@ -216,6 +217,7 @@ def _members(size: int):
 def _prefixes(size: int, percent: int, frequent):
     """(shingle, class, n) for the shingles that a text shares at least one of with any similar text."""
 
+    @trimmed
     def run(batches):
         known, rank = frequent.value
         for batch in batches:
@@ -241,6 +243,7 @@ def _prefixes(size: int, percent: int, frequent):
 def _holders(size: int, wanted_col: str):
     """(class, text) of texts whose class is the one wanted of their id."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             texts, wanted = _texts(batch), batch.column(wanted_col).to_pylist()
@@ -260,6 +263,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _bounded(percent: int, column: str):
+    @trimmed
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
@@ -270,6 +274,7 @@ def _bounded(percent: int, column: str):
 
 
 def _verified(size: int, percent: int):
+    @trimmed
     def run(batches):
         for batch in batches:
             known: dict[int, np.ndarray] = {}
@@ -373,6 +378,7 @@ def _searched(percent: int):
         out += [_large_pairs(f.iloc[b : b + k], percent) for b, k in zip(begins[~small], sizes[~small])]
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
+    @trimmed
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for f in frames:

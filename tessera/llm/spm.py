@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh
+from tessera.llm.common import fresh, trimmed
 from tessera.ship import ship
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Identifiers of unknown characters start here; the start of a chunk has an identifier of its own.
-_BITS = 22
+_BITS, _SLOT_BITS = 22, 20
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -102,7 +102,10 @@ class Model:
                 points = np.array([[ord(c) for c in p] for p in own], dtype=np.uint64)
                 keys = _hashes(points)[:, -1]
                 order = np.argsort(keys)
-                self.by_length[length] = (keys[order], np.array([self.ids[p] for p in own], dtype=np.int64)[order])
+                may = np.zeros(1 << 16, dtype=bool)
+                may[_slots(keys, 16)] = True
+                self.by_length[length] = (keys[order], np.array([self.ids[p] for p in own], dtype=np.int64)[order], may)
+        self.slot_pairs, self.slot_joins = np.full(1 << _SLOT_BITS, -1, dtype=np.int64), np.zeros(1 << _SLOT_BITS, dtype=bool)
         self.score_of = np.array(self.scores, dtype=np.float32)
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(self.pieces, self.kinds)]
         if self.kinds[self.unknown] == UNKNOWN:
@@ -247,31 +250,45 @@ class Model:
         """By length, the pieces that start at each position of each row, or -1."""
         hashes, found = _hashes(points), {}
         length = points.shape[1]
-        for n, (keys, ids) in self.by_length.items():
+        for n, (keys, ids, may) in self.by_length.items():
             if n <= length:
                 own = hashes[:, n:] - hashes[:, : length - n + 1] * _POWERS[n]
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                found[n] = np.where(keys[at] == own, ids[at], -1)
+                found[n] = np.full(own.shape, -1, dtype=np.int64)
+                some = may[_slots(own, 16)]  # most substrings are no pieces, and few of those are looked up
+                asked = own[some]
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                found[n][some] = np.where(keys[at] == asked, ids[at], -1)
         return found
 
     def _allowed(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         ok = (pieces >= 0) & (before >= 0)
         pairs = (before[ok] << _BITS) | pieces[ok]
+        slots, joins = _slots(pairs, _SLOT_BITS), np.empty(len(pairs), dtype=bool)
+        hit = self.slot_pairs[slots] == pairs
+        joins[hit] = self.slot_joins[slots[hit]]
+        if not hit.all():
+            rest = pairs[~hit]
+            joins[~hit] = found = self._looked_up(rest)
+            into, first = np.unique(slots[~hit], return_index=True)
+            self.slot_pairs[into], self.slot_joins[into] = rest[first], found[first]
+        ok[ok] = joins
+        return ok
+
+    def _looked_up(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether pairs join, from the sorted table of those tested; new ones are tested and inserted."""
         keys, joins = self.known
         at = np.searchsorted(keys, pairs)
         hit = at < len(keys)
         hit[hit] = keys[at[hit]] == pairs[hit]
         if not hit.all():
-            new = np.unique(pairs[~hit])
             if len(keys) >= 2_000_000:
-                keys, joins = keys[:0], joins[:0]
-                new = np.unique(pairs)
+                keys, joins, hit = keys[:0], joins[:0], np.zeros(len(pairs), dtype=bool)
+            new = np.unique(pairs[~hit])
             where = np.searchsorted(keys, new)
             tested = np.fromiter(map(self.tested, new.tolist()), dtype=bool, count=len(new))
             keys, joins = self.known = np.insert(keys, where, new), np.insert(joins, where, tested)
             at = np.searchsorted(keys, pairs)
-        ok[ok] = joins[at]
-        return ok
+        return joins[at]
 
     # -- whole texts -----------------------------------------------------------------------------------
 
@@ -285,6 +302,11 @@ with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4096, _PRIME, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
 
 
+def _slots(x: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of 64-bit values in a table of a power of two."""
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _hashes(points: np.ndarray) -> np.ndarray:
     """Polynomial hashes of the prefixes of each row, the empty one first."""
     out = np.zeros((points.shape[0], points.shape[1] + 1), dtype=np.uint64)
@@ -296,7 +318,7 @@ def _hashes(points: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes many texts; remembers chunks up to a limit."""
 
-    LIMIT = 250_000
+    LIMIT = 350_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -381,6 +403,7 @@ def encode(df: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", che
     old = [c for c in df.columns if c.lower() not in {f.name for f in new}]
     given = df.select(*old, df[text_col].cast("string").alias(text))
 
+    @trimmed
     def run(batches):
         own = encoder(data.value)
         for batch in batches:
@@ -403,6 +426,7 @@ def decode(df: DataFrame, path: str = DEFAULT_MODEL, ids_col: str = "token_ids")
     old = [c for c in df.columns if c.lower() != "decoded"]
     given = df.select(*old, df[ids_col].alias(ids))
 
+    @trimmed
     def run(batches):
         model = encoder(data.value).model
         for batch in batches:

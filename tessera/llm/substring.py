@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, mixed, sequence_hashes, word_hashes
+from tessera.llm.common import cut, fresh, mixed, sequence_hashes, trimmed, word_hashes
 from tessera.llm.spm import small_batches
 
 DEPTH, GRAM = 20, 6
@@ -66,6 +66,7 @@ def _own_key(ids, ties, at) -> np.ndarray:
 def _anchors(text: str):
     """Anchors of the texts; of those that a batch holds several times, one with weight 2 and the others under keys of their own."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             b = _Batch(batch, text)
@@ -93,6 +94,7 @@ def _suffixes(text: str, groups: int):
     A batch makes one row for each group that it has suffixes of, with the suffixes in arrays, which take fewer bytes than rows.
     """
 
+    @trimmed
     def run(batches):
         for batch in batches:
             b = _Batch(batch, text)
@@ -156,6 +158,7 @@ def _walk(batches):
 
 
 def _remover(text: str, old: list[str]):
+    @trimmed
     def run(batches):
         for batch in batches:
             kept, n_words, n_removed = [], [], []
