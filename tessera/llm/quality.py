@@ -56,16 +56,22 @@ def _covered(words: Column, hashes: Column) -> Column:
     return _let(by_hash, lambda a: _let(by_text(_recurring(a)), lambda b: _let(F.sort_array(_recurring(b)), total)))
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
-    """Windows are hashed first; if no hash recurs no window does, else the windows are compared as text."""
+def _repeat_words(words: Column) -> Column:
+    """Windows are hashed first; if no hash recurs no window does, else the windows are compared as text.
+
+    The words are bound to a lambda's variable: a lambda that captured the expression would split the text for each window.
+    """
 
     def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+
+    def repeats(w: Column):
+        return lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(w, hashes))
 
-    def repeats(hashes: Column) -> Column:
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(words, hashes))
+    def bound(w: Column) -> Column:
+        return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(_let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _let(windows(h), repeats(w))))
 
-    return F.when(n <= WINDOW, F.lit(0)).otherwise(_let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: _let(windows(h), repeats)))
+    return _let(words, bound)
 
 
 def quality_measures(df: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
@@ -86,7 +92,7 @@ def quality_measures(df: DataFrame, text_col: str = "text", thresholds=THRESHOLD
         "word_chars": F.length(joined).cast("long"),
         "n_symbols": symbols.cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _repeat_words(w, n).cast("long"),
+        "n_repeat_words": _repeat_words(w).cast("long"),
     }
     more = {
         "mark__": left(r"[^!?]+"),
@@ -121,5 +127,8 @@ def quality_filter(df: DataFrame, text_col: str = "text") -> DataFrame:
     new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
     clash = [x for x in df.columns if x.lower() in new]
     safe = df.withColumnsRenamed({x: f"{keep}{x}" for x in clash})
-    out = quality_measures(safe, f"{keep}{text_col}" if text_col in clash else text_col).filter("kept").drop(*new)
+    measured = quality_measures(safe, f"{keep}{text_col}" if text_col in clash else text_col)
+    # a column that is not deterministic keeps the filter above the projection; below it, each use of a measure would be evaluated anew
+    marked = measured.withColumn(keep, F.monotonically_increasing_id())
+    out = marked.filter(F.col("kept") & (F.col(keep) >= 0)).drop(keep, *new)
     return out.withColumnsRenamed({f"{keep}{x}": x for x in clash}).select(df.columns)
