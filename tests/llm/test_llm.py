@@ -448,6 +448,18 @@ def test_method_adds_spans_and_keeps_base_ones(spark):
     assert out[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_generators_need_no_more_than_their_patterns():
+    """Texts that hold nothing else: no two adjacent digits, no `at`, no = or :, no four digits in a row."""
+    secret = "hB4kd_Ge7mAcpF3dnA2x"
+    for text, kind, span in [
+        (f'password = "{secret}"', "secret", secret), (f"my password is {secret}", "secret", secret), ("call 020 123 456", "local_phone", "020 123 456"),
+        ("host a:b:c:d:e:f:1:2", "ip6", "a:b:c:d:e:f:1:2"),
+    ]:
+        assert (kind, text.index(span), text.index(span) + len(span)) in pii.candidates(text), text
+    found = pii.more_spans(f'password = "{secret}"', [], *pii.trained())
+    assert found == [("secret", 12, 32)]
+
+
 def test_scans_stay_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a.b-" * 50_000 + "@", "1 " * 100_000, "@" * 200_000):
         pii.base_spans(t)
