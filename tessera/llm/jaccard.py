@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import cut, discard, fresh, mixed, release, sequence_hashes, trimmed, word_hashes
 from tessera.llm.spm import small_batches
@@ -586,6 +587,18 @@ def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
     return join.members, found, parts
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, c, n, component, lead), one row per row of df. lead is the class that stays of a group whose ids are all null."""
+    members, _, parts = links(df, id_col, text_col, size, percent)
+    classes = members.filter("c <> 0").groupBy("c").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    joined = classes.join(parts, "c", "left")
+    by_part = joined.filter("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("smallest"), F.min("c").alias("least"))
+    final = joined.join(by_part, "part", "left").filter("part IS NOT NULL OR rows > 1").select(F.col("c").alias("c_"), F.coalesce("smallest", "id").alias("component"), F.coalesce("least", "c").alias("lead"))
+    final = cut(final, "jaccard-components")
+    out = members.join(_small(final), F.col("c") == F.col("c_"), "left")
+    return out.select("id", "c", "n", F.coalesce("component", "id").alias("component"), F.coalesce("lead", "c").alias("lead"))
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id), one row per row of df.
 
@@ -594,22 +607,49 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     integers; a null id is never a component's unless all its members' are null. Rows that share an id stay rows of their
     own. An empty table gives an empty table.
     """
-    members, _, parts = links(df, id_col, text_col, size, percent)
-    classes = members.filter("c <> 0").groupBy("c").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
-    joined = classes.join(parts, "c", "left")
-    by_part = joined.filter("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("smallest"))
-    final = joined.join(by_part, "part", "left").filter("part IS NOT NULL OR rows > 1").select(F.col("c").alias("c_"), F.coalesce("smallest", "id").alias("component"))
-    final = cut(final, "jaccard-components")
-    out = members.join(_small(final), F.col("c") == F.col("c_"), "left")
-    return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    groups = _grouped(df, id_col, text_col, size, percent)
+    return groups.select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _classed(size: int, text: str, new: str):
+    """The rows, with the class of each text instead of the text."""
+
+    @trimmed
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(text).cast(pa.binary()).to_pylist(), size)
+            rest = [c for c in batch.schema.names if c != text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array([class_of(s) for s in sets], pa.int64())], names=[*rest, new])
+
+    return run
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of df whose id is their component's, with df's columns: one document of each group.
+    """The rows of df whose id is their own component's, with df's columns: one document of each group.
 
-    Rows that share that id all stay, and so does every text without words.
+    Rows that share an id and the component it names all stay, and so does every text without words; a row of that id in
+    another component goes. A null id is no id: of a group whose ids are all null one row stays, the smallest text of its
+    smallest class.
     """
-    gone, = fresh(df, "gone__")
-    groups = near_groups(df, id_col, text_col, size, percent)
-    dropped = cut(groups.filter("NOT id <=> component_id").select(F.col("id").alias(gone)).distinct(), "jaccard-dropped")
-    return df.join(_small(dropped), df[id_col] == F.col(gone), "left_anti").select(df.columns)
+    id__, text__, c__, gone, gone_c = fresh(df, "id__", "text__", "c__", "gone__", "gone_c__")
+    null = F.col("id").isNull() & F.col("component").isNull() & (F.col("c") != F.col("lead"))
+    groups = _grouped(df, id_col, text_col, size, percent).select("id", "c", (~F.col("id").eqNullSafe(F.col("component")) | null).alias("goes"))
+    decided = cut(groups.distinct(), "jaccard-decided")
+    by_id = decided.filter("id IS NOT NULL").groupBy("id").agg(F.max("goes").alias("any"), F.min("goes").alias("all")).filter("any")
+    dropped = cut(by_id.select(F.col("id").alias(gone), "all"), "jaccard-dropped")
+    named, given = df[id_col].cast("long") == F.col(gone), [df[c] for c in df.columns]
+    out = df.filter(df[id_col].cast("long").isNotNull()).join(_small(dropped.select(gone)), named, "left_anti").select(given)
+    # an id of which only some rows go, and null ids: each row's own class decides
+    mixed_ids, nulls = dropped.filter("NOT all").select(gone), decided.filter("id IS NULL")
+    parts = [] if mixed_ids.isEmpty() else [df.join(_small(mixed_ids), named, "left_semi").select(given)]
+    parts += [] if nulls.isEmpty() else [df.filter(df[id_col].cast("long").isNull())]
+    for rows in parts:
+        asked = rows.withColumns({id__: F.col(id_col).cast("long"), text__: F.col(text_col)})
+        types = T.StructType([f for f in asked.schema if f.name != text__] + [T.StructField(c__, T.LongType())])
+        going = decided.filter("goes").select(F.col("id").alias(gone), F.col("c").alias(gone_c))
+        same = F.col(id__).eqNullSafe(F.col(gone)) & (F.col(c__) == F.col(gone_c))
+        stay = cut(asked.mapInArrow(_classed(size, text__, c__), types).join(_small(going), same, "left_anti"), "jaccard-stay")
+        one = F.col(id__).isNull() & (F.col(c__) != 0)
+        firsts = stay.filter(one).groupBy(c__).agg(F.min_by(F.struct(*df.columns), F.col(text_col)).alias(gone)).select(f"{gone}.*")
+        out = out.unionAll(stay.filter(~one).select(df.columns)).unionAll(firsts)
+    return out

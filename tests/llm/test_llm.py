@@ -231,6 +231,23 @@ def test_near_edge_cases(spark):
     assert jaccard.near_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [jaccard.BROADCAST_ROWS, 0])
+def test_near_dedup_decides_per_row(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
+    near = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [
+        (1, near("a"), 1), (5, near("a") + " x", 2), (5, near("b"), 3), (5, near("c"), 4), (6, near("c") + " x", 5),  # id 5: one row goes, a unique text and a group's own stay
+        (None, near("a") + " y", 6), (None, near("d"), 7),  # a null id beside another goes
+        (None, near("e"), 8), (None, near("e") + " x", 9), (None, near("f"), 10), (None, near("f"), 11),  # of all null ids one stays
+        (None, None, 12), (None, "", 13), (5, "", 14), (8, near("d") + " x", 15),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c__ long").repartition(3)
+    out = jaccard.near_dedup(df)
+    got = sorted(r["c__"] for r in out.collect())
+    assert out.columns == df.columns and [x for x in got if x not in (8, 9, 10, 11)] == [1, 3, 4, 12, 13, 14, 15]
+    assert len({8, 9} & set(got)) == len({10, 11} & set(got)) == 1 and len(got) == len(set(got))
+
+
 def test_tree_finds_all_pairs_that_the_bound_allows():
     rnd = np.random.default_rng(2)
     base = rnd.poisson(2, (20, 32))
