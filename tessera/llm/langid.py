@@ -43,16 +43,30 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 LONGEST = 40
 
 
+def _of_script(script: str) -> str:
+    ends = [a - 1 for a, _ in RANGES[1:]] + [0x10FFFF]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for (a, s), b in zip(RANGES, ends) if s == script)
+
+
+#: Consecutive pieces of one script and of at most LONGEST characters, which together are the whole run; an apostrophe is of any script.
+_PIECE = re.compile("|".join(f"[{_of_script(s)}][{_of_script(s)}'’]{{0,{LONGEST - 1}}}" for s in SCRIPTS))
+
+
 def scripts_of(points: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.searchsorted(_FIRST, points, side="right") - 1]
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 1- to 3-grams of all words between word marks, and the word each belongs to.
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case. A run that is long, as in a script without spaces, or that changes script is several words."""
+    words = WORD.findall(text.lower())
+    if text.isascii() and max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ((w,) if w.isascii() and len(w) <= LONGEST else _PIECE.findall(w))]
 
-    Of a word, the first 40 letters count; a longer one is a text without spaces or no word.
-    """
-    joined = " " + " ".join(w[:LONGEST] for w in words) + " "
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the 1- to 3-grams of all words between word marks, and the word each belongs to."""
+    joined = " " + " ".join(words) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     word = np.cumsum(points == 32) - 1
     letter = points != 32
@@ -106,7 +120,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                words = [w for t in texts for w in WORD.findall(t.lower())]
+                words = [w for t in texts for w in words_of(t)]
                 if words:
                     codes, times = np.unique(grams_of(words)[0], return_counts=True)
                     letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -183,7 +197,7 @@ class Labeller:
             self.known, self.table, self.letters = {}, self.table[:0], self.letters[:0]
         known, new, codes, words = self.known, [], [], []
         for text in texts:
-            own = WORD.findall(text.lower()) if text else []
+            own = words_of(text) if text else []
             for w in set(own).difference(known):
                 known[w] = len(known)
                 new.append(w)
@@ -200,7 +214,7 @@ def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFra
     """All rows and columns of df with lang_pred, score and lang_spans.
 
     lang_spans lists runs of words of one language, as array<struct<lang, first_word, n_words>>; lang_pred is the language
-    of the most words and score its share. A null text, one without a letter, and any text under a model without languages
+    of the most letters and score its share. Words are those of words_of. A null text, one without a letter, and any text under a model without languages
     get `und`, 0 and no spans. Columns of df that have the name of a new column are replaced.
     """
     small_batches(df.sparkSession)
@@ -216,14 +230,14 @@ def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFra
         names, labeller = given_model.value.names, Labeller(given_model.value)
         for batch in batches:
             pred, score, spans = [], [], []
-            for _, path in labeller.label(batch.column(text).to_pylist()):
+            for words, path in labeller.label(batch.column(text).to_pylist()):
                 if not len(path) or not names:
                     pred.append("und"), score.append(0.0), spans.append([])
                     continue
-                by = np.bincount(path, minlength=len(names))
+                by = np.bincount(path, weights=np.fromiter(map(len, words), dtype=np.int64, count=len(words)), minlength=len(names))
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
                 sizes = np.diff(np.concatenate([starts, [len(path)]]))
-                pred.append(names[by.argmax()]), score.append(float(by.max() / len(path)))
+                pred.append(names[by.argmax()]), score.append(float(by.max() / by.sum()))
                 spans.append([{"lang": names[path[a]], "first_word": int(a), "n_words": int(n)} for a, n in zip(starts, sizes)])
             columns = [batch.column(c) for c in old] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, spans_type)]
             yield pa.RecordBatch.from_arrays(columns, names=[*old, *[f.name for f in new]])

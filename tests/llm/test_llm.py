@@ -514,6 +514,20 @@ def test_mixed_text_spans_scripts_and_edges(spark):
     assert {r["lang_pred"] for r in empty} == {"und"}
 
 
+def test_runs_without_spaces_are_scored_whole(spark):
+    han, kana, thai = "我们今天去学校学习中文然后回家吃饭", "わたしはきょうがっこうへいきます", "วนนฉนไปโรงเรยนแลวกลบบาน"
+    texts = [("the cat and dog went home ", "en"), (han, "zh"), (kana + "学校", "ja"), (thai, "th")] * 6
+    train = spark.createDataFrame([(i, w * 10, lang) for i, (w, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, han * 5 + kana * 5), (2, "the cat went " + thai * 20), (3, "the cat went" + thai * 20)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in langid.identify(asked, langid.learn(train)).collect()}
+    assert [s["lang"] for s in out[1]["lang_spans"]] == ["zh", "ja"]  # a language that begins past letter 40
+    for k in (2, 3):
+        assert out[k]["lang_pred"] == "th" and out[k]["score"] > 0.9 and [s["lang"] for s in out[k]["lang_spans"]] == ["en", "th"]
+    assert langid.words_of("Don’t L'été дім’я") == ["don’t", "l'été", "дім’я"]
+    for text in ("x" * 100, "aб" * 50 + "々", han * 9):
+        assert "".join(langid.words_of(text)) == text and max(map(len, langid.words_of(text))) <= langid.LONGEST
+
+
 def test_paths_match_a_plain_search():
     rnd = np.random.default_rng(4)
     emissions = [rnd.normal(0, 5, (n, 3)).astype(np.float32) for n in (1, 2, 9, 40, 0)]
