@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import fresh
 from tessera.llm.spm import small_batches
 
-#: Rows to learn from, as expected from a hash of the id; and n-grams kept per language, the most frequent.
+#: Rows of each language to learn from, as expected from a hash of the row; and n-grams kept per language, the most frequent.
 SAMPLE_ROWS, GRAMS = 4000, 20_000
 #: Cost of changing the language from one word to the next, in nats, and of a language whose script is another.
 SWITCH, WRONG_SCRIPT = 12.0, 60.0
@@ -107,15 +107,17 @@ class Languages:
 
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Languages:
-    """Learn from about `rows` rows of df with a label, chosen by a hash of the id (all, if there are fewer).
+    """Learn from about `rows` rows of df of each label, chosen by a hash of the id and the text (all, if there are fewer).
 
-    Counts are summed on the executors; per language the most frequent n-grams come to the driver.
+    A label's rows of the smallest hash are always taken, so that every label is learned. Counts are summed on the
+    executors; per language the most frequent n-grams come to the driver.
     """
     small_batches(df.sparkSession)
-    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    n = labelled.count()
-    share = 1.0 if n <= rows else rows / n
-    some = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("lang", "text")
+    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    # by the whole hash, as shares of a label with many rows are small; a double holds it closely enough
+    place = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    shares = labelled.groupBy("lang").agg((F.lit(rows) / F.count(F.lit(1))).alias("share"), F.min("h").alias("least"))
+    some = labelled.join(F.broadcast(shares), "lang").filter((place < F.col("share")) | (F.col("share") >= 1) | (F.col("h") == F.col("least"))).select("lang", "text")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,9 +130,9 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                     yield pd.DataFrame({"lang": lang, "code": np.concatenate([codes, -1 - scripts]), "n": np.concatenate([times, letter_times])})
 
     summed = some.mapInPandas(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    scripts = summed.filter("code < 0").toPandas()
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
-    counts = summed.filter("code >= 0").withColumn("top", top).filter(F.col("top") <= GRAMS).toPandas()
+    top = F.row_number().over(Window.partitionBy("lang", F.col("code") < 0).orderBy(F.col("n").desc(), "code"))
+    both = summed.withColumn("top", top).filter(F.col("top") <= GRAMS).toPandas()  # once, as the sample is read for it
+    scripts, counts = both[both["code"] < 0], both[both["code"] >= 0]
     names = sorted(counts["lang"].unique())
     codes = np.array(sorted(counts["code"].unique()), dtype=np.int64)
     table = np.zeros((len(codes) + 1, len(names)))

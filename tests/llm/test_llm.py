@@ -528,6 +528,13 @@ def test_runs_without_spaces_are_scored_whole(spark):
         assert "".join(langid.words_of(text)) == text and max(map(len, langid.words_of(text))) <= langid.LONGEST
 
 
+def test_every_label_is_learned_at_every_size(spark):
+    rows = [(i, f"the cat and dog number {'abcdefghij'[i % 10]} went", "en") for i in range(3000)] + [(None, f"der hund {'klmnopqrst'[i % 10]} ging", "de") for i in range(3000)]
+    rows += [(9000, "кошка и собака", "ru"), (None, "le chat noir", "fr"), (None, "le chien", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(df, rows=1).names == langid.learn(df, rows=20).names == ["de", "en", "fr", "ru"]
+
+
 def test_paths_match_a_plain_search():
     rnd = np.random.default_rng(4)
     emissions = [rnd.normal(0, 5, (n, 3)).astype(np.float32) for n in (1, 2, 9, 40, 0)]
