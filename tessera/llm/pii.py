@@ -90,12 +90,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: A cheap test that the pattern implies, so that it loses nothing, and the pattern; each proposes more than is right.
 GENERATORS = {
-    "hidden_email": (re.compile(r"(?i)\bat\b|\(at\)|\[at\]"), re.compile(r"(?i)\b[a-z0-9._+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[a-z0-9-]{2,63}){1,4}")),
+    "hidden_email": (re.compile(r"(?i)\bat\b|\(at\)|\[at\]"), re.compile(r"(?i)\b[a-z0-9._+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[a-z0-9-]{2,63}){1,4}")),
     "local_phone": (re.compile(r"[0-9]{3}"), re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w-]|\.[0-9])")),
     "national_id": (re.compile(r"[0-9]-"), re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     "iban": (re.compile(r"[A-Z]{2}[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    "secret": (re.compile(r"[A-Za-z0-9_/+-]{16}"), re.compile(r"(?<=[\"'=:\x20])[A-Za-z0-9_/+-]{16,128}(?=[\"'\s]|$)")),
-    "ip6": (re.compile(r":[0-9A-Fa-f]{0,4}:"), re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    "secret": (re.compile(r"[A-Za-z0-9_/+-]{16}"), re.compile(r"(?<=[\"'=:\x20])[A-Za-z0-9_/+-]{16,}+={0,6}+(?=[\"'`\s,;:)\]}<>&|\\]|[.!?](?:[\"'\s]|$)|$)")),
+    "ip6": (re.compile(r":[0-9A-Fa-f]{0,4}:"), re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::)(?![\w:])")),
 }
 #: Words that announce a kind, in the text before a span.
 CUES = {

@@ -477,6 +477,21 @@ def test_generators_need_no_more_than_their_patterns():
     assert found == [("secret", 12, 32)]
 
 
+def test_generators_know_long_padded_compressed_and_dotted_forms():
+    rnd = random.Random(1)
+    tokens = ["".join(rnd.choice("0123456789abcdef") for _ in range(132)), "".join(rnd.choice("ABCDEFGHabcdefghijkm0123456789_") for _ in range(400)), "KCkqKywtLi8wMTIzNDU2Nzg5Ojs8PT4/QA=="]
+    asked = [("secret", f'token = "{t}" ok', t) for t in tokens] + [("secret", f"password={tokens[0][:24]}, next", tokens[0][:24])]
+    asked += [("ip6", f"host: {t} up", t) for t in ("2001:db8::1", "2001:db8::8a2e:370:7334", "fe80::1ff:fe23:4567:890a")]
+    asked += [("hidden_email", f"contact {t} now", t) for t in ("john (at) example.com", "john.d[at]mail.example.org")]
+    model = pii.trained()
+    for kind, text, span in asked:
+        assert pii.more_spans(text, [], *model) == [(kind, text.index(span), text.index(span) + len(span))], text
+    for text in ("see std::vector", "class dead::beef", "met at amazon.com today"):
+        assert pii.more_spans(text, [], *model) == [], text
+    for text in ("a" * 200_000, " a" * 100_000, "=" * 200_000, "1:" * 100_000, "::" * 100_000, ("x" * 64 + " at ") * 3000, "=aaaaaaaaaaaaaaaaaaaa=" * 9000):
+        pii.candidates(text)
+
+
 def test_scans_stay_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a.b-" * 50_000 + "@", "1 " * 100_000, "@" * 200_000):
         pii.base_spans(t)
