@@ -26,7 +26,8 @@ class _Pool:
         t = _tokens(text)
         pairs = list(zip(t, t[1:]))
         n, m = self.n_one + len(t), self.n_two + len(pairs)
-        return (len(self.one | set(t)) / n if n else 0.0, len(self.two | set(pairs)) / m if m else 0.0)
+        one, two = len(self.one) + len(set(t) - self.one), len(self.two) + len(set(pairs) - self.two)  # without a copy of the pool
+        return (one / n if n else 0.0, two / m if m else 0.0)
 
     def add(self, text: str) -> None:
         t = _tokens(text)

@@ -203,7 +203,7 @@ def diverse_select(spark, d):
     m = scan(spark, d, "conversations").filter("role = 'assistant'")
     other = m.select("conv_id", F.col("turn").alias("run"), F.col("text").alias("option"))
     options = m.select("conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("key")).join(other, "conv_id")
-    return respond.diverse_select(options, "key", "run", "option", trials=4)
+    return respond.diverse_select(options, "key", "run", "option")
 
 
 # -- vectors ------------------------------------------------------------------------------------------

@@ -1,7 +1,9 @@
 """Small hand-made cases with known results, and invariants."""
 
+import hashlib
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import counts, evaluate, rerank, respond, retrieve, turns, union
-from tessera.plans import policy
+from tessera.plans import policy, texts
 from tessera.sources import tables
 
 
@@ -227,3 +229,15 @@ def test_strata_collapse(spark):
     assert got[9] == "train" and got[0] == "train|A|y"
     folds = turns.assign_folds(spark.createDataFrame([(i, "a") for i in range(10)], "session_id long, stratum string"), 5)
     assert {r["count"] for r in folds.groupBy("fold").count().collect()} == {2}
+
+
+def test_diverse_select_takes_the_best_of_thirty_orders(spark, tmp_path):
+    rnd = random.Random(3)
+    said = [(c, t, " ".join(f"w{rnd.randint(0, 60)}" for _ in range(rnd.randint(2, 6)))) for c in range(40) for t in (2, 4, 6)]
+    spark.createDataFrame([(c, t, "assistant", x) for c, t, x in said], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    keys, options = [c * 100 + t for c, t, _ in said], [[x for other, _, x in said if other == c] for c, _, _ in said]
+    orders = [sorted(range(len(keys)), key=lambda i: hashlib.md5(f"{trial}:{keys[i]}".encode()).hexdigest()) for trial in range(30)]
+    chosen = [respond.choose(options, order) for order in orders]
+    best, share = max(chosen, key=lambda x: x[1])
+    assert share > max(x[1] for x in chosen[:4])
+    assert {r["key"]: r["option"] for r in texts.diverse_select(spark, str(tmp_path)).collect()} == dict(zip(keys, best))
