@@ -1,12 +1,11 @@
-"""Removal of passages that occur before, by prefix-partitioned suffix trees of words.
-
-Only a suffix that may share its first 20 words with another can end in a deep node, so the trees are built
-over those alone. Every window of 20 words has an anchor, its 6-gram of the smallest hash; equal windows have
-equal anchors. A first shuffle finds the anchors that recur. The suffixes that start at windows of such anchors
-are dealt to groups by a prefix of variable length: the first 6 words, or all 20 if a word follows itself among
-the 6, where many different suffixes share a beginning. Each group is sorted externally, so that its subtree is
-walked in order; a node at depth 20 with several suffixes is a repeat. All of a node's suffixes but the first
-are marked, and a text loses the words of its marked windows.
+"""Removal of passages that occur before, by hashes of windows of 20 words, in place of prefix-partitioned suffix trees.
+
+What is removed depends only on which windows of 20 words are equal, so no tree is built and words are not compared.
+Every window of 20 words has an anchor, its 6-gram of the smallest hash; equal windows have equal anchors. A first
+shuffle finds the anchors that recur. The suffixes that start at windows of such anchors are dealt to groups by a
+hash of their first 6 words, or of all 20 if a word follows itself among the 6, where many different suffixes share
+a beginning. Each group is sorted externally by hashes; a run of several equal ones, a node below, is a repeat. All of a
+node's suffixes but the first are marked, and a text loses the words of its marked windows.
 
 Tasks settle what they can before each shuffle: of the suffixes of one node that a batch holds, only the first
 is sent on, so that a passage found in a third of all texts makes one row per batch.
