@@ -7,6 +7,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
@@ -294,6 +295,99 @@ def test_remove_repeats(spark):
     assert got == want and any(v[1] for v in want.values())
 
 
+@pytest.mark.parametrize("settings", [{"HOT_ROWS": 1}, {"SUFFIXES_AT_ONCE": 40, "BROADCAST_ROWS": 0}, {"HOT_ROWS": 3, "HOT_SHARE": 1, "SUFFIXES_AT_ONCE": 1}])
+def test_remove_repeats_with_hot_anchors_and_small_trees(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(substring, k, v)
+    rows = make(22, 60) + [(300, "la " * 70, "en", "s", 0), (301, "x " + "la " * 30, "en", "s", 0), (302, "la " * 19 + "b", "en", "s", 0)]
+    rows += [(303, rows[2][1], "en", "s", 0), (303, "q " + (rows[4][1] or ""), "en", "s", 0)]  # an id with two texts: only their sum is defined by place
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(frame(spark, rows)).filter("doc_id < 303").collect()}
+    want = substring_brute(rows[:-2])
+    assert got == want
+
+
+def morse(n=1024):
+    """Two words that a polynomial modulo a power of two cannot tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_decide_what_is_equal(spark):
+    x, y = morse()
+    same = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{same} {x}"), (2, f"{same} {y}"), (3, x), (4, y)], "doc_id long, text string").coalesce(1)
+    assert {r["n_removed"] for r in substring.remove_repeats(df).collect()} == {0}
+    assert [(r["id"], r["component_id"]) for r in jaccard.near_groups(df).orderBy("id").collect()] == [(1, 1), (2, 1), (3, 3), (4, 4)]  # 1 and 2 share 15 of 17 shingles
+
+
+def test_hash_collisions_change_nothing(spark, monkeypatch):
+    """With word hashes of a few bits everything meets everything, also in one batch."""
+    import tessera.llm.common as common
+
+    rows = make(23, 30)
+    want = substring_brute(rows)
+    data, lengths, begin, end, hashes = common.word_table([(r[1] or "").encode() for r in rows])
+    monkeypatch.setattr(substring, "word_table", lambda texts: (lambda t: (*t[:4], t[4] % np.uint64(3)))(common.word_table(texts)))
+    rows_by = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([0] * len(part)), pa.array([r[1] for r in part])], names=["id__", "tie__", "text"]) for part in (rows[:11], rows[11:])]
+    anchors = pa.Table.from_batches(substring._anchors("text")(rows_by)).to_pylist()
+    seen = Counter()
+    for r in anchors:
+        seen[r["anchor"]] += r["weight"]
+    recurring = defaultdict(list)
+    for r in anchors:
+        if seen[r["anchor"]] > 1:
+            recurring[r["id__"]].append(r["pos"])
+    asked = [pa.RecordBatch.from_arrays([*b.columns, pa.array([recurring[i] for i in b.column("id__").to_pylist()], pa.list_(pa.int32()))], names=[*b.schema.names, "recurring"]) for b in rows_by]
+    hot = type("Hot", (), {"value": np.empty(0, np.uint64)})
+    flat = []
+    for b in substring._suffixes("text", 7, hot)(asked):
+        for r in b.to_pylist():
+            flat += [dict(zip(("key", "words", "mask", "id__", "tie__", "start", "run"), v)) for v in zip(*(r[c] for c in ("key", "words", "mask", "id__", "tie__", "start", "run")))]
+    flat.sort(key=lambda r: r["key"])
+    types = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("mask", pa.int32()), ("id__", pa.int64()), ("tie__", pa.int64()), ("start", pa.int32()), ("run", pa.int32())])
+    gone = defaultdict(set)
+    for b in substring._walk(iter([pa.RecordBatch.from_pylist(flat[k : k + 5], schema=types) for k in range(0, len(flat), 5)])):
+        for r in b.to_pylist():
+            gone[r["id__"]] |= set(range(r["mark"] >> 32, (r["mark"] >> 32) + (r["mark"] & 0xFFFFFFFF) + 19))
+    assert {i: len(gone[i]) for i in want} == {i: n for i, (_, n, _) in want.items()}
+
+
+def test_tree_nodes_are_the_right_maximal_repeats():
+    rnd = random.Random(6)
+    for _ in range(20):
+        texts = [[rnd.randrange(3) for _ in range(rnd.randint(1, 30))] for _ in range(3)]
+        width = max(map(len, texts))
+        suffixes = [(t, s) for t in range(3) for s in range(len(texts[t]))]
+        unique = iter(range(10, 10_000))
+        rows = np.array([[*texts[t][s:], *(next(unique) for _ in range(width - len(texts[t]) + s))] for t, s in suffixes])
+        order, shared = substring.sorted_suffixes(rows)
+        own = [suffixes[k] for k in order]
+        got = set()
+        for depth, first, last in substring.deep_nodes(shared, 2):
+            t, s = own[first]
+            got.add((tuple(texts[t][s : s + depth]), frozenset(own[first : last + 1])))
+        places = defaultdict(set)
+        for t, s in suffixes:
+            for end in range(s + 2, len(texts[t]) + 1):
+                places[tuple(texts[t][s:end])].add((t, s))
+        want = set()
+        for w, at in places.items():
+            after = [texts[t][s + len(w)] if s + len(w) < len(texts[t]) else ("end", t) for t, s in at]
+            if len(at) > 1 and len(set(after)) > 1:
+                want.add((w, frozenset(at)))
+        assert got == want and want
+        node = substring._outermost(shared, 2)
+        tops = {frozenset(own[k] for k in np.flatnonzero(node == n)) for n in np.unique(node)}
+        assert {x for x in tops if len(x) > 1} == {frozenset(at) for w, at in places.items() if len(w) == 2 and len(at) > 1}
+
+
+def test_removed_spans_and_rows_that_are_there_twice(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, long), (1, long), (2, f"a {long} b c {long}")], "doc_id long, text string")
+    out = substring.remove_repeats(df, spans=True).collect()
+    assert sorted((r["doc_id"], r["n_removed"], tuple(map(tuple, r["removed_spans"]))) for r in out) == [(1, 0, ()), (1, 0, ()), (2, 60, ((1, 30), (33, 30)))]
+
+
 def test_remove_repeats_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(4, long, 1), (4, long, 1), (4, "z " + long, 2), (None, long, 3), (9, None, 4)], "doc_id long, text string, marks long")
