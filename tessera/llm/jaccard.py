@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join and its components, with R-trees over count vectors.
 
-A text is a set of hashed shingles. Texts of equal sets form a class, the node of the graph. Hashing a set's shingles
-to groups and counting gives a point; the overlap of two sets is at most the sum of their points' smaller
+A text is a set of hashed shingles. Texts of the same words form a class, the node of the graph, found by a 128-bit
+cryptographic hash of the words; a class goes by 63 of its bits, or by a number of its own where those meet another's. Hashing
+a set's shingles to groups and counting gives a point; the overlap of two sets is at most the sum of their points' smaller
 coordinates, and over a box of points at most the sum with the box's upper corner. A point has a power of two of
 coordinates, one or two shingles in each, and folds onto half as many by adding halves.
 
@@ -12,30 +13,33 @@ shingle is a shard with a tree of its own. Shards are resolved in rounds that lo
 
 * A few members of each shard, drawn by hash, meet its members in other components; links found join components, and
   shards that lie in one component are done. This is repeated while it finds links and the rest is large.
-* In the shards left over, the R-tree finds all pairs across components that the bound allows. Shards of more than 4,096
-  members are split into tiles, and pairs of tiles are separate groups.
+* In the shards left over, the R-tree finds all pairs across components that the bound allows. Shards of more than 1,024
+  members are split into tiles by size and by hash, and pairs of tiles whose sizes can match are separate groups: a shard of
+  M members of one size, all in different components, makes M * M / 1,024 rows.
 
-Surviving pairs are verified on whole texts. Pairs inside a component need no test, so a group of many near copies costs
-links in proportion to its members.
+Surviving pairs are verified on the words of whole texts, so that hashes choose what is compared and decide nothing. Pairs
+inside a component need no test, so a group of many near copies costs links in proportion to its members. A shingle known to be
+frequent deals its members to several tasks by a salt, and so does a text that many pairs have in common.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, discard, fresh, mixed, release, sequence_hashes, trimmed, word_hashes
+from tessera.llm.common import FOLD, cut, discard, fresh, mixed, release, sequence_hashes, trimmed, word_hashes, word_numbers
 from tessera.llm.spm import small_batches
 
 SHINGLE, PERCENT = 5, 80
-LEAF, FAN, TILE = 16, 16, 4096
+LEAF, FAN, TILE = 16, 16, 1024
 #: Coordinates of a point lie between these bounds; a tree's boxes use fewer.
 LEAST_GROUPS, MOST_GROUPS, TREE_GROUPS, COARSE_GROUPS = 16, 1 << 16, 128, 64
 #: Members of a shard that meet the others in a round; at most so many rounds; a rest of so many pairs per row ends them.
@@ -46,8 +50,12 @@ KEYS = 64
 FEW_LINKS = 100_000
 #: A shingle is counted as frequent once a batch of texts holds it so often; at most so many are kept, the most frequent.
 OFTEN, FREQUENT = 4, 1_000_000
-#: Tables of ids up to so many rows are broadcast.
-BROADCAST_ROWS = 500_000
+#: Tables of a few numbers a row, up to so many rows, are broadcast: some 10 MB.
+BROADCAST_ROWS = 200_000
+#: Rows of one shingle, or pairs of one text, beyond which they are dealt by a salt.
+SALT_ROWS = 1000
+#: Bits of a class's hash that number it.
+CLASS_BITS = 63
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -64,9 +72,49 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndar
     return out
 
 
-def class_of(shingle_set: np.ndarray) -> int:
-    """An identifier of a set, by hash; 0 for the empty set only."""
-    return (xxhash.xxh3_64_intdigest(shingle_set.tobytes()) >> 1) | 1 if len(shingle_set) else 0
+def digests(texts: list[bytes | None]) -> list[bytes | None]:
+    """A 128-bit hash of each text's words, A-Z in lower case; none for a text without words."""
+    folded = [b" ".join((t or b"").translate(FOLD).split()) for t in texts]
+    return [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in folded]
+
+
+def class_numbers(found: list[bytes | None], own: dict[bytes, int] | None = None) -> list[int]:
+    """Numbers of classes by their digests: positive ones by hash, or those given; 0 for texts without words."""
+    bits = 64 - CLASS_BITS
+    return [0 if d is None else (own or {}).get(d) or (int.from_bytes(d[:8], "little") >> bits) | 1 for d in found]
+
+
+def exact_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct numbers of each text's shingles, A-Z in lower case; equal in all these texts where the words are, by the words themselves."""
+    lists = [(t or b"").translate(FOLD).split() for t in texts]
+    numbers = word_numbers([w for words in lists for w in words])
+    have, power, every, at = 0, 1, None, numbers
+    while len(numbers) >= size:
+        if size & power:
+            every = at if every is None else _joined(every, at, have)
+            have += power
+        if have == size:
+            break
+        at = _joined(at, at, power)
+        power *= 2
+    short: dict[tuple, int] = {}
+    out, start = [], 0
+    for words in lists:
+        n = len(words)
+        if n >= size:
+            out.append(np.unique(every[start : start + n - size + 1]))
+        else:  # the whole sequence; its number meets no full shingle's
+            out.append(np.array([-1 - short.setdefault(tuple(words), len(short))] if n else [], dtype=np.int64))
+        start += n
+    return out
+
+
+def _joined(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
+    """Numbers of left[i] followed by right[i + gap]: equal where both are."""
+    n = min(len(left), len(right) - gap)
+    if n <= 0:
+        return np.empty(0, np.int64)
+    return np.unique(left[:n] * (int(right.max()) + 1) + right[gap : gap + n], return_inverse=True)[1].astype(np.int64)
 
 
 def groups_of(n: int) -> int:
@@ -184,13 +232,14 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _members(size: int):
-    """(kind 0, id, class, n, point) of each text; (kind 1, shingle, texts) of shingles that recur in the batch."""
+    """(kind 0, id, class, n, point, digest) of each text; (kind 1, shingle, texts) of shingles that recur in the batch."""
 
     @trimmed
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(_texts(batch), size)
-            classes = np.array([class_of(s) for s in sets], dtype=np.int64)
+            texts = _texts(batch)
+            sets, marks = shingle_sets(texts, size), digests(texts)
+            classes = np.array(class_numbers(marks), dtype=np.int64)
             counts = np.array([len(s) for s in sets], dtype=np.int64)
             firsts = np.unique(classes, return_index=True)[1]
             values, often = np.unique(np.concatenate([sets[i] for i in firsts]) if len(firsts) else np.empty(0, np.uint64), return_counts=True)
@@ -208,47 +257,55 @@ def _members(size: int):
                     pa.array(np.concatenate([counts, often])),
                     pa.concat_arrays([pa.array(points, pa.binary()), pa.nulls(len(values), pa.binary())]),
                     pa.concat_arrays([pa.array(coarse, pa.binary()), pa.nulls(len(values), pa.binary())]),
+                    pa.concat_arrays([pa.array(marks, pa.binary()), pa.nulls(len(values), pa.binary())]),
                 ],
-                names=["kind", "id", "c", "n", "point", "coarse"],
+                names=["kind", "id", "c", "n", "point", "coarse", "digest"],
             )
 
     return run
 
 
-def _prefixes(size: int, percent: int, frequent):
-    """(shingle, class, n) for the shingles that a text shares at least one of with any similar text."""
+def _prefixes(size: int, percent: int, frequent, numbers):
+    """(shingle, class, n, salts) for the shingles that a text shares at least one of with any similar text; a class once in a batch."""
 
     @trimmed
     def run(batches):
-        known, rank = frequent.value
+        known, often = frequent.value
+        rank, salts = 1 + np.log2(np.maximum(often, 1)).astype(np.int32), salts_of(often)
         for batch in batches:
-            own = {class_of(s): s for s in shingle_sets(_texts(batch), size)}
+            texts = _texts(batch)
+            own = dict(zip(class_numbers(digests(texts), numbers.value), shingle_sets(texts, size)))
             own.pop(0, None)
             if not own:
                 continue
             classes, lengths = np.array(list(own), dtype=np.int64), np.array([len(s) for s in own.values()], dtype=np.int64)
             every, owner = np.concatenate(list(own.values())), np.repeat(np.arange(len(lengths)), lengths)
-            late = np.zeros(len(every), dtype=np.int32)
+            late, dealt = np.zeros(len(every), dtype=np.int32), np.ones(len(every), dtype=np.int32)
             if len(known):
                 at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-                late = np.where(known[at] == every, rank[at], 0)
+                late, dealt = (np.where(known[at] == every, x[at], y) for x, y in ((rank, late), (salts, dealt)))
             order = np.lexsort((every, late, owner))
             first = np.cumsum(lengths) - lengths
             keep = np.arange(len(every)) - np.repeat(first, lengths) < np.repeat(lengths - -(-percent * lengths // 100) + 1, lengths)
             chosen = order[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(every[chosen].view(np.int64)), pa.array(classes[owner[chosen]]), pa.array(lengths[owner[chosen]])], names=["shingle", "c", "n"])
+            columns = [every[chosen].view(np.int64), classes[owner[chosen]], lengths[owner[chosen]], dealt[chosen].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "c", "n", "salts"])
 
     return run
 
 
-def _holders(size: int, wanted_col: str):
+def salts_of(rows: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-rows // SALT_ROWS)).astype(np.int32)
+
+
+def _holders(wanted_col: str, numbers):
     """(class, text) of texts whose class is the one wanted of their id."""
 
     @trimmed
     def run(batches):
         for batch in batches:
             texts, wanted = _texts(batch), batch.column(wanted_col).to_pylist()
-            rows = {c: t for c, t, w in zip(map(class_of, shingle_sets(texts, size)), texts, wanted) if c in w}
+            rows = {c: t for c, t, w in zip(class_numbers(digests(texts), numbers.value), texts, wanted) if c in w}
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["c", "text"])
 
     return run
@@ -278,13 +335,14 @@ def _verified(size: int, percent: int):
     @trimmed
     def run(batches):
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict = {}
             sides = []
             for side in ("a", "b"):
                 ids, texts = batch.column(side).to_pylist(), batch.column(f"text_{side}").to_pylist()
                 new = {i: t for i, t in zip(ids, texts) if i not in known}
-                known.update(zip(new, shingle_sets(list(new.values()), size)))
+                known.update(new)
                 sides.append(ids)
+            known = dict(zip(known, exact_sets(list(known.values()), size)))
             ok = []
             for a, b in zip(*sides):
                 x, y = known[a], known[b]
@@ -453,15 +511,29 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs with columns of both nodes."""
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("c").alias(side), *[F.col(m).alias(f"{m}_{side}") for m in columns]), side)
+def _both(pairs: DataFrame, nodes: DataFrame, columns: list[str], ends: DataFrame, most: int) -> DataFrame:
+    """pairs with columns of both nodes; a node of many pairs is dealt to several tasks, each of which gets a copy of it.
+
+    ends(c, pairs) counts each node's pairs, and most is the largest count.
+    """
+    salts = F.ceil(F.col("pairs") / SALT_ROWS).cast("int")
+    hot = _small(ends.filter(F.col("pairs") > SALT_ROWS).select("c", salts.alias("salts"))) if most > SALT_ROWS else None
+    for side, other in (("a", "b"), ("b", "a")):
+        own = nodes.select(F.col("c").alias(side), *[F.col(m).alias(f"{m}_{side}") for m in columns])
+        if hot is None:
+            pairs = pairs.join(own, side)
+            continue
+        of_side = hot.withColumnRenamed("c", side)
+        own = own.join(of_side, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        dealt = pairs.join(of_side, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        pairs = dealt.join(own, [side, "salt"]).drop("salt")
     return pairs
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "jaccard-ends")
+def _ends(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(c, pairs) of the nodes in pairs, and the largest number of pairs."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("pairs")), "jaccard-ends")
+    return ends, ends.agg(F.coalesce(F.max("pairs"), F.lit(0))).first()[0]
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -479,13 +551,27 @@ class _Join:
         self.spark, self.size, self.percent = df.sparkSession, size, percent
         small_batches(self.spark)
         self.docs = df.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).alias("text__"))
-        found = cut(self.docs.mapInArrow(_members(size), "kind int, id long, c long, n long, point binary, coarse binary"), "jaccard-members")
-        self.members = found.filter("kind = 0").select("id", "c", "n")
-        self.points = found.filter("kind = 0 AND point IS NOT NULL AND c <> 0").select("c", "n", "point", "coarse")
+        found = cut(self.docs.mapInArrow(_members(size), "kind int, id long, c long, n long, point binary, coarse binary, digest binary"), "jaccard-members")
+        own = self._numbered(found)
+        self.numbers = self.spark.sparkContext.broadcast(own)
+        texts = found.filter("kind = 0")
+        if own:
+            table = self.spark.createDataFrame(list(own.items()), "digest binary, number long")
+            texts = texts.join(F.broadcast(table), "digest", "left").withColumn("c", F.coalesce("number", "c"))
+        self.members = texts.select("id", "c", "n")
+        self.points = texts.filter("point IS NOT NULL AND c <> 0").select("c", "n", "point", "coarse")
         often = found.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").limit(FREQUENT).toPandas()
-        keys, rank = often["c"].to_numpy(np.int64).view(np.uint64), 1 + np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.int32)
+        keys, times = often["c"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
         order = np.argsort(keys)
-        self.frequent = self.spark.sparkContext.broadcast((keys[order], rank[order]))
+        self.frequent = self.spark.sparkContext.broadcast((keys[order], times[order]))
+        self.salted = bool((salts_of(times) > 1).any())
+
+    @staticmethod
+    def _numbered(found: DataFrame) -> dict[bytes, int]:
+        """Numbers of their own, below zero, for classes whose hash is another's too: some thousand among 10^11 texts."""
+        clash = found.filter("kind = 0 AND c <> 0").groupBy("c").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("c")
+        alike = found.filter("kind = 0").join(clash, "c", "left_semi").select("digest").distinct().collect()
+        return {d: -1 - i for i, d in enumerate(sorted(bytes(r[0]) for r in alike))}
 
     def nodes(self, classes: DataFrame, column: str) -> DataFrame:
         """(c, n, point or coarse) of some classes, one row each."""
@@ -494,63 +580,96 @@ class _Join:
 
     def bounded(self, pairs: DataFrame, column: str) -> DataFrame:
         """The pairs that the bound by points, or by coarse ones, lets through."""
-        ends = _ends(pairs)
-        nodes = cut(self.nodes(ends, column), f"jaccard-{column}")
-        both = _both(pairs, nodes, [column, "n"]).select("a", "b", f"{column}_a", f"{column}_b", "n_a", "n_b")
+        ends, most = _ends(pairs)
+        nodes = cut(self.nodes(ends.select("c"), column), f"jaccard-{column}")
+        both = _both(pairs, nodes, [column, "n"], ends, most).select("a", "b", f"{column}_a", f"{column}_b", "n_a", "n_b")
         out = cut(both.mapInPandas(_bounded(self.percent, column), "a long, b long"), f"jaccard-{column}-pairs")
         discard(ends, nodes, pairs)
         return out
 
-    def shards(self) -> DataFrame:
-        """(shingle, c, n) of the shingles that two classes or more have in their prefixes."""
+    def over_shards(self, shards: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        """shards with aggregates over each shingle. Rows of a salted shingle get them by a join, from an aggregate that tasks begin."""
+        cold = shards.filter("salts = 1") if self.salted else shards
         shard = Window.partitionBy("shingle")
-        entries = self.docs.mapInArrow(_prefixes(self.size, self.percent, self.frequent), "shingle long, c long, n long")
-        dealt = entries.withColumns({"least": F.min("c").over(shard), "most": F.max("c").over(shard)}).filter("least < most")
-        return cut(dealt.select("shingle", "c", "n").dropDuplicates(["shingle", "c"]).withColumn("part", F.col("c")), "jaccard-shards")
+        out = cold.withColumns({k: v.over(shard) for k, v in columns.items()})
+        if not self.salted:
+            return out
+        hot = shards.filter("salts > 1")
+        totals = hot.groupBy("shingle").agg(F.first("salts").alias("salts"), *[v.alias(k) for k, v in columns.items()])
+        dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return out.unionByName(hot.withColumn("salt", F.pmod(F.xxhash64("c"), "salts").cast("int")).join(dealt, ["shingle", "salt"]).select(out.columns))
+
+    def shards(self) -> DataFrame:
+        """(shingle, salts, c, n) of the shingles that two classes or more have in their prefixes."""
+        entries = self.docs.mapInArrow(_prefixes(self.size, self.percent, self.frequent, self.numbers), "shingle long, c long, n long, salts int")
+        if self.salted:  # of a salted shingle a class stays once; the others are few beside their texts
+            hot = entries.filter("salts > 1").dropDuplicates(["shingle", "c"])
+            entries = entries.filter("salts = 1").unionByName(hot)
+        dealt = self.over_shards(entries, {"least": F.min("c"), "most": F.max("c")}).filter("least < most")
+        return cut(dealt.select("shingle", "salts", "c", "n").dropDuplicates(["shingle", "c"]).withColumn("part", F.col("c")), "jaccard-shards")
 
     def verified(self, pairs: DataFrame, what: str) -> DataFrame:
-        """The pairs that link, by their whole texts. Only texts of these pairs are moved."""
-        classes = _ends(pairs)
-        held = self.members.join(_small(classes), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
+        """The pairs that link, by the words of their whole texts. Only texts of these pairs are moved."""
+        ends, most = _ends(pairs)
+        held = self.members.join(_small(ends.select("c")), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
         wanted = cut(held.groupBy("id").agg(F.collect_list("c").alias("wanted__")), f"{what}-holders")
-        texts = self.docs.join(_small(wanted), F.col("id__").eqNullSafe(F.col("id"))).select("text__", "wanted__").mapInArrow(_holders(self.size, "wanted__"), "c long, text binary")
+        texts = self.docs.join(_small(wanted), F.col("id__").eqNullSafe(F.col("id"))).select("text__", "wanted__").mapInArrow(_holders("wanted__", self.numbers), "c long, text binary")
         nodes = cut(texts.dropDuplicates(["c"]), f"{what}-texts")
-        both = _both(pairs, nodes, ["text"]).select("a", "b", "text_a", "text_b")
+        both = _both(pairs, nodes, ["text"], ends, most).select("a", "b", "text_a", "text_b")
         out = cut(both.mapInArrow(_verified(self.size, self.percent), "a long, b long"), what)
-        discard(classes, wanted, nodes, pairs)
+        discard(ends, wanted, nodes, pairs)
         return out
 
-    @staticmethod
-    def hubs(turn: int) -> Column:
-        """A few members of a shard, drawn by hash."""
-        shard = Window.partitionBy("shingle")
-        return F.array(*[F.min(F.struct(F.xxhash64("c", F.lit(turn * STARS + i)).alias("h"), "c", "n", "part")).over(shard) for i in range(STARS)])
+    def over_hubs(self, shards: DataFrame, turn: int) -> DataFrame:
+        """shards with hub, a few members of the shard, drawn by hash."""
+        firsts = {f"hub{i}": F.min(F.struct(F.xxhash64("c", F.lit(turn * STARS + i)).alias("h"), "c", "n", "part")) for i in range(STARS)}
+        return self.over_shards(shards, firsts).withColumn("hub", F.array(*firsts)).drop(*firsts)
 
     def stars(self, shards: DataFrame, turn: int) -> DataFrame:
         """Links between a few members of each shard and its members in other components."""
-        met = shards.withColumn("hub", self.hubs(turn)).withColumn("hub", F.explode("hub")).filter("hub.part <> part")
+        met = self.over_hubs(shards, turn).withColumn("hub", F.explode("hub")).filter("hub.part <> part")
         own = met.filter(_fits(F.col("n"), F.col("hub.n"), self.percent)).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
         pairs = self.bounded(self.bounded(cut(own.distinct(), "jaccard-stars"), "coarse"), "point")
         return self.verified(pairs, "jaccard-first")
 
     def open(self, shards: DataFrame, parts: DataFrame | None, turn: int) -> tuple[DataFrame, int, int]:
         """The shards that lie in several components, without the members that have met all others; their rows, and the pairs across components."""
-        shard = Window.partitionBy("shingle")
-        met = shards.withColumn("hub", self.hubs(turn)).filter(~F.exists("hub", lambda h: h["c"] == F.col("c"))).drop("hub")
+        met = self.over_hubs(shards, turn).filter(~F.exists("hub", lambda h: h["c"] == F.col("c"))).drop("hub")
         if parts is not None:
-            met = met.select("shingle", "c", "n", F.col("part").alias("old")).join(_small(parts), "c", "left").select("shingle", "c", "n", F.coalesce("part", "old").alias("part"))
-        left = cut(met.withColumns({"p": F.min("part").over(shard), "q": F.max("part").over(shard)}).filter("p < q").select("shingle", "c", "n", "part"), "jaccard-open")
+            met = met.withColumnRenamed("part", "old").join(_small(parts), "c", "left").withColumn("part", F.coalesce("part", "old"))
+        spread = self.over_shards(met.select("shingle", "salts", "c", "n", "part"), {"p": F.min("part"), "q": F.max("part")})
+        left = cut(spread.filter("p < q").select("shingle", "salts", "c", "n", "part"), "jaccard-open")
         discard(shards)
         sizes = left.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
         rows, pairs = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0))).first()
         return left, int(rows), int(pairs)
 
+    def tiles(self, shards: DataFrame) -> DataFrame:
+        """shards with tile, low and high: a row for each group that a member is in.
+
+        A large shard is split by classes of size, so that sets that may match are in one class or in neighbours, and a class by
+        hash into slots; each two slots that may hold a match are a group.
+        """
+        width = math.log(100 / self.percent) * (1 + 1e-9) if self.percent < 100 else 0.0
+        level = (F.floor(F.log(F.col("n").cast("double")) / F.lit(width)) if width else F.col("n")).cast("long")
+        sized = shards.withColumn("level", level)
+        slots = F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("k") / TILE).cast("int").alias("slots"))))
+        counts = sized.groupBy("shingle", "level").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), slots.alias("slots"))
+        large = cut(counts.filter(F.col("k") > TILE).select("shingle", "slots"), "jaccard-large")
+        n = large.count()
+        if not n:
+            return shards.withColumns({c: F.lit(0).cast("long") for c in ("tile", "low", "high")})
+        marked = sized.join(F.broadcast(large) if n <= BROADCAST_ROWS // 100 else large, "shingle", "left")
+        number = lambda own, slot: own * F.lit(1 << 32) + slot
+        at = number(F.col("level"), F.pmod(F.xxhash64("c", F.lit(7)), F.element_at("slots", F.col("level"))))
+        others = F.flatten(F.transform(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1), lambda own: F.when(F.map_contains_key("slots", own), F.transform(F.sequence(F.lit(0), F.try_element_at("slots", own) - 1), lambda i: number(own, i))).otherwise(F.array().cast("array<long>"))))
+        placed = marked.withColumn("tile", F.when(F.col("slots").isNull(), F.lit(0).cast("long")).otherwise(at))
+        grouped = placed.withColumn("other", F.explode(F.when(F.col("slots").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)))
+        return grouped.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+
     def rest(self, shards: DataFrame) -> DataFrame:
         """All links between components, from the shards that lie in several."""
-        shard = Window.partitionBy("shingle")
-        tiled = shards.withColumn("tile", F.floor((F.row_number().over(shard.orderBy("n", "c")) - 1) / TILE).cast("int")).withColumn("last", F.max("tile").over(shard))
-        grouped = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        grouped = grouped.select("shingle", "c", "n", "part", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+        grouped = self.tiles(shards).select("shingle", "c", "n", "part", "tile", "low", "high")
         groups = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         nodes = cut(self.nodes(cut(shards.select("c").distinct(), "jaccard-ends"), "point"), "jaccard-points")
         first = F.slice(F.sort_array(F.collect_set("shingle")), 1, KEYS)
@@ -560,8 +679,8 @@ class _Join:
         return self.verified(cut(pairs.distinct(), "jaccard-rest"), "jaccard-second")
 
 
-def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (id, class, n), links (a, b) between classes that connect all that are connected, and components (c, part)."""
+def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[_Join, DataFrame, DataFrame]:
+    """The join with its members (id, class, n), links (a, b) between classes that connect all that are connected, and components (c, part)."""
     join = _Join(df, id_col, text_col, size, percent)
     shards, found, parts, before = join.shards(), _no_links(join.spark), None, None
     for turn in range(ROUNDS):
@@ -584,19 +703,20 @@ def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
     release(join.spark)
     if parts is None:
         parts = components(found)
-    return join.members, found, parts
+    return join, found, parts
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(id, c, n, component, lead), one row per row of df. lead is the class that stays of a group whose ids are all null."""
-    members, _, parts = links(df, id_col, text_col, size, percent)
+def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, _Join]:
+    """(id, c, n, component, lead), one row per row of df, and the join. lead is the class that stays of a group whose ids are all null."""
+    join, _, parts = links(df, id_col, text_col, size, percent)
+    members = join.members
     classes = members.filter("c <> 0").groupBy("c").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     joined = classes.join(parts, "c", "left")
     by_part = joined.filter("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("smallest"), F.min("c").alias("least"))
     final = joined.join(by_part, "part", "left").filter("part IS NOT NULL OR rows > 1").select(F.col("c").alias("c_"), F.coalesce("smallest", "id").alias("component"), F.coalesce("least", "c").alias("lead"))
     final = cut(final, "jaccard-components")
     out = members.join(_small(final), F.col("c") == F.col("c_"), "left")
-    return out.select("id", "c", "n", F.coalesce("component", "id").alias("component"), F.coalesce("lead", "c").alias("lead"))
+    return out.select("id", "c", "n", F.coalesce("component", "id").alias("component"), F.coalesce("lead", "c").alias("lead")), join
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -607,19 +727,19 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     integers; a null id is never a component's unless all its members' are null. Rows that share an id stay rows of their
     own. An empty table gives an empty table.
     """
-    groups = _grouped(df, id_col, text_col, size, percent)
+    groups, _ = _grouped(df, id_col, text_col, size, percent)
     return groups.select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _classed(size: int, text: str, new: str):
+def _classed(text: str, new: str, numbers):
     """The rows, with the class of each text instead of the text."""
 
     @trimmed
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(text).cast(pa.binary()).to_pylist(), size)
+            own = class_numbers(digests(batch.column(text).cast(pa.binary()).to_pylist()), numbers.value)
             rest = [c for c in batch.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array([class_of(s) for s in sets], pa.int64())], names=[*rest, new])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(own, pa.int64())], names=[*rest, new])
 
     return run
 
@@ -633,7 +753,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     id__, text__, c__, gone, gone_c = fresh(df, "id__", "text__", "c__", "gone__", "gone_c__")
     null = F.col("id").isNull() & F.col("component").isNull() & (F.col("c") != F.col("lead"))
-    groups = _grouped(df, id_col, text_col, size, percent).select("id", "c", (~F.col("id").eqNullSafe(F.col("component")) | null).alias("goes"))
+    groups, join = _grouped(df, id_col, text_col, size, percent)
+    groups = groups.select("id", "c", (~F.col("id").eqNullSafe(F.col("component")) | null).alias("goes"))
     decided = cut(groups.distinct(), "jaccard-decided")
     by_id = decided.filter("id IS NOT NULL").groupBy("id").agg(F.max("goes").alias("any"), F.min("goes").alias("all")).filter("any")
     dropped = cut(by_id.select(F.col("id").alias(gone), "all"), "jaccard-dropped")
@@ -648,7 +769,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         types = T.StructType([f for f in asked.schema if f.name != text__] + [T.StructField(c__, T.LongType())])
         going = decided.filter("goes").select(F.col("id").alias(gone), F.col("c").alias(gone_c))
         same = F.col(id__).eqNullSafe(F.col(gone)) & (F.col(c__) == F.col(gone_c))
-        stay = cut(asked.mapInArrow(_classed(size, text__, c__), types).join(_small(going), same, "left_anti"), "jaccard-stay")
+        stay = cut(asked.mapInArrow(_classed(text__, c__, join.numbers), types).join(_small(going), same, "left_anti"), "jaccard-stay")
         one = F.col(id__).isNull() & (F.col(c__) != 0)
         firsts = stay.filter(one).groupBy(c__).agg(F.min_by(F.struct(*df.columns), F.col(text_col)).alias(gone)).select(f"{gone}.*")
         out = out.unionAll(stay.filter(~one).select(df.columns)).unionAll(firsts)

@@ -207,7 +207,7 @@ def near_brute(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("settings", [{}, {"STARS": 1, "ROUNDS": 1, "LEAF": 2, "FAN": 2, "TILE": 4, "KEYS": 2, "FEW_LINKS": 0, "BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"STARS": 1, "ROUNDS": 1, "LEAF": 2, "FAN": 2, "TILE": 4, "KEYS": 2, "FEW_LINKS": 0, "BROADCAST_ROWS": 0}, {"SALT_ROWS": 2, "TILE": 3, "OFTEN": 2, "ROUNDS": 1}, {"CLASS_BITS": 3, "SALT_ROWS": 5}])
 def test_near_groups(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -264,6 +264,20 @@ def test_tree_finds_all_pairs_that_the_bound_allows():
     assert want and got == want
 
 
+def test_exact_sets_are_the_shingles():
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdABCD") for _ in range(rnd.choice([0, 1, 4, 5, 6, 30]))) for _ in range(60)]
+    for size in (1, 2, 3, 5, 7):
+        want = []
+        for t in texts:
+            w = words(t, True)
+            want.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+        got = [set(s.tolist()) for s in jaccard.exact_sets([t.encode() for t in texts], size)]
+        assert [len(s) for s in got] == [len(s) for s in want]
+        for i in range(0, 60, 7):
+            assert [len(got[i] & s) for s in got] == [len(want[i] & s) for s in want]
+
+
 def test_overlap_bound_is_never_below_the_overlap():
     rnd = np.random.default_rng(3)
     for k in (1, 30, 700, 5000):
