@@ -7,8 +7,11 @@ The model is learned here: frequencies of character n-grams per language, from a
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import fresh
 from tessera.llm.spm import small_batches
 
-#: Rows of each language to learn from, as expected from a hash of the row; and n-grams kept per language, the most frequent.
+#: Rows of each language to learn from, as expected from a hash of the row; and n-grams kept per language, the most frequent: the size of the model.
 SAMPLE_ROWS, GRAMS = 4000, 20_000
 #: Cost of changing the language from one word to the next, in nats, and of a language whose script is another.
 SWITCH, WRONG_SCRIPT = 12.0, 60.0
@@ -38,9 +41,23 @@ RANGES = [
 _FIRST = np.array([a for a, _ in RANGES])
 SCRIPTS = sorted({s for _, s in RANGES})
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s in RANGES])
-#: Words as the labels see them: runs of letters and marks, apostrophes inside.
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 LONGEST = 40
+#: Texts are split into words in slices of about so many characters.
+SLICE = 1 << 20
+#: Ranges of marks that go with letters of any script.
+_MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+
+
+@lru_cache(maxsize=1)
+def _word() -> re.Pattern:
+    """Words as the labels see them: runs of letters, marks and numerals other than digits, apostrophes inside."""
+    points = [i for i in range(sys.maxunicode + 1) if (c := unicodedata.category(chr(i)))[0] in "LM" or c in ("Nl", "No")]
+    cuts = [0, *(i for i in range(1, len(points)) if points[i] != points[i - 1] + 1), len(points)]
+    own = "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for a, b in zip(cuts, cuts[1:]))
+    return re.compile(f"[{own}]+(?:['’][{own}]+)*")
+
+
+_ASCII_WORD = re.compile("[a-z]+(?:'[a-z]+)*")
 
 
 def _of_script(script: str) -> str:
@@ -48,8 +65,8 @@ def _of_script(script: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for (a, s), b in zip(RANGES, ends) if s == script)
 
 
-#: Consecutive pieces of one script and of at most LONGEST characters, which together are the whole run; an apostrophe is of any script.
-_PIECE = re.compile("|".join(f"[{_of_script(s)}][{_of_script(s)}'’]{{0,{LONGEST - 1}}}" for s in SCRIPTS))
+#: Consecutive pieces of one script and of at most LONGEST characters, which together are the whole run; apostrophes and some marks are of any script.
+_PIECE = re.compile("|".join(f"[{_of_script(s)}][{_of_script(s)}'’{_MARKS}]{{0,{LONGEST - 1}}}" for s in SCRIPTS))
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -58,12 +75,23 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
 
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case. A run that is long, as in a script without spaces, or that changes script is several words."""
-    words = WORD.findall(text.lower())
+    words = (_ASCII_WORD if text.isascii() else _word()).findall(text.lower())
     if text.isascii() and max(map(len, words), default=0) <= LONGEST:
         return words
     return [p for w in words for p in ((w,) if w.isascii() and len(w) <= LONGEST else _PIECE.findall(w))]
 
 
+def slices_of(text: str) -> Iterator[str]:
+    """A text in slices of about a million characters, cut between words, or where a run goes on for ever, inside it."""
+    at = 0
+    while at < len(text):
+        end = at + SLICE
+        while end < min(len(text), at + 2 * SLICE) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the 1- to 3-grams of all words between word marks, and the word each belongs to."""
     joined = " " + " ".join(words) + " "
@@ -149,75 +177,122 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 
 
 def best_paths(emissions: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
-    """The best language of each word of each text. Texts of similar length advance together; ties go to the first language and to staying."""
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(emissions)
-    order = sorted((i for i in range(len(emissions)) if emissions[i].size), key=lambda i: len(emissions[i]))
+    """The best language of each word of each text, from scores of each of its words; see paths."""
+    sizes = [len(e) for e in emissions]
+    table = np.concatenate([e for e in emissions if e.size] or [np.zeros((0, 1), dtype=np.float32)])
+    ends = np.cumsum(sizes)
+    return paths(table, [np.arange(b - n, b) if emissions[i].size else np.empty(0, np.int64) for i, (n, b) in enumerate(zip(sizes, ends))], switch)
+
+
+def paths(table: np.ndarray, rows: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
+    """The best language of each word of each text, whose scores are rows of the table; ties go to the first language and to staying.
+
+    Texts of similar length advance together, without padding: a step handles the texts that have a word there. Kept per
+    word are the best language so far, and a bit for each language that is better entered from there.
+    """
+    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(rows)
+    order = sorted((i for i in range(len(rows)) if len(rows[i]) and table.shape[1]), key=lambda i: len(rows[i]))
     while order:
-        own = order[-256:] if len(emissions[order[-1]]) < 4000 else order[-16:]
-        del order[-len(own) :]
-        _advance(emissions, own, switch, out)
+        own, total = [], 0
+        while order and len(own) < 256 and (not own or total + len(rows[order[-1]]) <= 1_000_000):
+            total += len(rows[order[-1]])
+            own.append(order.pop())
+        _advance(table, rows, own, switch, out)
     return out
 
 
-def _advance(emissions, own, switch, out) -> None:
-    longest, k = len(emissions[own[-1]]), emissions[own[-1]].shape[1]
-    lengths = np.array([len(emissions[i]) for i in own])
-    padded = np.zeros((longest, len(own), k), dtype=np.float32)
+def _advance(table, rows, own, switch, out) -> None:
+    """Texts `own`, the longest first, one word of each at a time."""
+    lengths, k = np.array([len(rows[i]) for i in own]), table.shape[1]
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").astype(np.int32)  # texts longer than t
+    offset = np.concatenate([[0], np.cumsum(active, dtype=np.int64)])
+    at = np.empty(offset[-1], dtype=np.int32)
     for j, i in enumerate(own):
-        padded[: lengths[j], j] = emissions[i]
-    rows, score = np.arange(len(own)), np.zeros((len(own), k), dtype=np.float32)
-    came = np.empty((longest, len(own), k), dtype=np.int16)
-    stay = np.arange(k, dtype=np.int16)
-    for t in range(longest):
-        best = score.argmax(axis=1)
-        top = score[rows, best][:, None] - np.float32(switch)
-        move = top > score
-        came[t] = np.where(move, best[:, None], stay)
-        score = np.where(move, top, score) + padded[t]
+        at[offset[: lengths[j]] + j] = rows[i]
+    best, moves = np.empty(len(at), dtype=np.int16), np.empty((len(at), -(-k // 8)), dtype=np.uint8)
+    score, index = np.zeros((len(own), k), dtype=np.float32), np.arange(len(own))
+    final = np.empty(len(own), dtype=np.int16)
+    for t, m in enumerate(active.tolist()):
+        if m < len(score):
+            final[m : len(score)] = score[m:].argmax(axis=1)
+            score = score[:m]
+        a = offset[t]
+        top = score.argmax(axis=1)
+        entered = score[index[:m], top][:, None] - np.float32(switch)
+        move = entered > score
+        best[a : a + m], moves[a : a + m] = top, np.packbits(move, axis=1)
+        score = np.where(move, entered, score) + table[at[a : a + m]]
         score -= score.max(axis=1, keepdims=True)  # keeps the precision of long texts
-    label = np.empty((longest, len(own)), dtype=np.int64)
-    at = score.argmax(axis=1)  # past a text's end nothing is emitted, so the best stays the best
-    for t in range(longest - 1, -1, -1):
-        label[t] = at
-        at = came[t, rows, at]
+    final[: len(score)] = score.argmax(axis=1)
+    label, now = np.empty(len(at), dtype=np.int16), final.astype(np.int64)
+    for t in range(len(active) - 1, -1, -1):
+        a, m = offset[t], active[t]
+        here = now[:m]
+        label[a : a + m] = here
+        entered = moves[a + index[:m], here >> 3] >> (7 - (here & 7)) & 1
+        now[:m] = np.where(entered, best[a : a + m], here)
     for j, i in enumerate(own):
-        out[i] = label[: lengths[j], j]
+        out[i] = label[offset[: lengths[j]] + j]
 
 
 class Labeller:
-    """Labels texts; remembers the scores of words up to a limit."""
+    """Labels texts; remembers the scores of words, of at most LONGEST characters each, up to a number of them."""
 
     LIMIT = 250_000
 
     def __init__(self, model: Languages):
-        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.names)), dtype=np.float32)
-        self.letters = np.zeros(0, dtype=bool)  # of each known word: it is not made of other numerals only
-
-    def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """Words of each text and the language of each, by number."""
-        if len(self.known) > self.LIMIT:
-            self.known, self.table, self.letters = {}, self.table[:0], self.letters[:0]
-        known, new, codes, words = self.known, [], [], []
-        for text in texts:
-            own = words_of(text) if text else []
-            for w in set(own).difference(known):
-                known[w] = len(known)
-                new.append(w)
-            codes.append(np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own)))
-            words.append(own)
-        self.table = np.concatenate([self.table, self.model.word_scores(new)])
-        self.letters = np.concatenate([self.letters, np.array([any(c.isalpha() for c in w) for w in new], dtype=bool)])
-        words = [[w for w, ok in zip(own, self.letters[c]) if ok] if not self.letters[c].all() else own for own, c in zip(words, codes)]
-        codes = [c[self.letters[c]] for c in codes]
-        return list(zip(words, best_paths([self.table[c] for c in codes])))
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.over = {}, False
+        self.table, self.letters = np.zeros((0, len(self.model.names)), dtype=np.float32), np.zeros(0, dtype=np.int16)
+
+    def _score(self, words: list[str]) -> dict[str, int]:
+        """Rows for words that the table lacks. A word weighs its characters; numerals alone are no word."""
+        numbers = dict(zip(words, range(len(self.table), len(self.table) + len(words))))
+        self.table = np.concatenate([self.table, self.model.word_scores(words)])
+        self.letters = np.concatenate([self.letters, np.array([len(w) if any(map(str.isalpha, w)) else 0 for w in words], dtype=np.int16)])
+        return numbers
+
+    def _rows(self, words: list[str], known: dict[str, int]) -> np.ndarray:
+        rows = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+        return rows[self.letters[rows] > 0]
+
+    def _long(self, text: str) -> np.ndarray:
+        """Rows for a long text, slice by slice; past the limit a slice's new words are remembered for that slice only."""
+        parts = []
+        for piece in slices_of(text):
+            words = words_of(piece)
+            own = set(words)
+            new = list(own.difference(self.known))
+            if len(self.known) + len(new) <= self.LIMIT:
+                self.known |= self._score(new)
+                parts.append(self._rows(words, self.known))
+            else:
+                self.over = True
+                parts.append(self._rows(words, {w: self.known[w] for w in own.intersection(self.known)} | self._score(new)))
+        return np.concatenate(parts)
+
+    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Characters of each word of each text, and the word's language by number."""
+        if self.over or len(self.known) > self.LIMIT:
+            self._forget()
+        long = [len(t or "") >= SLICE for t in texts]
+        words = [[] if is_long else words_of(t or "") for t, is_long in zip(texts, long)]
+        self.known |= self._score(list({w for own in words for w in own}.difference(self.known)))
+        rows = [self._long(t) if is_long else self._rows(own, self.known) for t, own, is_long in zip(texts, words, long)]
+        return [(self.letters[r], p) for r, p in zip(rows, paths(self.table, rows))]
 
 
 def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
     """All rows and columns of df with lang_pred, score and lang_spans.
 
     lang_spans lists runs of words of one language, as array<struct<lang, first_word, n_words>>; lang_pred is the language
-    of the most letters and score its share. Words are those of words_of. A null text, one without a letter, and any text under a model without languages
-    get `und`, 0 and no spans. Columns of df that have the name of a new column are replaced.
+    of the most characters of words and score its share, of equal ones the first by name. Words are those of words_of. A null
+    or empty text, one without a letter, and any text under a model without languages get `und`, 0 and no spans. Rows that repeat
+    get the same. A text of any length is read whole, some ten bytes a word at a time. An empty table stays empty. Columns of df
+    that have the name of a new column are replaced.
     """
     small_batches(df.sparkSession)
     given_model = df.sparkSession.sparkContext.broadcast(model)
@@ -232,11 +307,11 @@ def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFra
         names, labeller = given_model.value.names, Labeller(given_model.value)
         for batch in batches:
             pred, score, spans = [], [], []
-            for words, path in labeller.label(batch.column(text).to_pylist()):
+            for letters, path in labeller.label(batch.column(text).to_pylist()):
                 if not len(path) or not names:
                     pred.append("und"), score.append(0.0), spans.append([])
                     continue
-                by = np.bincount(path, weights=np.fromiter(map(len, words), dtype=np.int64, count=len(words)), minlength=len(names))
+                by = np.bincount(path, weights=letters, minlength=len(names))
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
                 sizes = np.diff(np.concatenate([starts, [len(path)]]))
                 pred.append(names[by.argmax()]), score.append(float(by.max() / by.sum()))

@@ -651,6 +651,80 @@ def test_runs_without_spaces_are_scored_whole(spark):
         assert "".join(langid.words_of(text)) == text and max(map(len, langid.words_of(text))) <= langid.LONGEST
 
 
+def test_marks_belong_to_words():
+    for text in ("हिन्दी भाषा", "ภาษาไทยที่นี่", "தமிழ் மொழி", "caf\u0065\u0301 и\u0301мя"):
+        assert "".join(langid.words_of(text)) == text.replace(" ", "")
+    assert langid.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and langid.words_of("и\u0301мя") == ["и\u0301мя"]
+
+
+def language_brute(text, model, words=None):
+    """Language and share by a plain search over every word's own score."""
+    words = langid.words_of(text) if words is None else words
+    words = [w for w in words if any(c.isalpha() for c in w)]
+    if not words:
+        return "und", 0.0
+    e = np.array([model.word_scores([w])[0] for w in words], dtype=np.float64)
+    score, back = np.zeros(len(model.names)), []
+    for row in e:
+        best = int(score.argmax())
+        came = [best if score[best] - langid.SWITCH > score[k] else k for k in range(len(score))]
+        score = np.maximum(score, score[best] - langid.SWITCH) + row
+        back.append(came)
+    at, path = int(score.argmax()), []
+    for came in reversed(back):
+        path.append(at)
+        at = came[at]
+    by = Counter()
+    for w, k in zip(words, reversed(path)):
+        by[k] += len(w)
+    top = min(by, key=lambda k: (-by[k], k))
+    return model.names[top], by[top] / sum(by.values())
+
+
+def test_predictions_match_a_plain_search(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(150).collect()] + [(10**6 + i, t) for i, t in enumerate(["", None, "12 ½", "the der", "The cat. Der Hund ging. " * 4])]
+    model = langid.learn(docs)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in langid.identify(df.unionAll(df), model).collect():
+        lang, score = language_brute(r["text"] or "", model)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score)
+
+
+def test_very_long_texts_in_slices(monkeypatch):
+    words = ["cat", "hund", "chien"]
+    model = langid.Languages(["a", "b", "c"], np.array([ord(c) for c in "cdehint"]), np.array([[2, -1, -1], [0, 1, -1], [-1, -1, 2], [0, 0.5, 1], [0, 0, 0], [0, 1, 0], [1, -1, 0], [0, 0, 0]], dtype=np.float32), np.ones((len(langid.SCRIPTS), 3), dtype=bool))
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(words) + rnd.choice(["", "xy", "q" * rnd.randint(1, 30)]) for _ in range(n)) for n in (3000, 4, 0, 800, 799)] + [None]
+    want = langid.Labeller(model).label(texts)
+    monkeypatch.setattr(langid, "SLICE", 500)
+    monkeypatch.setattr(langid.Labeller, "LIMIT", 40)
+    labeller = langid.Labeller(model)
+    for _ in range(2):
+        for (x, p), (y, q) in zip(want, labeller.label(texts)):
+            assert x.tolist() == y.tolist() and p.tolist() == q.tolist()
+
+
+def test_memory_of_a_text_of_millions_of_words():
+    import tracemalloc
+
+    model = langid.Languages(["a", "b", "c", "d"], np.array([97, 98]), np.array([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 0, 0]], dtype=np.float32), np.ones((len(langid.SCRIPTS), 4), dtype=bool))
+    text = "a b " * 100_000
+    tracemalloc.start()
+    ((letters, path),) = langid.Labeller(model).label([text])
+    assert len(path) == len(letters) == 200_000 and tracemalloc.get_traced_memory()[1] < 20e6  # ten million words: under a gigabyte
+    tracemalloc.stop()
+
+
+def test_language_accuracy_by_length(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.learn(docs.filter(~held))
+    for length, least in ((20, 0.75), (40, 0.85), (60, 0.9), (200, 0.95)):
+        got = langid.identify(docs.filter(held).select("lang", F.substring("text", 1, length).alias("text")), model)
+        assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > least, length
+
+
 def test_every_label_is_learned_at_every_size(spark):
     rows = [(i, f"the cat and dog number {'abcdefghij'[i % 10]} went", "en") for i in range(3000)] + [(None, f"der hund {'klmnopqrst'[i % 10]} ging", "de") for i in range(3000)]
     rows += [(9000, "кошка и собака", "ru"), (None, "le chat noir", "fr"), (None, "le chien", "fr")]
