@@ -602,11 +602,11 @@ class _Join:
     def shards(self) -> DataFrame:
         """(shingle, salts, c, n) of the shingles that two classes or more have in their prefixes."""
         entries = self.docs.mapInArrow(_prefixes(self.size, self.percent, self.frequent, self.numbers), "shingle long, c long, n long, salts int")
-        if self.salted:  # of a salted shingle a class stays once; the others are few beside their texts
-            hot = entries.filter("salts > 1").dropDuplicates(["shingle", "c"])
-            entries = entries.filter("salts = 1").unionByName(hot)
-        dealt = self.over_shards(entries, {"least": F.min("c"), "most": F.max("c")}).filter("least < most")
-        return cut(dealt.select("shingle", "salts", "c", "n").dropDuplicates(["shingle", "c"]).withColumn("part", F.col("c")), "jaccard-shards")
+        # one pass over the texts: salted shingles are frequent, so they recur whatever else is in their row's part
+        salt = F.when(F.col("salts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("c"), F.col("salts")).cast("int"))
+        part = Window.partitionBy("shingle", "salt")
+        dealt = entries.withColumn("salt", salt).withColumns({"least": F.min("c").over(part), "most": F.max("c").over(part)}).filter("least < most OR salts > 1")
+        return cut(dealt.dropDuplicates(["shingle", "salt", "c"]).select("shingle", "salts", "c", "n").withColumn("part", F.col("c")), "jaccard-shards")
 
     def verified(self, pairs: DataFrame, what: str) -> DataFrame:
         """The pairs that link, by the words of their whole texts. Only texts of these pairs are moved."""
