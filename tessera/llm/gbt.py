@@ -100,10 +100,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     return model
 
 
-def threshold(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The smallest probability above which this share of the rows are positive, or 1.01 where none is."""
+def threshold(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float, doubt: int = 0) -> float:
+    """The smallest probability above which this share of the rows are positive, with so many more mistakes than are seen; 1.01 where none is."""
     p = model.probability(x)
     order = np.argsort(-p, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    share = np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + doubt)
     good = np.flatnonzero(share >= precision)
     return float(p[order][good[-1]]) if len(good) else 1.01

@@ -154,7 +154,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
     number = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans")
-    return found.select("doc_id", *[number(k) for k in pii.BASE], "base_sha256", spans)
+    return found.select("doc_id", *[number(k) for k in pii.BASE], "base_sha256", spans, F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 QUERIES |= {"op2_pii": op2_pii}
