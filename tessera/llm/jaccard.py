@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -587,17 +588,19 @@ class _Join:
         discard(ends, nodes, pairs)
         return out
 
-    def over_shards(self, shards: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        """shards with aggregates over each shingle. Rows of a salted shingle get them by a join, from an aggregate that tasks begin."""
-        cold = shards.filter("salts = 1") if self.salted else shards
-        shard = Window.partitionBy("shingle")
-        out = cold.withColumns({k: v.over(shard) for k, v in columns.items()})
-        if not self.salted:
-            return out
-        hot = shards.filter("salts > 1")
-        totals = hot.groupBy("shingle").agg(F.first("salts").alias("salts"), *[v.alias(k) for k, v in columns.items()])
-        dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        return out.unionByName(hot.withColumn("salt", F.pmod(F.xxhash64("c"), "salts").cast("int")).join(dealt, ["shingle", "salt"]).select(out.columns))
+    def kinds(self, shards: DataFrame) -> list[tuple[DataFrame, bool]]:
+        """The rows of shingles that stay in one task, and those of shingles that a salt deals to several."""
+        return [(shards.filter("salts = 1"), False), (shards.filter("salts > 1"), True)] if self.salted else [(shards, False)]
+
+    @staticmethod
+    def over_shards(shards: DataFrame, columns: dict[str, Column], salted: bool) -> DataFrame:
+        """shards with aggregates over each shingle, by a window; or where they are salted by an aggregate that tasks begin, and a join."""
+        if not salted:
+            shard = Window.partitionBy("shingle")
+            return shards.withColumns({k: v.over(shard) for k, v in columns.items()})
+        totals = shards.groupBy("shingle").agg(F.first("salts").alias("copies"), *[v.alias(k) for k, v in columns.items()])
+        dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        return shards.withColumn("salt", F.pmod(F.xxhash64("c"), "salts").cast("int")).join(dealt, ["shingle", "salt"]).drop("salt")
 
     def shards(self) -> DataFrame:
         """(shingle, salts, c, n) of the shingles that two classes or more have in their prefixes."""
@@ -620,25 +623,30 @@ class _Join:
         discard(ends, wanted, nodes, pairs)
         return out
 
-    def over_hubs(self, shards: DataFrame, turn: int) -> DataFrame:
+    def over_hubs(self, shards: DataFrame, turn: int, salted: bool) -> DataFrame:
         """shards with hub, a few members of the shard, drawn by hash."""
         firsts = {f"hub{i}": F.min(F.struct(F.xxhash64("c", F.lit(turn * STARS + i)).alias("h"), "c", "n", "part")) for i in range(STARS)}
-        return self.over_shards(shards, firsts).withColumn("hub", F.array(*firsts)).drop(*firsts)
+        return self.over_shards(shards, firsts, salted).withColumn("hub", F.array(*firsts)).drop(*firsts)
 
     def stars(self, shards: DataFrame, turn: int) -> DataFrame:
         """Links between a few members of each shard and its members in other components."""
-        met = self.over_hubs(shards, turn).withColumn("hub", F.explode("hub")).filter("hub.part <> part")
+        met = reduce(DataFrame.unionByName, [self.over_hubs(own, turn, salted) for own, salted in self.kinds(shards)])
+        met = met.withColumn("hub", F.explode("hub")).filter("hub.part <> part")
         own = met.filter(_fits(F.col("n"), F.col("hub.n"), self.percent)).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
         pairs = self.bounded(self.bounded(cut(own.distinct(), "jaccard-stars"), "coarse"), "point")
         return self.verified(pairs, "jaccard-first")
 
     def open(self, shards: DataFrame, parts: DataFrame | None, turn: int) -> tuple[DataFrame, int, int]:
         """The shards that lie in several components, without the members that have met all others; their rows, and the pairs across components."""
-        met = self.over_hubs(shards, turn).filter(~F.exists("hub", lambda h: h["c"] == F.col("c"))).drop("hub")
-        if parts is not None:
-            met = met.withColumnRenamed("part", "old").join(_small(parts), "c", "left").withColumn("part", F.coalesce("part", "old"))
-        spread = self.over_shards(met.select("shingle", "salts", "c", "n", "part"), {"p": F.min("part"), "q": F.max("part")})
-        left = cut(spread.filter("p < q").select("shingle", "salts", "c", "n", "part"), "jaccard-open")
+        held = None if parts is None else _small(parts.withColumnRenamed("part", "new"))
+        lefts = []
+        for own, salted in self.kinds(shards):
+            met = self.over_hubs(own, turn, salted).filter(~F.exists("hub", lambda h: h["c"] == F.col("c"))).drop("hub")
+            if held is not None:
+                met = met.join(held, "c", "left").withColumn("part", F.coalesce("new", "part"))
+            spread = self.over_shards(met.select("shingle", "salts", "c", "n", "part"), {"p": F.min("part"), "q": F.max("part")}, salted)
+            lefts.append(spread.filter("p < q").select("shingle", "salts", "c", "n", "part"))
+        left = cut(reduce(DataFrame.unionByName, lefts), "jaccard-open")
         discard(shards)
         sizes = left.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
         rows, pairs = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0))).first()
