@@ -92,10 +92,11 @@ def release(spark: SparkSession) -> None:
 
 
 def trimmed(run):
-    """A function over batches that gives the memory it freed back to the system at its end; Python workers wait for the next task with what they hold."""
+    """A function over batches that gives freed memory back to the system: Arrow's at once, the rest at its end; workers wait for the next task with what they hold."""
 
     @functools.wraps(run)
     def own(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:

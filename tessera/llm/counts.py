@@ -12,28 +12,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh
+from tessera.llm.common import fresh, trimmed
 from tessera.llm.spm import BPE, DEFAULT_MODEL, Model, model_bytes, small_batches
 
 _BITS = 22
 
 
 class Counter(dict):
-    """Number of tokens of a chunk, remembered for as many chunks as fit under a limit."""
+    """Number of tokens of a chunk, remembered for a number of chunks and of characters."""
 
-    LIMIT = 300_000
+    LIMIT, CHARACTERS = 300_000, 16 << 20
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.characters = model, 0
         self.automaton = ahocorasick.Automaton()
         for piece, i in model.ids.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.LIMIT or self.characters >= self.CHARACTERS:
             self.clear()
+            self.characters = 0
+        self.characters += len(chunk)
         n = self[chunk] = self._merged(chunk) if self.model.kind == BPE else self._summed(chunk)
         return n
 
@@ -92,13 +94,17 @@ def counter(data: bytes) -> Counter:
 
 
 def token_counts(df: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text") -> DataFrame:
-    """All rows and columns of df with n_tokens; a null or empty text has none. A column n_tokens of df is replaced."""
+    """All rows and columns of df with n_tokens; a null or empty text has none, and rows that repeat have the same.
+
+    A text of any length is counted whole, chunk by chunk. An empty table stays empty. A column n_tokens of df is replaced.
+    """
     small_batches(df.sparkSession)
     data = model_bytes(df.sparkSession, path)
     (text,) = fresh(df, "text__")
     old = [c for c in df.columns if c.lower() != "n_tokens"]
     given = df.select(*old, df[text_col].cast("string").alias(text))
 
+    @trimmed
     def run(batches):
         own = counter(data.value)
         for batch in batches:

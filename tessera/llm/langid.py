@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh
+from tessera.llm.common import fresh, trimmed
 from tessera.llm.spm import small_batches
 
 #: Rows of each language to learn from, as expected from a hash of the row; and n-grams kept per language, the most frequent: the size of the model.
@@ -303,6 +303,7 @@ def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFra
     given = df.select(*old, df[text_col].cast("string").alias(text))
     spans_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
+    @trimmed
     def run(batches):
         names, labeller = given_model.value.names, Labeller(given_model.value)
         for batch in batches:

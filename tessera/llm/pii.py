@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm import gbt
-from tessera.llm.common import fresh
+from tessera.llm.common import fresh, trimmed
 from tessera.llm.spm import small_batches
 
 BASE = ("email", "ip", "card", "phone")
@@ -349,6 +349,7 @@ def find_pii(df: DataFrame, text_col: str = "text", redact: bool = True) -> Data
     given = df.select(*old, df[text_col].cast("string").alias(text))
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    @trimmed
     def run(batches):
         for batch in batches:
             spans, digests, texts = [], [], []

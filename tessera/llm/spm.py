@@ -316,9 +316,9 @@ def _hashes(points: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes many texts; remembers chunks up to a limit."""
+    """Encodes many texts; remembers chunks up to a number of them and of characters."""
 
-    LIMIT = 350_000
+    LIMIT, CHARACTERS = 250_000, 16 << 20
 
     def __init__(self, model: Model):
         self.model = model
@@ -326,6 +326,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
+        self.characters = 0
         self.counts, self.flat, self.used, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
 
     def _add(self, chunks: list[str]) -> None:
@@ -340,7 +341,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and identifiers of the texts; a null text has none."""
-        if len(self.codes) > self.LIMIT:
+        if len(self.codes) > self.LIMIT or self.characters > self.CHARACTERS:
             self._forget()
         codes, order, new = self.codes, [], []
         for text in texts:
@@ -351,6 +352,7 @@ class Encoder:
             order.append(np.fromiter(map(codes.__getitem__, own), dtype=np.int64, count=len(own)))
         if new:
             self._add(new)
+            self.characters += sum(map(len, new))
         lengths = self.counts[: self.used]
         starts = np.cumsum(lengths) - lengths
         every = np.concatenate(order) if order else np.empty(0, np.int64)
@@ -376,15 +378,21 @@ def model_bytes(spark: SparkSession, path: str = DEFAULT_MODEL):
         return spark.sparkContext.broadcast(f.read())
 
 
-#: Texts that go to a Python worker at once.
-ROWS_AT_ONCE = 1000
+#: Texts, and bytes of texts, that go to a Python worker at once.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts: let few rows at a time go to Python, which is given this package."""
+    """Long texts: let few rows and bytes at a time go to Python, which is given this package.
+
+    Plans read these settings when they run, so they stay lowered for the session.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_AT_ONCE:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    for name, most in (("maxRecordsPerBatch", ROWS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def encode(df: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", check: bool = False) -> DataFrame:
