@@ -318,7 +318,7 @@ def _hashes(points: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes many texts; remembers chunks up to a number of them and of characters."""
 
-    LIMIT, CHARACTERS = 250_000, 16 << 20
+    LIMIT, CHARACTERS = 120_000, 8 << 20
 
     def __init__(self, model: Model):
         self.model = model
@@ -379,7 +379,7 @@ def model_bytes(spark: SparkSession, path: str = DEFAULT_MODEL):
 
 
 #: Texts, and bytes of texts, that go to a Python worker at once.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
