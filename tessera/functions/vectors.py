@@ -1,16 +1,10 @@
-"""Vectors as arrays: norm, dot product, centroid, ragged rows, and top-k search in blocks."""
+"""Vectors as arrays: norm, dot product, centroid, ragged rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.ship import ship
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -40,38 +34,3 @@ def centroid(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Mean vector per key, element by element."""
     own = df.select(*keys, F.posexplode(vector).alias("at", "x")).groupBy(*keys, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return own.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
-
-
-#: Queries that one task scores against a batch of rows; a block of them is a few MB, whatever the tables.
-BLOCK = 2048
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str) -> DataFrame:
-    """The k rows of the largest dot product for each query: (query_id, row_id, score, rank); ties by row id.
-
-    Queries go out in blocks; each block meets each partition of the rows once, which keeps k rows per query.
-    """
-    ship(queries.sparkSession)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    blocks = q.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / BLOCK)).groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-    out = None
-    for block in blocks.toLocalIterator():
-        ids = np.array([x["query_id"] for x in block["queries"]], dtype=np.int64)
-        own = queries.sparkSession.sparkContext.broadcast((ids, np.array([x["v"] for x in block["queries"]], dtype=np.float64)))
-
-        def run(frames: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
-            ids, matrix = own.value
-            for f in frames:
-                if len(f):
-                    order = np.argsort(f["row_id"].to_numpy(), kind="stable")
-                    row_ids = f["row_id"].to_numpy()[order]
-                    scores = np.floor(matrix @ np.stack(f["v"].to_numpy()[order]).astype(np.float64).T * 1e4 + 0.5) / 1e4
-                    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "row_id": row_ids[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
-
-        part = rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("v")).mapInPandas(run, "query_id long, row_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], "query_id long, row_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import char_bucket, duration_bucket, isrc_country, isrc_year, quantised
+from tessera.functions.text import char_bucket, duration_bucket, isrc_country, isrc_year, norm_name, quantised
 from tessera.functions.vectors import centroid, dot, l2
+from tessera.operators.blocks import steady
 from tessera.operators.turns import ROW, last_played
 
-#: The year that ages are reckoned against.
+#: Fixed value: the year that ages are reckoned against.
 THIS_YEAR = 2026
 
 
@@ -34,11 +35,16 @@ def same_entity(candidates: DataFrame, hist: DataFrame, catalog: DataFrame) -> D
     return out.select(*ROW, "track_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("same_artist", "same_album", "same_tag", "same_track")], flag("artist"), flag("album"))
 
 
-def basics(candidates: DataFrame, catalog: DataFrame, hist: DataFrame) -> DataFrame:
-    """Popularity, log duration, release year, turn and length of the history."""
+def basics(candidates: DataFrame, catalog: DataFrame, hist: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Popularity, log duration, release year, turn and length of the history; with users(session_id, age) also the age, 0 if unknown."""
     n = hist.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n_history"))
     own = catalog.select("track_id", "popularity", quantised(F.log1p("duration")).alias("log_duration"), "year")
-    return candidates.join(own, "track_id").join(n, ROW, "left").select(*ROW, "track_id", "popularity", "log_duration", "year", F.coalesce("n_history", F.lit(0)).alias("n_history"))
+    out = candidates.join(own, "track_id").join(n, ROW, "left").withColumn("n_history", F.coalesce("n_history", F.lit(0)))
+    columns = [*ROW, "track_id", "popularity", "log_duration", "year", "n_history"]
+    if users is not None:
+        out = out.join(users.select("session_id", "age"), "session_id", "left").withColumn("user_age", F.coalesce(F.col("age"), F.lit(0)))
+        columns.append("user_age")
+    return out.select(*columns)
 
 
 def rank_family(candidates: DataFrame, neutral: bool = True) -> DataFrame:
@@ -59,6 +65,15 @@ def labels(candidates: DataFrame, golds: DataFrame) -> DataFrame:
     return candidates.join(golds.select(*ROW, "gold"), ROW).withColumns({"label": (F.col("track_id") == F.col("gold")).cast("int"), "group_size": size}).drop("gold")
 
 
+def entity_indexes(catalog: DataFrame) -> DataFrame:
+    """(kind, key, track_id): a track under its artists and albums, their normalised names, its title, and its pairs of album and artist names."""
+    own = catalog.select("track_id", *[F.transform(c, norm_name).alias(f"{c}_names") for c in ("artists", "albums", "titles")], "artists", "albums")
+    pairs = F.flatten(F.transform("albums_names", lambda b: F.transform("artists_names", lambda a: F.concat(b, F.lit("|"), a))))
+    kinds = {"artist_id": F.col("artists"), "album_id": F.col("albums"), "artist": F.col("artists_names"), "album": F.col("albums_names"), "title": F.col("titles_names"), "album_artist": pairs}
+    entry = lambda kind, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    return own.select("track_id", F.explode(F.flatten(F.array(*[entry(k, v) for k, v in kinds.items()]))).alias("e")).select("e.kind", "e.key", "track_id")
+
+
 # -- years, durations, codes --------------------------------------------------------------------------
 
 
@@ -136,9 +151,9 @@ def ppmi(tokens: DataFrame, vocabulary: DataFrame, n_tracks: int, neighbours: in
     other = tokens.select("track_id", F.col("token").alias("other"))
     pairs = tokens.join(other, "track_id").filter("token <> other").groupBy("token", "other").agg(F.count(F.lit(1)).alias("n"))
     joined = pairs.join(vocabulary, "token").join(vocabulary.select(F.col("token").alias("other"), F.col("df").alias("other_df")), "other")
-    value = quantised(F.log(F.col("n") * float(n_tracks) / (F.col("df") * F.col("other_df"))))
-    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("value").desc(), F.col("other_df").desc(), "other"))
-    return joined.withColumn("value", value).filter("value > 0").withColumn("place", rank).filter(F.col("place") <= neighbours).select("token", "other", "value", "place")
+    value = F.log(F.col("n") * float(n_tracks) / (F.col("df") * F.col("other_df")))
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(steady(F.col("value")).desc(), F.col("other_df").desc(), "other"))
+    return joined.withColumn("value", value).filter(steady(F.col("value")) > 0).withColumn("place", rank).filter(F.col("place") <= neighbours).select("token", "other", "value", "place")
 
 
 def tag_chain(candidates: DataFrame, hist: DataFrame, tokens: DataFrame, vocabulary: DataFrame, neighbours: DataFrame, n_tracks: int) -> DataFrame:
@@ -182,6 +197,35 @@ def tag_overlap_text(candidates: DataFrame, texts: DataFrame, tokens: DataFrame,
     return own.groupBy(*key, "track_id").agg(F.count("hit").alias("text_overlap"))
 
 
+def tag_overlap_profile(candidates: DataFrame, profiles: DataFrame, tokens: DataFrame, fields: list[str]) -> DataFrame:
+    """Number of a candidate's tags among the tokens of each field of its session's profile; 0 without one."""
+    from tessera.functions.text import token_set
+
+    def entry(field: str) -> Column:
+        return F.transform(token_set(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(F.lit(field).alias("field"), t.alias("token")))
+
+    entries = F.explode(F.flatten(F.array(*[entry(f) for f in fields])))
+    asked = profiles.select("session_id", entries.alias("e")).select("session_id", "e.field", "e.token")
+    own = candidates.select(*ROW, "track_id").join(tokens, "track_id").join(asked, ["session_id", "token"], "left")
+    return own.groupBy(*ROW, "track_id").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f"{f}_overlap") for f in fields])
+
+
+# -- text ---------------------------------------------------------------------------------------------
+
+
+def text_cosines(candidates: DataFrame, texts: dict[str, DataFrame], tracks: DataFrame) -> DataFrame:
+    """For each named kind of text the cosine of its vector with the candidate's, 0 where they share no term.
+
+    texts: name -> unit vectors (row, term, w); tracks: unit vectors (track_id, term, w).
+    """
+    pairs = candidates.select(*ROW, "track_id").join(tracks.select("track_id", "term", F.col("w").alias("v")), "track_id")
+    out = candidates.select(*ROW, "track_id")
+    for name, vectors in texts.items():
+        value = pairs.join(vectors.select(*ROW, "term", "w"), [*ROW, "term"]).groupBy(*ROW, "track_id").agg(F.sum(F.col("w") * F.col("v")).alias(name))
+        out = out.join(value, [*ROW, "track_id"], "left")
+    return out.select(*ROW, "track_id", *[quantised(F.coalesce(n, F.lit(0.0))).alias(n) for n in texts])
+
+
 # -- vectors ------------------------------------------------------------------------------------------
 
 
@@ -193,6 +237,19 @@ def centroid_cosine(candidates: DataFrame, hist: DataFrame, vectors: DataFrame,
     return own.select(*keys, item, quantised(value).alias("cosine"))
 
 
+def query_cosines(candidates: DataFrame, queries: DataFrame, hist: DataFrame, vectors: DataFrame, keys: list[str], item: str, vector: str) -> DataFrame:
+    """Dot products of a row's query vector with the candidate and with the unit centroid of its history, and whether the candidate has a vector.
+
+    queries(keys, query) has unit vectors; 0 where a vector is missing.
+    """
+    mean = centroid(hist.join(vectors, item), keys, vector)
+    own = candidates.select(*keys, item).join(vectors, item, "left").join(queries.select(*keys, "query"), keys, "left").join(mean, keys, "left")
+    product = lambda a, b: quantised(F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(dot(a, b)))
+    return own.select(
+        *keys, item, product(F.col("query"), F.col(vector)).alias("query_candidate"), product(F.col("query"), l2(F.col("centroid"))).alias("query_history"), F.col(vector).isNotNull().cast("int").alias("has_vector")
+    )
+
+
 def joint_vector(modalities: list[Column], popularity: Column) -> Column:
     """Unit vectors of all modalities one after another, then log popularity."""
     return F.concat(*[l2(m) for m in modalities], F.array(F.log1p(popularity)))

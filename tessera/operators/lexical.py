@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bigrams, plain, quantised, words
+from tessera.functions.text import bigrams, plain, words
+from tessera.operators import blocks
+from tessera.store import written
 
 #: Words that carry no topic.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -23,7 +25,7 @@ def bm25_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     idf is ln(1 + (N - df + 0.5) / (df + 0.5)); documents without a term count for N and the mean length.
     """
-    own = terms(docs, key, text).withColumnRenamed(key, "doc")
+    own = written(terms(docs, key, text).withColumnRenamed(key, "doc"), "terms")  # three parts of the index read it
     lengths = own.groupBy("doc").agg(F.sum("tf").alias("dl"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     total = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
@@ -38,13 +40,19 @@ def bm25_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
     """(key, doc, score) over shared terms; a term that a query repeats counts as often."""
     asked = terms(queries, key, text)
-    return asked.join(index, "term").groupBy(key, "doc").agg(quantised(F.sum(F.col("tf") * F.col("weight"))).alias("score"))
+    return asked.join(index, "term").groupBy(key, "doc").agg(F.sum(F.col("tf") * F.col("weight")).alias("score"))
 
 
-def tagged_scores(queries: DataFrame, index: DataFrame, key: str, wanted: str) -> DataFrame:
-    """BM25 of given terms (an array column); an empty list finds nothing."""
-    asked = queries.select(F.col(key), F.explode(wanted).alias("phrase")).select(key, F.explode(words(F.col("phrase"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return asked.join(index, "term").groupBy(key, "doc").agg(quantised(F.sum(F.col("tf") * F.col("weight"))).alias("score"))
+def bm25_best(queries: DataFrame, index: DataFrame, k: int, key: str, text: str, skip: DataFrame | None = None) -> DataFrame:
+    """(key, doc, score, rank): the k best documents per query, by blocks, without those of skip(key, doc)."""
+    asked = terms(queries, key, text).withColumnRenamed("tf", "w")
+    return blocks.by_terms(asked, index.withColumnRenamed("weight", "w"), k, key, "doc", skip).withColumnsRenamed({f"q__{key}": key, "r__doc": "doc"})
+
+
+def tagged_best(queries: DataFrame, index: DataFrame, k: int, key: str, wanted: str) -> DataFrame:
+    """BM25 of given terms (an array column): (key, doc, score, rank); an empty list finds nothing."""
+    asked = queries.select(F.col(key), F.explode(wanted).alias("phrase")).select(key, F.explode(words(F.col("phrase"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("w"))
+    return blocks.by_terms(asked, index.withColumnRenamed("weight", "w"), k, key, "doc").withColumnsRenamed({f"q__{key}": key, "r__doc": "doc"})
 
 
 # -- TF-IDF -------------------------------------------------------------------------------------------
@@ -73,10 +81,16 @@ def tfidf_vectors(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFra
 def cosine(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """(left_key, right_key, score) of vectors that share a term."""
     r = right.select("term", F.col(right_key), F.col("w").alias("v"))
-    return left.join(r, "term").groupBy(left_key, right_key).agg(quantised(F.sum(F.col("w") * F.col("v"))).alias("score"))
+    return left.join(r, "term").groupBy(left_key, right_key).agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+
+
+def cosine_best(left: DataFrame, right: DataFrame, k: int, left_key: str, right_key: str) -> DataFrame:
+    """(left_key, right_key, score, rank): the k nearest of the right side's vectors, by blocks."""
+    return blocks.by_terms(left, right, k, left_key, right_key).withColumnsRenamed({f"q__{left_key}": left_key, f"r__{right_key}": right_key})
 
 
 def top_k(scores: DataFrame, keys: list[str], item: str, k: int, score: str = "score") -> DataFrame:
     """The k best items per key with their rank; ties by ascending item."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), item))
+    order = F.col(score) if dict(scores.dtypes)[score] in ("int", "bigint") else blocks.steady(F.col(score))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc(), item))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)

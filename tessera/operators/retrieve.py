@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lexical import top_k
-from tessera.operators.turns import ROW, last_played, played
+from tessera.operators.turns import ROW, history, last_played, played, unplayed
 
 K = 20
 
@@ -15,7 +15,7 @@ K = 20
 def finish(scores: DataFrame, hist: DataFrame, k: int = K, positive: bool = True) -> DataFrame:
     """Take out what was played and keep the k best, with rank."""
     own = scores.filter("score > 0") if positive else scores
-    return top_k(own.join(played(hist), [*ROW, "track_id"], "left_anti"), ROW, "track_id", k)
+    return top_k(unplayed(own, hist), ROW, "track_id", k)
 
 
 def members(catalog: DataFrame, entity: str) -> DataFrame:
@@ -57,15 +57,43 @@ def last_entity(hist: DataFrame, catalog: DataFrame, entity: str, k: int = K, si
     return expand(own, members(catalog, entity), hist, k, single)
 
 
-def cooc_tracks(hist: DataFrame, folded: DataFrame, row_fold, k: int = K) -> DataFrame:
+def _others():
+    """The count of a pair of folded() without that of the row's own fold."""
+    return F.col("total") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))
+
+
+def cooc_tracks(turns: DataFrame, folded: DataFrame, row_fold, k: int = K) -> DataFrame:
     """Sum over the history, repeats counted, of counts that leave out the row's own fold.
 
-    folded(a, b, total, own) holds each pair once with its counts per fold; row_fold is the fold of a row, as a column of hist.
+    folded(a, b, total, own) holds each pair once with its counts per fold; row_fold is the fold of a row, as a column of turns.
+    A play meets its neighbours once and counts for all later turns, up to the one that plays the neighbour itself; from
+    there on the session's rows stay in one task.
+    """
+    last = F.max("turn").over(Window.partitionBy("session_id"))
+    plays = turns.select("session_id", F.col("turn").alias("h_turn"), F.col("track_id").alias("a"), row_fold.alias("fold"), last.alias("last"))
+    near = plays.filter("h_turn < last").join(folded, "a").select("session_id", "h_turn", "last", F.col("b").alias("track_id"), _others().alias("score"))
+    own = plays.select("session_id", "h_turn", "last", F.col("a").alias("track_id"), F.lit(None).cast("long").alias("score"))
+    first = F.min(F.when(F.col("score").isNull(), F.col("h_turn"))).over(Window.partitionBy("session_id", "track_id"))
+    alive = near.unionByName(own).repartition("session_id").withColumn("until", F.least(F.col("last"), first)).filter("score IS NOT NULL AND h_turn < until")
+    rows = alive.select("session_id", F.explode(F.sequence(F.col("h_turn") + 1, F.col("until"))).alias("turn"), "track_id", "score")
+    scored = rows.groupBy(*ROW, "track_id").agg(F.sum("score").alias("score"))
+    return top_k(scored.filter("score > 0"), ROW, "track_id", k)
+
+
+def cooc_gold_ranks(turns: DataFrame, golds: DataFrame, folded: DataFrame, row_fold, k: int = K) -> DataFrame:
+    """golds with rank, the place of the gold in cooc_tracks, or null: found by counting what is better, without ranking anything.
+
+    Only rows whose gold has a score over 0 and was not played are scored, so most rows cost one lookup per play.
     """
-    own = hist.select(*ROW, F.col("track_id").alias("a"), row_fold.alias("fold"))
-    left = F.col("total") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))
-    scored = own.join(folded, "a").groupBy(*ROW, F.col("b").alias("track_id")).agg(F.sum(left).alias("score"))
-    return finish(scored, hist, k)
+    hist = history(turns)
+    own = hist.join(turns.select(*ROW, row_fold.alias("fold")), ROW).select(*ROW, F.col("track_id").alias("a"), "fold")
+    pairs = own.join(golds.select(*ROW, F.col("gold").alias("b")), ROW)
+    known = pairs.join(folded, ["a", "b"]).groupBy(*ROW, F.col("b").alias("track_id")).agg(F.sum(_others()).alias("gold_score")).filter("gold_score > 0")
+    asked = unplayed(known, hist).select(*ROW, F.col("track_id").alias("gold"), "gold_score")
+    scored = own.join(asked, ROW).join(folded, "a").groupBy(*ROW, "gold", "gold_score", F.col("b").alias("track_id")).agg(F.sum(_others()).alias("score"))
+    better = unplayed(scored.filter("score > gold_score OR score = gold_score AND track_id < gold"), hist).groupBy(*ROW).agg(F.count(F.lit(1)).alias("better"))
+    ranks = asked.select(*ROW).join(better, ROW, "left").select(*ROW, (F.coalesce("better", F.lit(0)) + 1).alias("rank")).filter(F.col("rank") <= k)
+    return golds.join(ranks, ROW, "left")
 
 
 def cooc_parts(hist: DataFrame, first: DataFrame, second: DataFrame, k: int = K) -> DataFrame:

@@ -30,27 +30,50 @@ def labeled_turns(msgs: DataFrame, gold_role: str = "music", most: int = 8, stri
     return out.filter(whole)
 
 
-def inference_turns(msgs: DataFrame) -> DataFrame:
-    """(session_id, turn, query, n_history): the last message is the query, the messages of earlier turns its history."""
+def missing_parts(msgs: DataFrame, gold_role: str = "music", most: int = 8) -> DataFrame:
+    """(session_id, turn, lacks): the turns that make the strict expansion fail, and what they lack."""
+    has = lambda role: F.max((F.col("role") == role).cast("int"))
+    by = msgs.filter(F.col("turn").between(1, most)).groupBy(*ROW).agg(has("user").alias("user"), has(gold_role).alias("gold"))
+    lacks = F.concat_ws(" and ", F.when(F.col("user") == 0, F.lit("query")), F.when(F.col("gold") == 0, F.lit("gold")))
+    return by.select(*ROW, lacks.alias("lacks")).filter("lacks <> ''")
+
+
+def inference_turns(msgs: DataFrame, whole_turns: bool = True) -> DataFrame:
+    """(session_id, turn, query, n_history): the last message is the query; its history the messages of earlier turns, or all before it."""
     last = F.max(F.struct("pos", "turn", "content"))
     by = msgs.groupBy("session_id").agg(last.alias("last"), F.collect_list("turn").alias("turns"))
-    return by.select("session_id", F.col("last.turn").alias("turn"), F.col("last.content").alias("query"), F.size(F.filter("turns", lambda t: t < F.col("last.turn"))).alias("n_history"))
+    before = F.size(F.filter("turns", lambda t: t < F.col("last.turn"))) if whole_turns else F.size("turns") - 1
+    return by.select("session_id", F.col("last.turn").alias("turn"), F.col("last.content").alias("query"), before.alias("n_history"))
+
+
+def examples(msgs: DataFrame, target: str) -> DataFrame:
+    """(session_id, turn, query, gold) of a target: labelled turns of the devset, or each session's last message, without a gold, of the blind set."""
+    if target == "devset":
+        return labeled_turns(msgs)
+    if target == "blind":
+        return inference_turns(msgs).select(*ROW, "query", F.lit(None).cast("string").alias("gold"))
+    raise ValueError(f"unknown target {target!r}")
 
 
 def history(turns: DataFrame) -> DataFrame:
     """turns(session_id, turn, track_id) -> (session_id, turn, h_turn, track_id): what was played before each turn.
 
-    The prefix of each turn is a window frame, so a session's rows move once.
+    A join within sessions, which streams: no row holds a whole prefix.
     """
-    before = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.collect_list(F.struct(F.col("turn").alias("h_turn"), F.col("track_id"))).over(before)
-    return turns.withColumn("prefix", prefix).select(*ROW, F.explode("prefix").alias("h")).select(*ROW, "h.h_turn", "h.track_id")
+    before = turns.select("session_id", F.col("turn").alias("h_turn"), "track_id")
+    return turns.select(*ROW).join(before, "session_id").filter("h_turn < turn").select(*ROW, "h_turn", "track_id")
 
 
 def played(hist: DataFrame) -> DataFrame:
     return hist.select(*ROW, "track_id").distinct()
 
 
+def unplayed(scores: DataFrame, hist: DataFrame) -> DataFrame:
+    """Rows of scores(session_id, turn, track_id, ...) whose track was not played before, by the first play of each track in a session."""
+    first = hist.groupBy("session_id", "track_id").agg(F.min("h_turn").alias("first__"))
+    return scores.join(first, ["session_id", "track_id"], "left").filter("first__ IS NULL OR first__ >= turn").select(scores.columns)
+
+
 def last_played(hist: DataFrame) -> DataFrame:
     """The latest track before each turn."""
     return hist.groupBy(*ROW).agg(F.max_by("track_id", "h_turn").alias("track_id"))
@@ -81,6 +104,12 @@ def unaligned(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
     return both.filter("l IS NULL OR r IS NULL").select(key, F.when(F.col("l").isNull(), "right").otherwise("left").alias("only"))
 
 
+def first_mismatch(left: DataFrame, right: DataFrame, place: str = "place", key: str = "key") -> DataFrame:
+    """(place, left_key, right_key) of the first place at which two ordered tables of keys differ; no row if none does."""
+    both = left.select(place, F.col(key).alias("left_key")).join(right.select(place, F.col(key).alias("right_key")), place, "full_outer")
+    return both.filter(~F.col("left_key").eqNullSafe(F.col("right_key"))).orderBy(place).limit(1)
+
+
 def assert_aligned(left: DataFrame, right: DataFrame, key: str = "key") -> None:
     odd = unaligned(left, right, key).first()
     if odd:
@@ -109,6 +138,15 @@ def history_state(hist: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def history_pairs(hist: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Plays per row and pair of normalised album and artist names."""
+    from tessera.functions.text import norm_name
+
+    names = catalog.select("track_id", F.explode("albums").alias("album"), "artists").select("track_id", norm_name(F.col("album")).alias("album"), F.explode("artists").alias("artist"))
+    pairs = names.select("track_id", "album", norm_name(F.col("artist")).alias("artist")).distinct()
+    return hist.join(pairs, "track_id").groupBy(*ROW, "album", "artist").agg(F.count(F.lit(1)).alias("plays"))
+
+
 def history_names(hist: DataFrame, catalog: DataFrame, last_only: bool = False) -> DataFrame:
     """Plays per row and normalised artist name; with last_only those of the latest track."""
     from tessera.functions.text import norm_name
@@ -126,13 +164,22 @@ def collapse_strata(sessions: DataFrame, levels: list[str], least: int) -> DataF
     paths = F.array(*[F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in levels[:n]]) for n in range(len(levels), 0, -1)])
     own = sessions.withColumn("paths", paths).withColumn("level", F.lit(0))
     for _ in range(len(levels) - 1):
-        stratum = F.get("paths", F.col("level"))
-        size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-        own = own.withColumn("size__", size).withColumn("level", F.when((F.col("size__") < least) & (F.col("level") < len(levels) - 1), F.col("level") + 1).otherwise(F.col("level"))).drop("size__")
+        own = own.withColumn("at__", F.get("paths", F.col("level")))
+        small = own.groupBy("at__").agg(F.count(F.lit(1)).alias("size__")).filter(F.col("size__") < least)  # counted where the rows are
+        up = F.when(F.col("size__").isNotNull() & (F.col("level") < len(levels) - 1), F.col("level") + 1).otherwise(F.col("level"))
+        own = own.join(small, "at__", "left").withColumn("level", up).drop("size__", "at__")
     return own.withColumn("stratum", F.get("paths", F.col("level"))).drop("paths", "level")
 
 
 def assign_folds(sessions: DataFrame, folds: int = 5, seed: str = "fold") -> DataFrame:
-    """sessions(session_id, stratum) with fold: sessions of a stratum are dealt in turn, in the order of a hash."""
-    order = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("session_id").cast("string"))), "session_id"))
-    return sessions.withColumn("fold", ((order - 1) % folds).cast("int"))
+    """sessions(session_id, stratum) with fold: sessions of a stratum are dealt in turn, in the order of a hash.
+
+    Places are counted within the 4,096 ranges of the hash and added up over the ranges, so that a stratum is many tasks.
+    """
+    keyed = sessions.withColumn("hash__", F.md5(F.concat_ws(":", F.lit(seed), F.col("session_id").cast("string")))).withColumn("range__", F.substring("hash__", 1, 3))
+    sizes = keyed.groupBy("stratum", "range__").agg(F.count(F.lit(1)).alias("size__"))
+    before = F.sum("size__").over(Window.partitionBy("stratum").orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("stratum").alias("stratum__"), F.col("range__").alias("of__"), F.coalesce(before, F.lit(0)).alias("before__"))
+    place = F.row_number().over(Window.partitionBy("stratum", "range__").orderBy("hash__", "session_id"))
+    joined = keyed.withColumn("place__", place).join(offsets, F.col("stratum").eqNullSafe(F.col("stratum__")) & (F.col("range__") == F.col("of__")))
+    return joined.withColumn("fold", ((F.col("before__") + F.col("place__") - 1) % folds).cast("int")).select(*sessions.columns, "fold")

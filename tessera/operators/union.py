@@ -71,6 +71,34 @@ def rrf(long: DataFrame, c: float = 60.0, rank: str = "rank") -> DataFrame:
     return fused.withColumn("place", F.row_number().over(order)).drop("best")
 
 
+def rrf_sweep(long: DataFrame, golds: DataFrame, constants: tuple[float, ...] = (10, 30, 60, 100), k: int = 20) -> DataFrame:
+    """(c, ndcg_k, recall_k) of tie-aware fusion for each constant, in one pass: candidates are fused and placed for all constants at once."""
+    from tessera.functions.text import discount
+
+    spread = tied_ranks(long).withColumn("c", F.explode(F.array(*[F.lit(c) for c in constants])))
+    fused = spread.groupBy("c", *ROW, "track_id").agg(quantised(F.sum(1.0 / (F.col("c") + F.col("tied_rank"))), 1e8).alias("rrf"), F.min("tied_rank").alias("best"))
+    place = F.row_number().over(Window.partitionBy("c", *ROW).orderBy(F.col("rrf").desc(), "best", "track_id"))
+    hits = fused.withColumn("place", place).join(golds.select(*ROW, F.col("gold").alias("track_id")), [*ROW, "track_id"])
+    total = golds.agg(F.count(F.lit(1)).alias("rows"))
+    sums = hits.groupBy("c").agg(F.sum(discount(F.col("place"), k)).alias("gain"), F.sum((F.col("place") <= k).cast("int")).alias("hits"))
+    return sums.join(F.broadcast(total)).select("c", quantised(F.col("gain") / F.col("rows"), 1e6).alias(f"ndcg_{k}"), quantised(F.col("hits") / F.col("rows"), 1e6).alias(f"recall_{k}"))
+
+
+def select_score(df: DataFrame, wanted: str | None = None, cap: int | None = None, least: float | None = None) -> DataFrame:
+    """A source's candidates with one score: the column wanted, else `primary`, else `tfidf`, else 1 for all; and rank anew.
+
+    The cap holds for the stored rank; then scores that are null or not finite, and those under the least, go. Equal scores keep
+    their stored order.
+    """
+    name = next((c for c in (wanted, "primary", "tfidf") if c and c in df.columns), None)
+    own = df if cap is None else df.filter(F.col("rank") <= cap)
+    own = own.withColumn("score", F.col(name).cast("double") if name else F.lit(1.0))
+    own = own.filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
+    own = own if least is None else own.filter(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy(*ROW).orderBy(F.col("score").desc(), "rank"))
+    return own.select(*ROW, "track_id", "score", place.alias("rank"))
+
+
 def row_z(df: DataFrame, column: str) -> DataFrame:
     """With <column>_z: the score's distance from its row's mean in deviations, over the candidates that have one; else 0."""
     w = Window.partitionBy(*ROW)

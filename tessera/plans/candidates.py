@@ -21,7 +21,7 @@ def _folded(spark, d):
 
 def _cooc(spark, d):
     t = fx.turns(spark, d)
-    return retrieve.cooc_tracks(turns.history(t), _folded(spark, d), F.col("session_id") % fx.FOLDS)
+    return retrieve.cooc_tracks(t, _folded(spark, d), F.col("session_id") % fx.FOLDS)
 
 
 @query(sql("cooc_top", "SELECT session_id, turn, track_id, score::BIGINT AS score, rank FROM cooc_top"))
@@ -91,10 +91,16 @@ def _cooc_entity_sql(entity, weighted):
 
 
 def _entity_counts(spark, d, entity):
-    named = fx.turns(spark, d).join(fx.catalog(spark, d).select("track_id", F.explode(entity).alias("entity")), "track_id")
+    named = fx.turns(spark, d).join(_named(spark, d, entity).select("track_id", F.explode(entity).alias("entity")), "track_id")
     return counts.pairs(named, "entity")
 
 
+def _named(spark, d, entity):
+    """The catalog, with artists by their normalised names."""
+    c = fx.catalog(spark, d)
+    return c.withColumn(entity, F.array_distinct(F.transform(entity, norm_name))) if entity == "artists" else c
+
+
 @query(_cooc_entity_sql("album", False))
 def cooc_album(spark, d):
     return retrieve.cooc_entities(fx.hist(spark, d), fx.catalog(spark, d), "albums", _entity_counts(spark, d, "albums"), single=True)
@@ -102,7 +108,7 @@ def cooc_album(spark, d):
 
 @query(_cooc_entity_sql("artist", True))
 def cooc_artist(spark, d):
-    return retrieve.cooc_entities(fx.hist(spark, d), fx.catalog(spark, d), "artists", _entity_counts(spark, d, "artists"), weighted=True, single=True)
+    return retrieve.cooc_entities(fx.hist(spark, d), _named(spark, d, "artists"), "artists", _entity_counts(spark, d, "artists"), weighted=True, single=True)
 
 
 # -- union --------------------------------------------------------------------------------------------

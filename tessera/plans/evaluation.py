@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as ev
-from tessera.operators import rerank, union
+from tessera.operators import rerank, retrieve, union
 from tessera.operators.turns import ROW
 from tessera.plans import fixtures as fx
-from tessera.plans.candidates import NAMES, _cooc, _transition, history_album, long
+from tessera.plans.candidates import NAMES, _cooc, _folded, _transition, history_album, long
 from tessera.plans.fixtures import q, sql
 from tessera.registry import query
 from tessera.sources import tables
@@ -18,6 +18,11 @@ def _ranks(spark, d):
     return ev.gold_ranks(fx.golds(spark, d), _cooc(spark, d))
 
 
+def _places(spark, d):
+    """Golds with their rank alone, which needs no other candidate's."""
+    return retrieve.cooc_gold_ranks(fx.turns(spark, d), fx.golds(spark, d), _folded(spark, d), F.col("session_id") % fx.FOLDS)
+
+
 def _hit(k):
     return "(rank IS NOT NULL)::INT" if k is None else f"coalesce((rank <= {k})::INT, 0)"
 
@@ -27,7 +32,7 @@ _RECALL = ", ".join(f"{q(f'avg({_hit(k)})', '1e6')} AS recall_{k or 'all'}" for
 
 @query(sql("ranks", f"SELECT 'overall' AS \"group\", {_RECALL} FROM ranks UNION ALL SELECT split, {_RECALL} FROM ranks GROUP BY split"))
 def recall_at_k(spark, d):
-    return ev.recall(_ranks(spark, d), (1, 5, 10, 20, None), "split")
+    return ev.recall(_places(spark, d), (1, 5, 10, 20, None), "split")
 
 
 @query(sql("ranks", ", ".join(["SELECT " + f"{q(f'sum({_hit(k)}) / sum({e})', '1e6')} AS micro_{k or 'all'}, {q(f'avg(coalesce({_hit(k)}::DOUBLE / nullif({e}, 0), 0))', '1e6')} AS macro_{k or 'all'}, sum({e})::BIGINT AS emitted_{k or 'all'}" for k, e in ((5, 'least(n, 5)'), (None, 'n'))]).replace(", SELECT", ",") + " FROM ranks"))
@@ -45,12 +50,12 @@ _DISC = "CASE WHEN rank <= {k} THEN d ELSE 0 END"
 
 @query(sql("disc", "SELECT " + ", ".join(f"{q('avg(' + _DISC.format(k=k) + ')', '1e6')} AS ndcg_{k}" for k in (1, 10, 20)) + " FROM disc"))
 def ndcg_row_mean(spark, d):
-    return ev.ndcg(_ranks(spark, d))
+    return ev.ndcg(_places(spark, d))
 
 
 @query(sql("disc", "SELECT " + ", ".join(f"{q(f'avg(n{k})', '1e6')} AS ndcg_{k}" for k in (1, 10, 20)) + " FROM (SELECT turn, " + ", ".join(f"avg({_DISC.format(k=k)}) AS n{k}" for k in (1, 10, 20)) + " FROM disc GROUP BY turn)"))
 def ndcg_turn_balanced(spark, d):
-    return ev.ndcg_balanced(_ranks(spark, d))
+    return ev.ndcg_balanced(_places(spark, d))
 
 
 _TIES = """WITH p AS (SELECT *, rank() OVER (PARTITION BY source, session_id, turn ORDER BY score DESC) AS start, count(*) OVER (PARTITION BY source, session_id, turn, score) AS ties FROM long),
@@ -96,7 +101,7 @@ _UNION = "u AS (SELECT session_id, turn, track_id, row_number() OVER (PARTITION
     SELECT {q('avg((pool IS NULL)::INT)', '1e6')} AS retrieval_miss, {q('avg((pool IS NOT NULL AND NOT placed)::INT)', '1e6')} AS rerank_miss, {q('avg(CASE WHEN placed THEN 1.0 - g ELSE 0 END)', '1e6')} AS ordering_loss, {q('avg(g)', '1e6')} AS ndcg FROM j"""))
 def error_decomposition(spark, d):
     pool = ev.gold_ranks(fx.golds(spark, d), union.ordered_union(long(spark, d)), rank="place")
-    return ev.error_parts(pool, _ranks(spark, d), 5)
+    return ev.error_parts(pool, _places(spark, d), 5)
 
 
 _ROOT = "WITH a AS (SELECT g.session_id, g.turn, max((l.track_id = g.gold)::INT) AS w, max((l.track_id = g.gold AND l.source <> 'transition')::INT) AS o FROM golds g LEFT JOIN long l ON l.session_id = g.session_id AND l.turn = g.turn GROUP BY ALL)"

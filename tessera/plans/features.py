@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import quantised
 from tessera.operators import features, rerank, turns, union
 from tessera.operators.turns import ROW
 from tessera.plans import fixtures as fx
@@ -51,8 +52,6 @@ _ISRC_YEAR = "(CASE WHEN substr(isrc, 6, 2)::INT < 30 THEN 2000 ELSE 1900 END +
 
 @query(sql("catalog", f"WITH {_ALBUM} SELECT track_id, {q('m')} AS album_mean FROM catalog JOIN am USING (album)"))
 def album_mean_duration(spark, d):
-    from tessera.functions.text import quantised
-
     return features.album_durations(fx.catalog(spark, d)).select("track_id", quantised(F.col("album_mean")).alias("album_mean"))
 
 
@@ -73,15 +72,16 @@ def hier_popularity(spark, d):
 
 _TOKENS = r"""tk AS (SELECT DISTINCT track_id, unnest(regexp_split_to_array(lower(array_to_string(tags, ' ')), '[^\p{L}\p{N}]+')) AS token FROM catalog), tk2 AS (SELECT * FROM tk WHERE length(token) >= 2), vo AS (SELECT token, count(*) AS df FROM tk2 GROUP BY ALL)"""
 _PPMI = f"""pp AS (SELECT a.token, b.token AS other, count(*) AS n FROM tk2 a JOIN tk2 b ON a.track_id = b.track_id AND a.token <> b.token GROUP BY ALL),
-    pv AS (SELECT pp.token, pp.other, o.df AS odf, {q('ln(n * (SELECT count(*) FROM part)::DOUBLE / (v.df * o.df))')} AS value FROM pp JOIN vo v ON v.token = pp.token JOIN vo o ON o.token = pp.other),
-    pn AS (SELECT token, other, value, row_number() OVER (PARTITION BY token ORDER BY value DESC, odf DESC, other) AS place FROM pv WHERE value > 0 QUALIFY place <= 20)"""
+    pv AS (SELECT pp.token, pp.other, o.df AS odf, ln(n * (SELECT count(*) FROM part)::DOUBLE / (v.df * o.df)) AS value FROM pp JOIN vo v ON v.token = pp.token JOIN vo o ON o.token = pp.other),
+    pn AS (SELECT token, other, value, row_number() OVER (PARTITION BY token ORDER BY {q('value', '1e7')} DESC, odf DESC, other) AS place FROM pv WHERE {q('value', '1e7')} > 0 QUALIFY place <= 20)"""
 
 
-@query(sql("catalog", f"WITH {_TOKENS}, {_PPMI} SELECT token, other, value, place FROM pn"))
+@query(sql("catalog", f"WITH {_TOKENS}, {_PPMI} SELECT token, other, {q('value')} AS value, place FROM pn"))
 def tag_ppmi_neighbors(spark, d):
     c = fx.catalog(spark, d)
     tokens, vocabulary = features.tag_tokens(c)
-    return features.ppmi(tokens, vocabulary, c.count())
+    near = features.ppmi(tokens, vocabulary, c.count())
+    return near.withColumn("value", quantised(F.col("value")))
 
 
 @query(sql("catalog", f"WITH {_TOKENS} SELECT token, df FROM vo"))
@@ -128,7 +128,7 @@ def labels(spark, d):
     return features.labels(_successors(spark, d), fx.golds(spark, d))
 
 
-@query(sql("trans_top turns", f"SELECT c.session_id, c.turn, c.track_id, c.rank FROM trans_top c WHERE EXISTS (SELECT 1 FROM trans_top p JOIN turns t ON t.session_id = p.session_id AND t.turn = p.turn AND t.track_id = p.track_id WHERE p.session_id = c.session_id AND p.turn = c.turn)"))
+@query(sql("trans_top turns", "WITH hit AS (SELECT DISTINCT p.session_id, p.turn FROM trans_top p JOIN turns t ON t.session_id = p.session_id AND t.turn = p.turn AND t.track_id = p.track_id) SELECT c.session_id, c.turn, c.track_id, c.rank FROM trans_top c JOIN hit USING (session_id, turn)"))
 def positive_rows(spark, d):
     return turns.positive_rows(_successors(spark, d), fx.turns(spark, d))
 

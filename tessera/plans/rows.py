@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import norm_name
 from tessera.operators import counts, idmap, turns
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import q, sql
@@ -17,11 +18,11 @@ def turn_expansion(spark, d):
     return turns.labeled_turns(fx.dialogue(spark, d))
 
 
-@query(sql("dialogue", """SELECT session_id, turn, query, gold FROM (SELECT session_id, turn, min_by(content, pos) FILTER (role = 'user') AS query, min_by(content, pos) FILTER (role = 'music') AS gold
-    FROM dialogue WHERE turn BETWEEN 1 AND 8 GROUP BY ALL) WHERE query IS NOT NULL AND gold IS NOT NULL"""))
+@query(sql("dialogue", """SELECT session_id, turn, concat_ws(' and ', CASE WHEN u = 0 THEN 'query' END, CASE WHEN g = 0 THEN 'gold' END) AS lacks FROM (SELECT session_id, turn, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'music') AS g
+    FROM dialogue WHERE turn BETWEEN 1 AND 8 GROUP BY ALL) WHERE u = 0 OR g = 0"""))
 def turn_expansion_strict(spark, d):
-    whole = turns.labeled_turns(fx.dialogue(spark, d)).select("session_id", "turn")
-    return turns.labeled_turns(fx.dialogue(spark, d).join(whole, ["session_id", "turn"], "left_semi"), strict=True)
+    """The turns at which the strict expansion fails, over all sessions; that it does fail there is tested."""
+    return turns.missing_parts(fx.dialogue(spark, d))
 
 
 @query(sql("dialogue", """SELECT l.session_id, l.turn, l.content AS query, (SELECT count(*) FROM dialogue h WHERE h.session_id = l.session_id AND h.turn < l.turn)::INT AS n_history
@@ -30,6 +31,18 @@ def inference_turns(spark, d):
     return turns.inference_turns(fx.dialogue(spark, d))
 
 
+@query(sql("dialogue", """SELECT l.session_id, l.turn, l.content AS query, (SELECT count(*) FROM dialogue h WHERE h.session_id = l.session_id AND h.pos < l.pos)::INT AS n_history
+    FROM (SELECT * FROM dialogue QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) = 1) l"""))
+def inference_turns_all_before(spark, d):
+    """The other reading: everything before the last message is its history."""
+    return turns.inference_turns(fx.dialogue(spark, d), whole_turns=False)
+
+
+@query(sql("dialogue", """SELECT session_id, turn, content AS query, NULL::VARCHAR AS gold FROM dialogue QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) = 1"""))
+def blind_examples(spark, d):
+    return turns.examples(fx.dialogue(spark, d), "blind")
+
+
 @query(sql("turns", "SELECT session_id, list(track_id ORDER BY turn) AS tracks FROM turns GROUP BY ALL"))
 def session_sequence(spark, d):
     return turns.session_sequence(fx.turns(spark, d))
@@ -125,9 +138,10 @@ def album_cooc_counts(spark, d):
     return counts.pairs(_entities(spark, d, "albums"), "entity")
 
 
-@query(sql("turns catalog", "SELECT a.artist AS a, b.artist AS b, count(*) AS n FROM (SELECT DISTINCT session_id, artist FROM turns JOIN catalog USING (track_id)) a JOIN (SELECT DISTINCT session_id, artist FROM turns JOIN catalog USING (track_id)) b ON a.session_id = b.session_id AND a.artist <> b.artist GROUP BY ALL"))
+@query(sql("turns catalog", "SELECT a.artist AS a, b.artist AS b, count(*) AS n FROM (SELECT DISTINCT session_id, trim(regexp_replace(lower(artist), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS artist FROM turns JOIN catalog USING (track_id)) a JOIN (SELECT DISTINCT session_id, trim(regexp_replace(lower(artist), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS artist FROM turns JOIN catalog USING (track_id)) b ON a.session_id = b.session_id AND a.artist <> b.artist GROUP BY ALL"))
 def artist_cooc_counts(spark, d):
-    return counts.pairs(_entities(spark, d, "artists"), "entity")
+    named = _entities(spark, d, "artists").withColumn("entity", norm_name(F.col("entity")))
+    return counts.pairs(named, "entity")
 
 
 @query(sql("cooc", "SELECT a, b, n FROM cooc WHERE n >= 2"))

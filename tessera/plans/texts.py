@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vc
-from tessera.operators import lexical, phrases, respond, retrieve
+from tessera.operators import blocks, lexical, phrases, respond, retrieve
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import q, sql
 from tessera.registry import query
 from tessera.sources.tables import scan
+from tessera.store import written
 
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -34,14 +35,20 @@ def _terms_sql(table, key, text):
 _BM25 = f"""WITH qs AS (SELECT conv_id * 100 + turn AS query_id, text FROM conversations WHERE role = 'user'), qt AS ({_terms_sql('qs', 'query_id', 'text')}), dt AS ({_terms_sql('documents', 'doc_id', 'text')}),
     dl AS (SELECT doc_id, sum(tf) AS dl FROM dt GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM dl)::DOUBLE AS total), df AS (SELECT term, count(*) AS df FROM dt GROUP BY ALL),
     w AS (SELECT term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (total / n)))) AS weight FROM dt JOIN dl USING (doc_id) JOIN df USING (term), st),
-    s AS (SELECT query_id, doc_id, {q('sum(tf * weight)')} AS score FROM qt JOIN w USING (term) GROUP BY ALL)"""
+    s AS (SELECT query_id, doc_id, {q('sum(tf * weight)', '1e7')} AS score FROM qt JOIN w USING (term) GROUP BY ALL)"""
+_BEST = f"row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {{0}}) AS rank"
 
 
-@query(_BM25 + " SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20")
+def _rounded(df):
+    """Scores as both engines show them; ranks are over whole scores."""
+    return df.withColumn("score", tx.quantised(blocks.steady(F.col("score"))))
+
+
+@query(_BM25 + f" SELECT query_id, doc_id, {q('score')} AS score, {_BEST.format('doc_id')} FROM s QUALIFY rank <= 20")
 def bm25_topk(spark, d):
     docs = scan(spark, d, "documents", ["doc_id", "text"])
-    scores = lexical.bm25_scores(_user_queries(spark, d), lexical.bm25_index(docs, "doc_id", "text"), "query_id", "text")
-    return lexical.top_k(scores.withColumnRenamed("doc", "doc_id"), ["query_id"], "doc_id", 20)
+    best = lexical.bm25_best(_user_queries(spark, d), lexical.bm25_index(docs, "doc_id", "text"), 20, "query_id", "text")
+    return _rounded(best.withColumnRenamed("doc", "doc_id"))
 
 
 @query(f"SELECT doc_id, term, tf FROM ({_terms_sql('documents', 'doc_id', 'text')})")
@@ -76,14 +83,14 @@ _TAG_DOCS = "tagdocs AS (SELECT p_partkey AS track_id, (['rock', 'jazz', 'hip ho
     qt AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({_words('phrase')}) AS term FROM ph) GROUP BY ALL), dt AS ({_terms_sql('tagdocs', 'track_id', 'tags')}),
     dl AS (SELECT track_id, sum(tf) AS dl FROM dt GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM tagdocs)::DOUBLE AS n, (SELECT sum(dl) FROM dl)::DOUBLE AS total), df AS (SELECT term, count(*) AS df FROM dt GROUP BY ALL),
     w AS (SELECT term, track_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (total / n)))) AS weight FROM dt JOIN dl USING (track_id) JOIN df USING (term), st),
-    s AS (SELECT query_id, track_id, {q('sum(tf * weight)')} AS score FROM qt JOIN w USING (term) GROUP BY ALL) SELECT query_id, track_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS rank FROM s QUALIFY rank <= 20""")
+    s AS (SELECT query_id, track_id, {q('sum(tf * weight)', '1e7')} AS score FROM qt JOIN w USING (term) GROUP BY ALL) SELECT query_id, track_id, {q('score')} AS score, {_BEST.format('track_id')} FROM s QUALIFY rank <= 20""")
 def tag_intent_bm25(spark, d):
     first, second = ["rock", "jazz", "hip hop", "sad", "drum and bass", "r&b", "1990s", "workout", "upbeat", "k pop"], ["2010s", "soul", "latin", "chill", "pop", "metal", "happy"]
     pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("p_size") % n + 1).cast("int"))
     docs = scan(spark, d, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("track_id"), F.concat_ws(", ", pick(first, 10), pick(second, 7)).alias("tags"))
     asked = intent_terms(spark, d)
-    scores = lexical.tagged_scores(asked, lexical.bm25_index(docs, "track_id", "tags"), "query_id", "terms")
-    return lexical.top_k(scores.withColumnRenamed("doc", "track_id"), ["query_id"], "track_id", 20)
+    best = lexical.tagged_best(asked, lexical.bm25_index(docs, "track_id", "tags"), 20, "query_id", "terms")
+    return _rounded(best.withColumnRenamed("doc", "track_id"))
 
 
 _PLAIN = f"translate(lower({{0}}), '{tx.ACCENTED}', '{tx.PLAIN}')"
@@ -97,17 +104,16 @@ _TFIDF = f"""WITH qs AS (SELECT conv_id * 100 + turn AS query_id, text FROM conv
     v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)::DOUBLE) / (1 + count(*))) + 1 AS idf FROM dg GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 200000),
     dw AS (SELECT doc_id, term, tf * idf AS w FROM dg JOIN v USING (term)), qw AS (SELECT query_id, term, tf * idf AS w FROM qg JOIN v USING (term)),
     dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY ALL),
-    s AS (SELECT query_id, doc_id, {q('sum((qw.w / qn.n) * (dw.w / dn.n))')} AS score FROM qw JOIN qn USING (query_id) JOIN dw USING (term) JOIN dn USING (doc_id) GROUP BY ALL)"""
+    s AS (SELECT query_id, doc_id, {q('sum((qw.w / qn.n) * (dw.w / dn.n))', '1e7')} AS score FROM qw JOIN qn USING (query_id) JOIN dw USING (term) JOIN dn USING (doc_id) GROUP BY ALL)"""
 
 
-@query(_TFIDF + " SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 20")
+@query(_TFIDF + f" SELECT query_id, doc_id, {q('score')} AS score, {_BEST.format('doc_id')} FROM s WHERE score > 0 QUALIFY rank <= 20")
 def tfidf_topk(spark, d):
     docs = scan(spark, d, "documents", ["doc_id", "text"])
-    counts = lexical.grams(docs, "doc_id", "text")
-    vocabulary = lexical.tfidf_vocabulary(counts, docs.count())
+    counts = written(lexical.grams(docs, "doc_id", "text"), "grams")
+    vocabulary = written(lexical.tfidf_vocabulary(counts, docs.count()), "vocabulary")
     left = lexical.tfidf_vectors(lexical.grams(_user_queries(spark, d), "query_id", "text"), vocabulary, "query_id")
-    scores = lexical.cosine(left, lexical.tfidf_vectors(counts, vocabulary, "doc_id"), "query_id", "doc_id")
-    return lexical.top_k(scores.filter("score > 0"), ["query_id"], "doc_id", 20)
+    return _rounded(lexical.cosine_best(left, lexical.tfidf_vectors(counts, vocabulary, "doc_id"), 20, "query_id", "doc_id"))
 
 
 # -- phrases ------------------------------------------------------------------------------------------
@@ -209,11 +215,12 @@ def diverse_select(spark, d):
 # -- vectors ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, {q('list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])')} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 20")
+@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, {q('list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', '1e7')} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT query_id, row_id, {q('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 20")
 def dense_topk(spark, d):
     """The stated query set, every id divisible by 50, against all rows."""
     e = scan(spark, d, "embeddings")
-    return vc.nearest(e.filter("vec_id % 50 = 0"), e, 20, "vec_id", "vec_id", "embedding")
+    best = blocks.by_vectors(e.filter("vec_id % 50 = 0"), e, 20, "vec_id", "vec_id", "embedding", vc.modal_size(e, "embedding"))
+    return _rounded(best.withColumnsRenamed({"q__vec_id": "query_id", "r__vec_id": "row_id"}))
 
 
 @query(f"SELECT label, list({q('m', '1e6')} ORDER BY i) AS centroid FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL) GROUP BY ALL")

@@ -202,7 +202,7 @@ def test_names_and_bytes(spark):
     row = spark.createDataFrame([("Ｆｏｏ-Straße!",)], "s string").select(tx.norm_name_exact("s").alias("x")).first()
     assert row["x"] == "foo strasse"
     letters = {v: k for k, v in tx._byte_letters().items()}
-    assert tx.repair("".join(letters[b] for b in "né à".encode())) == "né à" and tx.repair("plain é→") == "plain é→"
+    assert tx.repair("".join(letters[b] for b in "né à".encode())) == "né à" and tx.repair("caf" + letters[0xC3] + letters[0xA9] + " 中→") == "café 中→" and tx.repair("plain é→") == "plain \ufffd→"
     df = spark.createDataFrame([("think</think> hi ", "R&B of the 90s")], "a string, b string")
     assert df.select(tx.after_think(F.col("a"))).first()[0] == "hi"
     assert df.select(tx.intent_terms(F.col("b"))).first()[0] == ["r b", "90s", "r&b"]
@@ -241,3 +241,180 @@ def test_diverse_select_takes_the_best_of_thirty_orders(spark, tmp_path):
     best, share = max(chosen, key=lambda x: x[1])
     assert share > max(x[1] for x in chosen[:4])
     assert {r["key"]: r["option"] for r in texts.diverse_select(spark, str(tmp_path)).collect()} == dict(zip(keys, best))
+
+
+# -- searches in blocks -----------------------------------------------------------------------------------
+
+
+def test_block_search_is_exact_at_any_block_size(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    rnd = random.Random(2)
+    rows = [(i, f"t{rnd.randint(0, 15)}", rnd.random()) for i in range(80) for _ in range(4)] + [(90 + i, "t1", 0.5) for i in range(5)]
+    rows = [(i, t, w) for (i, t), w in {(i, t): w for i, t, w in rows}.items()]
+    asked = [(q, f"t{rnd.randint(0, 17)}", 1.0 + rnd.randint(0, 2)) for q in range(15) for _ in range(3)]
+    skip = [(q, rnd.randrange(95)) for q in range(15) for _ in range(10) if q % 2]
+    want = set()
+    for q in {q for q, _, _ in asked}:
+        scores = {}
+        for r in {r for r, _, _ in rows} - {r for x, r in skip if x == q}:
+            total = sum(w * v for x, t, w in asked if x == q for y, u, v in rows if y == r and u == t)
+            if total:
+                scores[r] = total
+        want |= {(q, r, i) for i, (r, _) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 7), x[0]))[:6], 1)}
+    frames = spark.createDataFrame(asked, "q long, term string, w double"), spark.createDataFrame(rows, "r long, term string, w double"), spark.createDataFrame(skip, "q long, r long")
+    for queries, lines in ((4096, 16_384), (4, 10)):
+        monkeypatch.setattr(blocks, "QUERIES", queries)
+        monkeypatch.setattr(blocks, "ROWS", lines)
+        got = blocks.by_terms(frames[0], frames[1], 6, "q", "r", frames[2])
+        assert {(r["q__q"], r["r__r"], r["rank"]) for r in got.collect()} == want
+    assert blocks.by_terms(frames[0].limit(0), frames[1], 6, "q", "r").count() == 0 == blocks.by_terms(frames[0], frames[1].limit(0), 6, "q", "r").count()
+
+
+def test_vector_search_leaves_out_null_and_ragged_vectors(spark):
+    from tessera.functions import vectors
+    from tessera.operators import blocks
+
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.5, 0.5]), ("c", None), ("d", [1.0]), ("e", [-1.0, 0.0])], "id string, v array<double>")
+    assert vectors.modal_size(df, "v") == 2
+    got = blocks.by_vectors(df, df, 2, "id", "id", "v", 2)
+    assert {(r["q__id"], r["r__id"], r["rank"]) for r in got.collect()} == {("a", "a", 1), ("a", "b", 2), ("b", "a", 1), ("b", "b", 2), ("e", "e", 1), ("e", "b", 2)}
+
+
+# -- co-occurrence -----------------------------------------------------------------------------------------
+
+
+def test_cooccurrence_and_gold_ranks_match_brute_force(spark):
+    rnd = random.Random(5)
+    plays = [(s, t, rnd.randint(0, 12)) for s in range(30) for t in range(1, rnd.randint(2, 8))]
+    t = spark.createDataFrame([(s, i, x, s % 3) for s, i, x in plays], "session_id long, turn int, track_id long, fold long")
+    folded = counts.folded(counts.pairs(t, "track_id", by_fold=True))
+    held = {}
+    for s, _, x in plays:
+        held.setdefault(s, set()).add(x)
+    n = lambda a, b, fold: sum(s % 3 != fold and a in own and b in own for s, own in held.items())
+    want, golds = {}, []
+    for s, i, x in plays:
+        before = [y for r, j, y in plays if r == s and j < i]
+        if before:
+            scores = {b: sum(n(a, b, s % 3) for a in before if a != b) for b in set(range(13)) - set(before)}
+            want[s, i] = [b for b, v in sorted(scores.items(), key=lambda y: (-y[1], y[0])) if v > 0][:4]
+            golds.append((s, i, x))
+    got = {}
+    for r in retrieve.cooc_tracks(t, folded, F.col("fold"), 4).orderBy("rank").collect():
+        got.setdefault((r["session_id"], r["turn"]), []).append(r["track_id"])
+    assert got == {k: v for k, v in want.items() if v}
+    ranks = retrieve.cooc_gold_ranks(t, spark.createDataFrame(golds, "session_id long, turn int, gold long"), folded, F.col("fold"), 4).collect()
+    assert len(ranks) == len(golds) and any(r["rank"] for r in ranks)
+    assert all(r["rank"] == (own.index(r["gold"]) + 1 if r["gold"] in (own := want[r["session_id"], r["turn"]]) else None) for r in ranks)
+
+
+def test_two_artists_on_a_track_sum_their_scores(spark):
+    catalog = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["a", "b"]), (4, ["c"])], "track_id long, artists array<string>")
+    hist = spark.createDataFrame([(1, 2, 1, 1)], "session_id long, turn int, h_turn int, track_id long")
+    assert [(r["track_id"], r["score"]) for r in retrieve.history_entity(hist, catalog, "artists").orderBy("rank").collect()] == [(3, 2), (2, 1)]
+
+
+def test_folds_of_ranges_are_the_plain_order(spark):
+    df = spark.createDataFrame([(i, "a" if i % 5 else None) for i in range(3000)], "session_id long, stratum string")
+    got = {r["session_id"]: r["fold"] for r in turns.assign_folds(df, 5).collect()}
+    for own in ([i for i in range(3000) if i % 5], list(range(0, 3000, 5))):
+        order = sorted(own, key=lambda i: (hashlib.md5(f"fold:{i}".encode()).hexdigest(), i))
+        assert [got[i] for i in order] == [k % 5 for k in range(len(order))]
+
+
+# -- rows, texts, scores -----------------------------------------------------------------------------------
+
+
+def test_targets_and_histories(spark):
+    msgs = spark.createDataFrame([(1, 0, "user", "q", 1), (1, 1, "music", "5", 1), (1, 2, "user", "q2", 2), (1, 3, "user", "q3", 2), (2, 0, "music", "5", 1)], "session_id long, pos int, role string, content string, turn int")
+    assert [(r["turn"], r["query"], r["gold"]) for r in turns.examples(msgs, "devset").collect()] == [(1, "q", "5")]
+    assert {(r["session_id"], r["query"]) for r in turns.examples(msgs, "blind").collect()} == {(1, "q3"), (2, "5")}
+    with pytest.raises(ValueError):
+        turns.examples(msgs, "other")
+    assert {r["session_id"]: r["n_history"] for r in turns.inference_turns(msgs).collect()} == {1: 2, 2: 0}
+    assert {r["session_id"]: r["n_history"] for r in turns.inference_turns(msgs, whole_turns=False).collect()} == {1: 3, 2: 0}
+    assert {(r["session_id"], r["turn"], r["lacks"]) for r in turns.missing_parts(msgs).collect()} == {(1, 2, "gold"), (2, 1, "query")}
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "place int, key string")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (3, "y")], "place int, key string")
+    assert [tuple(r) for r in turns.first_mismatch(a, b).collect()] == [(2, "y", "z")] and turns.first_mismatch(a, a).count() == 0
+
+
+def test_conversation_texts(spark):
+    from tessera.operators import dialogue
+
+    msgs = spark.createDataFrame([(1, 0, "user", "Hello", 1), (1, 1, "music", "5", 1), (1, 2, "music", "99", 1), (1, 3, "assistant", "", 1), (1, 4, "user", " ", 2)], "session_id long, pos int, role string, content string, turn int")
+    texts_ = spark.createDataFrame([(5, "track_id: 5, name: X", "X by Y")], "track_id long, metadata string, sentence string")
+    h, asked = F.col("history"), F.col("query")
+    row = dialogue.conversations(msgs, texts_).select(dialogue.chat_text(h, asked), dialogue.chat_text(h, asked, "last_user"), dialogue.bm25_query(h, asked), dialogue.tfidf_query(h, asked), dialogue.request(asked)).first()
+    assert row[0] == "user: Hello\nassistant: track_id: 5, name: X\nassistant: 99\nassistant: \nuser:  " and row[1] == " "
+    assert row[2] == "user: hello\nassistant: track_id: 5, name: x\nassistant: \nuser:  " and row[3] == "Hello X by Y" and row[4] == "music"
+    with pytest.raises(ValueError):
+        dialogue.chat_text(h, asked, "other")
+
+
+def test_score_selection(spark):
+    df = spark.createDataFrame([(0, 1, 7, 1, 2.0, 0.1), (0, 1, 8, 2, float("nan"), 0.3), (0, 1, 9, 3, 2.0, 0.2), (0, 1, 6, 4, 9.0, 0.9)], "session_id long, turn int, track_id long, rank int, primary double, tfidf double")
+    order = lambda *a, **k: [r["track_id"] for r in union.select_score(*a, **k).orderBy("rank").collect()]
+    assert order(df) == [6, 7, 9] and order(df, "tfidf", cap=3) == [8, 9, 7] and order(df, "none", least=3) == [6]
+    assert order(df.drop("primary")) == [6, 8, 9, 7] and order(df.drop("primary", "tfidf"), cap=2) == [7, 8]
+
+
+def test_lambdarank_is_saved_and_loaded(spark, tmp_path):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    x, groups = rnd.random((200, 3)), np.full(40, 5)
+    label = (x[:, 0] > 0.7).astype(int)
+    model = rerank.LambdaRank(trees=5, leaves=6, least=2).fit(x, label, groups)
+    model.save(str(tmp_path / "model.json"))
+    again = rerank.LambdaRank.load(str(tmp_path / "model.json"))
+    assert again.trees == 5 and np.allclose(again.predict(x), model.predict(x))
+
+
+def test_diversity_counts_all_tokens_but_one():
+    """Pairs are shared out over all tokens but one, not over the pairs inside texts."""
+    assert respond.choose([["a b"], ["c", "c d"]], [0, 1])[0] == ["a b", "c d"]
+    assert respond.choose([[""], ["", "x"]], [0, 1]) == (["", "x"], 1.0)
+
+
+def test_reserved_columns_and_vectors(spark):
+    from tessera.functions import vectors
+    from tessera.operators import features
+
+    df = spark.createDataFrame([(1, [3.0, 4.0], 2.0), (2, None, 0.0)], "id long, v array<double>, p double")
+    row = features.reserved(df, ["z"], {"kind": "x"}).filter("id = 1").first()
+    assert row["z"] == 0.0 and row["kind"] == "x"
+    got = {r["id"]: r["j"] for r in df.select("id", features.joint_vector([vectors.of_size(F.col("v"), 2)], F.col("p")).alias("j")).collect()}
+    assert got[1] == pytest.approx([0.6, 0.8, math.log(3)]) and got[2] == [0.0, 0.0, 0.0]
+    lists = spark.createDataFrame([(None, "s"), (["a"], None)], "a array<string>, s string").select(tx.as_list(F.col("a"), True).alias("a"), tx.as_list(F.col("s"), False).alias("s")).collect()
+    assert [tuple(map(list, r)) for r in lists] == [([], ["s"]), (["a"], [])]
+
+
+# -- sources -----------------------------------------------------------------------------------------------
+
+
+def test_external_sequences_id_map_and_config(spark, tmp_path):
+    said = "session_id long, conversations array<struct<role:string,content:string,turn_number:int>>"
+    spark.createDataFrame([(1, [("user", "x", 1), ("music", "e1", 1), ("music", "e9", 2)]), (2, [("music", "e9", 1)])], said).write.parquet(f"{tmp_path}/s")
+    spark.createDataFrame([("e1", 11, 3)], "external_track_id string, track_id long, other int").write.parquet(f"{tmp_path}/m")
+    held = tables.id_map(spark, f"{tmp_path}/m")
+    assert held.columns == ["external", "track"]
+    mapped, report = tables.sequences(spark, f"{tmp_path}/s", held)
+    assert [tuple(r) for r in mapped.collect()] == [(1, 1, 11)]
+    row = report.first()
+    assert (row["items"], row["mapped"], row["sessions"], row["mapped_sessions"]) == (3, 1, 2, 1)
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x]\n")
+    assert tables.read_config(str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x"]}
+
+
+def test_a_table_is_not_written_to_one_machine_of_several(spark):
+    from tessera import store
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"applicationId": "elsewhere", "master": "spark://host:7077", "getConf": staticmethod(lambda: type("D", (), {"get": staticmethod(lambda *a: None)}))})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(Elsewhere)
+    assert store.written(spark.range(3), "test").count() == 3
