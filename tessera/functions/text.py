@@ -168,21 +168,16 @@ def prompt(history: Column, tracks: Column, profile: Column, goal: Column) -> Co
 
 @lru_cache(maxsize=1)
 def _byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies print for bytes: printable Latin-1 characters for themselves, the others from U+0100."""
+    """The letters that byte-level vocabularies print for bytes, printable Latin-1 characters for themselves, the others from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
 def repair(text: str) -> str:
-    """Byte letters back to UTF-8 where all characters are byte letters and the bytes are valid; else the text as it is."""
+    """Byte letters back to the bytes that they stand for, other characters as they are, read as UTF-8; what is not valid becomes U+FFFD."""
     letters = _byte_letters()
-    if all(c in letters or c in " \n" for c in text):
-        try:
-            return bytes(letters[c] if c in letters else ord(c) for c in text).decode()
-        except UnicodeDecodeError:
-            return text
-    return text
+    return b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in text).decode(errors="replace")
 
 
 @F.pandas_udf(T.StringType())

@@ -20,31 +20,38 @@ class _Pool:
     """Distinct unigrams and bigrams of the texts chosen so far."""
 
     def __init__(self):
-        self.one, self.two, self.n_one, self.n_two = set(), set(), 0, 0
+        self.one, self.two, self.n = set(), set(), 0
 
-    def ratios(self, text: str = "") -> tuple[float, float]:
-        t = _tokens(text)
-        pairs = list(zip(t, t[1:]))
-        n, m = self.n_one + len(t), self.n_two + len(pairs)
-        one, two = len(self.one) + len(set(t) - self.one), len(self.two) + len(set(pairs) - self.two)  # without a copy of the pool
-        return (one / n if n else 0.0, two / m if m else 0.0)
+    def gain(self, option: tuple, weight: float) -> float:
+        """Distinct unigrams over all tokens, and weighed distinct bigrams over all tokens but one, with an option added; none is worst."""
+        _, n, one, two = option
+        total = self.n + n
+        if not total:
+            return -1e9
+        return (len(self.one) + len(one - self.one)) / total + weight * (len(self.two) + len(two - self.two)) / max(total - 1, 1)
 
-    def add(self, text: str) -> None:
-        t = _tokens(text)
-        pairs = list(zip(t, t[1:]))
-        self.one.update(t)
-        self.two.update(pairs)
-        self.n_one, self.n_two = self.n_one + len(t), self.n_two + len(pairs)
+    def add(self, option: tuple) -> None:
+        _, n, one, two = option
+        self.one |= one
+        self.two |= two
+        self.n += n
+
+
+def _option(text: str) -> tuple[str, int, set, set]:
+    t = _tokens(text)
+    return text, len(t), set(t), set(zip(t, t[1:]))
 
 
 def choose(options: list[list[str]], order: list[int], weight: float = 0.5) -> tuple[list[str], float]:
-    """Row by row in the order, take the option that keeps the share of distinct unigrams, and half that of bigrams, highest; the first of equals."""
+    """Row by row in the order, take the option of the largest gain, the first of equals; and the share of distinct unigrams in the end."""
+    known: dict[str, tuple] = {}
+    parsed = [[known.get(t) or known.setdefault(t, _option(t)) for t in own] for own in options]
     pool, out = _Pool(), [""] * len(options)
     for i in order:
-        best = max(options[i], key=lambda t: (lambda r: r[0] + weight * r[1])(pool.ratios(t)))
-        out[i] = best
+        best = max(parsed[i], key=lambda x: pool.gain(x, weight))
+        out[i] = best[0]
         pool.add(best)
-    return out, pool.ratios()[0]
+    return out, len(pool.one) / max(pool.n, 1)
 
 
 def diverse_select(options: DataFrame, key: str, run: str, text: str, trials: int = 30) -> DataFrame:
