@@ -12,16 +12,19 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target, and the words that the mix takes of it."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equals."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base measures and the rules' verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_measures(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -74,15 +77,18 @@ FROM m
 
 
 def op3_spm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, their number, and whether they decode to the text again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spm.encode(docs, check=True).select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, without the tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return counts.token_counts(docs).select("doc_id", "n_tokens")
 
@@ -99,6 +105,7 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first =
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the other three quarters of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = langid.learn(docs.filter(~held))
@@ -109,6 +116,7 @@ QUERIES |= {"op9_langid": op9_langid}
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, removed words, and a hash of those that stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = substring.remove_repeats(docs)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -129,6 +137,7 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the smallest document that links reach."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.near_groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
@@ -151,6 +160,7 @@ FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN c ON s.shingles = c.shingles
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base spans by number and hash, and all spans."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
     number = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans")

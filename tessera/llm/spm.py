@@ -401,7 +401,8 @@ def encode(df: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", che
 
     A null or empty text has no tokens and decodes to the empty text. White space other than spaces is
     encoded as bytes or pieces like any character. A literal U+2581 decodes to a space, as in the library.
-    Columns of df that have the name of a new column are replaced.
+    Rows that repeat get the same. A text of any length is encoded whole, in chunks between spaces; it and its tokens are held
+    at once. An empty table stays empty. Columns of df that have the name of a new column are replaced.
     """
     small_batches(df.sparkSession)
     data = model_bytes(df.sparkSession, path)

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir
+from tessera.llm.common import cut, delete_at_exit, shared_dir
 from tessera.llm.spm import small_batches
 
 #: Fixed values of the formats.
@@ -34,8 +34,12 @@ LEAST_REVISIT = 100
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 14
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 32 << 20
-#: A table of repeated payloads of at most so many rows is broadcast.
+#: A table of repeated payloads of at most so many rows, of a hundred bytes each, is broadcast.
 BROADCAST_ROWS = 200_000
+#: Else only those of more copies than this, and than a hundred-thousandth of all repeated pages: a hundred thousand at most.
+HOT_COPIES, HOT_SHARE = 1000, 100_000
+#: Archives that a task reads, at most, where there are more than tasks.
+ARCHIVES_A_TASK = 16
 
 
 class BadArchive(ValueError):
@@ -104,7 +108,7 @@ def page_of(headers: dict[str, str], block: bytes) -> dict:
 
 
 def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A dictionary from some records; where they are too few to train on, what all records begin with."""
+    """A dictionary from the first kilobytes of some records, which changes sizes and no content; where they are too few to train on, what all records begin with."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r[:8192] for r in records])
     except zstandard.ZstdError:
@@ -198,10 +202,18 @@ def with_first(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select("page_id", "url", body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
     large = own.filter(F.octet_length("html") >= LEAST_REVISIT)
-    firsts = cut(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "warc-firsts")
-    small = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    firsts = cut(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-firsts")
+    rows, copies = firsts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS:
+        joined = own.join(F.broadcast(firsts.drop("n")), "digest", "left")
+    else:  # pages of a hot payload are spread by what else they hold, so that no task gets all of them
+        hot = max(HOT_COPIES, copies // HOT_SHARE)
+        marked = own.join(F.broadcast(firsts.filter(F.col("n") > hot).select("digest", F.col("first").alias("hot"))), "digest", "left")
+        key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot:"), F.xxhash64("page_id", "url").cast("string")))
+        rest = firsts.filter(F.col("n") <= hot).select(F.col("digest").alias("key"), F.col("first").alias("cold"))
+        joined = marked.withColumn("key", key).join(rest, "key", "left").withColumn("first", F.coalesce("hot", "cold"))
     other = ~F.col("page_id").eqNullSafe(F.col("first"))
-    return own.join(small, "digest", "left").withColumn("first", F.when(other, F.col("first"))).select("page_id", "url", "html", "digest", "first")
+    return joined.withColumn("first", F.when(other, F.col("first"))).select("page_id", "url", "html", "digest", "first")
 
 
 def write_archives(pages: DataFrame, uri: str) -> DataFrame:
@@ -253,10 +265,19 @@ def read_archives(archives: DataFrame, uri: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    spread = archives.select("path", "n_records").repartition(max(1, archives.count()))
+    n, tasks = archives.count(), int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = archives.select("path", "n_records").repartition(max(1, min(n, max(tasks, -(-n // ARCHIVES_A_TASK)))))
     return spread.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Write pages(page_id, url, html) to archives in the shared folder and read them back: see write_archives and read_archives.
+
+    Null html is an empty payload, a null page_id or url leaves its header out. Rows that repeat are records of their own; of
+    equal payloads all rows with the smallest page_id are responses. Other columns are left out. A page of any size is one
+    record, held whole. An empty table gives an empty one. The archives go when the application ends.
+    """
     uri = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, uri), uri)
+    archives = write_archives(pages, uri)
+    delete_at_exit(spark, uri)
+    return read_archives(archives, uri)

@@ -173,6 +173,15 @@ def test_mix_copies_rows(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: v for k, v in by_plan.items() if v})
 
 
+def test_mix_edge_cases(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5), (1, "a b", "x", 5), (None, "c " * 9, None, 6), (2, None, "x", 7)], "doc_id long, text string, source string, size long")
+    plan = mixing.mix_plan(df)
+    assert mixing.mix_plan(df.limit(0)).count() == 0
+    rows = plan.collect()
+    assert sorted(r["size"] for r in rows) == [0, 2, 2, 9] and len({(r["key"], r["copies"]) for r in rows if r["key"] == 1}) == 1
+    assert mixing.mix(df).columns == df.columns
+
+
 def test_mix_salted_join_is_the_same(spark, monkeypatch):
     df = frame(spark, make(8, 50))
     want = Counter(r["doc_id"] for r in mixing.mix(df).collect())
@@ -445,7 +454,10 @@ def test_archive_round_trip_and_validation():
         warc.page_of(headers, block[:-1] + b"!")
 
 
-def test_warc_table(spark):
+@pytest.mark.parametrize("settings", [{}, {"BROADCAST_ROWS": 0}, {"BROADCAST_ROWS": 0, "HOT_COPIES": 1, "HOT_SHARE": 1000}])
+def test_warc_table(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(warc, k, v)
     big = "x" * 150
     rows = [(3, "https://a\nb", big), (1, None, big), (2, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
@@ -693,6 +705,16 @@ def test_many_spans_of_one_text_stay_cheap():
     assert len(pii.more_spans(text * 4000, [], *model)) == 4000 and time.time() - began - one < 24 * one + 1
 
 
+def test_storage_is_refused_where_machines_do_not_share_it(spark):
+    from tessera.llm import common
+
+    class Elsewhere:
+        applicationId, master = "elsewhere", "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common._own_dir(Elsewhere)
+
+
 def test_scans_stay_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a.b-" * 50_000 + "@", "1 " * 100_000, "@" * 200_000):
         pii.base_spans(t)
@@ -818,6 +840,28 @@ def test_language_accuracy_by_length(spark, sf):
         assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > least, length
 
 
+def test_identify_edge_cases(spark):
+    train = spark.createDataFrame([(i, w, lang) for i, (w, lang) in enumerate([("the cat and dog", "en"), ("der hund und katze", "de")] * 4)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(1, "the dog", "a", 1.0), (1, "the dog", "a", 1.0), (2, None, None, None)], "doc_id long, text string, lang_pred string, text__ double")
+    out = langid.identify(df, langid.learn(train))
+    assert out.columns == ["doc_id", "text", "text__", "lang_pred", "score", "lang_spans"] and langid.identify(df.limit(0), langid.learn(train)).count() == 0
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in out.collect()) == {(1, "en"): 2, (2, "und"): 1}
+
+
+def test_very_long_texts_on_tables(spark):
+    """A text of a megabyte beside short ones, through every operator over documents."""
+    rnd = random.Random(8)
+    long = " ".join(f"w{rnd.randint(0, 3000)}" for _ in range(150_000))
+    df = spark.createDataFrame([(1, long, "en", "s", 0), (2, long + " x", "en", "s", 0), (3, "the cat and the dog", "en", "s", 0), (4, "z" * 300_000, None, None, None)], SCHEMA)
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 150_000, 3: 0, 4: 0}
+    assert {r["id"]: r["component_id"] for r in jaccard.near_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["kept"] for r in exact.exact_groups(df).collect()} == dict.fromkeys(range(1, 5), True)
+    assert {r["doc_id"]: r["n_words"] for r in quality.quality_measures(df).collect()} == {1: 150_000, 2: 150_001, 3: 5, 4: 1}
+    tokens = {r["doc_id"]: r["n_tokens"] for r in spm.encode(df, check=True).filter("round_trip").collect()}
+    assert tokens == {r["doc_id"]: r["n_tokens"] for r in counts.token_counts(df).collect()} and len(tokens) == 4
+    assert pii.find_pii(df).count() == langid.identify(df, langid.learn(df)).count() == 4
+
+
 def test_every_label_is_learned_at_every_size(spark):
     rows = [(i, f"the cat and dog number {'abcdefghij'[i % 10]} went", "en") for i in range(3000)] + [(None, f"der hund {'klmnopqrst'[i % 10]} ging", "de") for i in range(3000)]
     rows += [(9000, "кошка и собака", "ru"), (None, "le chat noir", "fr"), (None, "le chien", "fr")]
