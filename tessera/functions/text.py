@@ -93,6 +93,11 @@ def dialogue(messages: Column) -> Column:
     return F.array_join(F.transform(messages, line), "\n")
 
 
+def present(c: Column, *names: str) -> dict[str, Column]:
+    """Fields of a struct that may be missing as texts, empty where it or they are."""
+    return {n: F.coalesce(c[n].cast("string"), F.lit("")) for n in names}
+
+
 def track_sentence(title: Column, artist: Column, album: Column) -> Column:
     return F.concat(title, F.lit(" by "), artist, F.lit(" from "), album)
 
@@ -160,10 +165,16 @@ def quantised(c: Column, steps: float = 1e4) -> Column:
     return F.floor(c * steps + 0.5) / steps
 
 
-def prompt(history: Column, tracks: Column, profile: Column, goal: Column) -> Column:
+def progress_text(turn: Column, total: Column) -> Column:
+    """How far a conversation has come, empty where it is not known."""
+    return F.coalesce(F.format_string("turn %d of %d", turn.cast("int"), total.cast("int")), F.lit("")) if total is not None else F.lit("")
+
+
+def prompt(history: Column, tracks: Column, profile: Column, goal: Column, progress: Column | None = None) -> Column:
     """The blocks of a response prompt that are present, each under its heading."""
     block = lambda title, c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(f"[{title}]\n"), c))
-    return F.concat_ws("\n\n", block("profile", profile), block("goal", goal), block("dialogue", history), block("tracks", tracks))
+    more = [] if progress is None else [block("progress", progress)]
+    return F.concat_ws("\n\n", block("profile", profile), block("goal", goal), *more, block("dialogue", history), block("tracks", tracks))
 
 
 @lru_cache(maxsize=1)

@@ -111,6 +111,18 @@ def metadata_features(candidates: DataFrame, hist: DataFrame, catalog: DataFrame
     )
 
 
+#: Columns of the extension that stay 0, as the goal and the date of a session are not read.
+NEUTRAL = (
+    "specificity_track_high", "specificity_expr_high", "specificity_both_high", "session_month", "session_is_weekend", "days_to_xmas", "days_to_halloween", "christmas_tag_near_xmas",
+    "halloween_tag_near_halloween",
+)
+
+
+def metadata_extension(candidates: DataFrame, hist: DataFrame, catalog: DataFrame, age: Column, country: Column) -> DataFrame:
+    """All eighteen columns: metadata_features and the nine that stay 0."""
+    return reserved(metadata_features(candidates, hist, catalog, age, country), list(NEUTRAL), {})
+
+
 # -- popularity ---------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,28 @@ def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     return sides.groupBy("external", "track").agg(F.count(F.lit(1)).alias("n"))
 
 
+class UnequalSides(ValueError):
+    """Two sides that are joined by place do not have the same number of rows."""
+
+
+def check_sides(left: DataFrame, right: DataFrame, pair: str = "pair") -> None:
+    """Fail unless every pair has as many items on one side as on the other."""
+    counts = left.groupBy(pair).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(pair).agg(F.count(F.lit(1)).alias("r")), pair, "full_outer")
+    odd = counts.filter(~F.col("l").eqNullSafe(F.col("r"))).first()
+    if odd:
+        raise UnequalSides(f"pair {odd[pair]!r} has {odd['l'] or 0} items on the left and {odd['r'] or 0} on the right")
+
+
+def map_artifact(pairs: DataFrame, path: str, sources: dict) -> None:
+    """Write the map (external_track_id, track_id, n) with a manifest of its counts; an ambiguous map is refused."""
+    from tessera.sources.tables import write_artifact
+
+    report = bijection(pairs).first().asDict()
+    if not report["bijective"]:
+        raise UnequalSides(f"{report['pairs']} pairs of {report['externals']} and {report['tracks']} ids are no one-to-one map")
+    write_artifact(pairs.select(F.col("external").alias("external_track_id"), F.col("track").alias("track_id"), "n"), path, {**sources, **report})
+
+
 def bijection(pairs: DataFrame) -> DataFrame:
     """One row: pairs, ids on both sides, and whether each has exactly one partner."""
     own = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("external").alias("externals"), F.countDistinct("track").alias("tracks"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))

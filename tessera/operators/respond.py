@@ -77,6 +77,15 @@ def diverse_select(options: DataFrame, key: str, run: str, text: str, trials: in
     return folded.join(F.broadcast(best.select("trial")), "trial").select(F.col("key").alias(key), F.col("text").alias(text))
 
 
+def ranked_records(ranked: DataFrame, tracks: DataFrame, k: int = 20) -> DataFrame:
+    """(session_id, turn, tracks): the first k tracks of each row with what tracks(track_id, ...) says of them, in order; unknown ones by id alone."""
+    from tessera.operators.turns import ROW
+
+    shown = [c for c in tracks.columns if c != "track_id"]
+    own = ranked.filter(F.col("rank") <= k).join(tracks, "track_id", "left")
+    return own.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("rank", "track_id", *shown))).alias("tracks"))
+
+
 def generate(prompts: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], batch: int = 32) -> DataFrame:
     """prompts with response, by a model that maps a list of prompts to texts; it is loaded on the executors."""
     ship(prompts.sparkSession)
@@ -92,9 +101,11 @@ def generate(prompts: DataFrame, prompt: str, model: Callable[[list[str]], list[
     return prompts.mapInPandas(run, f"{types}, response string")
 
 
-def encode(texts: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
-    """texts with vector, by an encoder that maps texts to vectors."""
+def encode(texts: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 64, fallback: str | None = None) -> DataFrame:
+    """texts with vector, by an encoder that maps texts to vectors; where a text is blank, the column fallback is read instead."""
     ship(texts.sparkSession)
+    if fallback is not None:
+        texts = texts.withColumn(text, F.coalesce(F.when(F.trim(text) != "", F.col(text)), F.col(fallback)))
     types = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

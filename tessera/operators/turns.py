@@ -121,6 +121,27 @@ def slice_split(rows: DataFrame, split: str, folds: DataFrame) -> DataFrame:
     return rows.filter(F.col("source_split") == split).join(folds, ["source_split", "session_id"])
 
 
+def slice_artifact(rows: DataFrame, split: str, folds: DataFrame) -> DataFrame:
+    """Rows of an artifact whose key starts with the split: keys without it, and the fold of their session.
+
+    rows(key, place, ...) have keys split:session:turn; folds(source_split, session_id, fold). A session without a fold fails the query.
+    """
+    prefix = F.lit(f"{split}:")
+    own = rows.filter(F.startswith(F.col("key"), prefix)).withColumn("key", F.substring(F.col("key"), F.length(prefix) + 1, F.length("key")))
+    session, _ = split_key(F.col("key"))
+    known = folds.filter(F.col("source_split") == split).select(F.col("session_id").cast("string").alias("session__"), "fold")
+    joined = own.withColumn("session__", session).join(known, "session__", "left").drop("session__")
+    return joined.withColumn("fold", F.when(F.assert_true(F.col("fold").isNotNull(), F.lit("a session has no fold")).isNull(), F.col("fold")))
+
+
+def out_of_order(rows: DataFrame, place: str = "place", key: str = "key") -> DataFrame:
+    """Places of rows whose session and turn come before those of the row ahead, session by session."""
+    session, turn = split_key(F.col(key))
+    own = rows.select(place, session.alias("session__"), turn.alias("turn__"))
+    before = F.lag("turn__").over(Window.partitionBy("session__").orderBy(place))
+    return own.withColumn("before__", before).filter("before__ >= turn__").select(place)
+
+
 def positive_rows(candidates: DataFrame, turns: DataFrame) -> DataFrame:
     """Candidates of the rows whose own track is among them."""
     hit = candidates.join(turns.select(*ROW, "track_id"), [*ROW, "track_id"], "left_semi").select(*ROW).distinct()

@@ -72,6 +72,35 @@ def check_parity(configs: list[dict]) -> None:
         raise BrokenProtocol("settings differ in their sources, caps or least scores")
 
 
+def split_name(manifest: dict, path: str) -> str:
+    """The split that a manifest names, else the name of its folder."""
+    return str(manifest.get("split") or path.rstrip("/").rsplit("/", 1)[-1])
+
+
+def check_keys(expected: list[str], found: list[str]) -> None:
+    """Two artifacts hold the same keys in the same order."""
+    for i, (a, b) in enumerate(zip(expected, found)):
+        if a != b:
+            raise BrokenProtocol(f"row {i} is {b!r} where {a!r} was expected")
+    if len(expected) != len(found):
+        raise BrokenProtocol(f"{len(found)} rows where {len(expected)} were expected")
+
+
+def source_path(root: str, source: dict, target: str) -> str:
+    """Where a source of the union lies: its own path for the target, else by component, configuration and mode, which the target sets by default."""
+    paths = source.get("paths") or {}
+    if target in paths:
+        return paths[target]
+    mode = source.get("mode") or ("oof" if target == "devset" and resolve(source["name"], source).out_of_fold else "full")
+    return f"{root}/{source.get('stage', 'retriever')}/{source['name']}/{source.get('config', 'default')}/{mode}/{target}"
+
+
+def decorated(source: dict, union: dict) -> SourcePolicy:
+    """A source's policy with the cap, least score and score field that the union's settings give it."""
+    own = next((s for s in union.get("sources", []) if s.get("name") == source["name"]), {})
+    return resolve(source["name"], source, own)
+
+
 def width(setting: str | int | None, default: int = 500) -> int:
     """Candidates a reranker takes per row: all, full and none mean every one, as 0."""
     if setting is None:

@@ -19,6 +19,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import store
 from tessera.operators.turns import ROW
 
 
@@ -76,7 +77,12 @@ def _replace(path: Path, write) -> None:
 
 
 def write_json(document, path: str) -> None:
-    _replace(Path(path), lambda name: Path(name).write_text(json.dumps(document, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8"))
+    """One JSON document, on any store that Spark knows."""
+    text = json.dumps(document, ensure_ascii=False, indent=1, sort_keys=True)
+    if store.is_remote(path):
+        store.write_text(path, text)
+    else:
+        _replace(Path(store.local(path)), lambda name: Path(name).write_text(text, encoding="utf-8"))
 
 
 def zip_records(records: Iterable[dict], path: str, member: str = "prediction.json") -> None:
@@ -108,11 +114,11 @@ def artifact_path(root: str, stage: str, name: str, config: str, mode: str, targ
 
 
 def file_hash(path: str) -> dict:
+    """Name, SHA-256 and size of one file, on any store that Spark knows."""
     digest, size = hashlib.sha256(), 0
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-            size += len(block)
+    for block in store.blocks(path):
+        digest.update(block)
+        size += len(block)
     return {"path": os.path.basename(path), "sha256": digest.hexdigest(), "bytes": size}
 
 
@@ -124,7 +130,7 @@ def write_artifact(df: DataFrame, path: str, manifest: dict, partition_by: tuple
 
 def is_complete(path: str, files: tuple[str, ...] = ("table",)) -> bool:
     """Whether the manifest and all files named are there."""
-    return all((Path(path) / f).exists() for f in ("manifest.json", *files))
+    return all(store.exists(f"{path}/{f}") for f in ("manifest.json", *files))
 
 
 def resume(spark: SparkSession, path: str, build, manifest: dict) -> DataFrame:
@@ -143,6 +149,19 @@ def cached_vectors(examples: DataFrame, cache: DataFrame | None, key: str, encod
     return held.unionByName(encode(missing))
 
 
+def valid_vectors(cache: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of a cache that may be used: a vector of the size, without nulls, NaN or infinite values; of a key that is there twice, one."""
+    whole = (F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return cache.filter(F.col("vector").isNotNull() & whole).dropDuplicates([key])
+
+
+def refreshed_cache(examples: DataFrame, cache: DataFrame, key: str, place: str, size: int, encode, path: str) -> DataFrame:
+    """The cache written anew for the examples, in their order: valid vectors kept, the others encoded."""
+    out = cached_vectors(examples, valid_vectors(cache, key, size), key, encode)
+    out.select(key, place, "vector").orderBy(place).write.mode("overwrite").parquet(path)
+    return examples.sparkSession.read.parquet(path)
+
+
 # -- predictions --------------------------------------------------------------------------------------
 
 #: The fields of a prediction.

@@ -1,9 +1,11 @@
-"""Tables that a plan uses several times, written once in the folder that driver and executors share."""
+"""Files on any store that Spark knows, and tables that a plan uses several times, written once in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,50 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# -- single files -----------------------------------------------------------------------------------------
+
+
+def local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+def is_remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
+def _opened(path: str) -> tuple:
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(path: str) -> bool:
+    if not is_remote(path):
+        return os.path.exists(local(path))
+    files, target = _opened(path)
+    return files.exists(target)
+
+
+def write_text(path: str, text: str) -> None:
+    """A small file under another name, then renamed."""
+    files, target = _opened(path)
+    part = target.suffix(f".{uuid.uuid4().hex}")
+    out = files.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(target, False)
+    files.rename(part, target)
+
+
+def blocks(path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file."""
+    if not is_remote(path):
+        with open(local(path), "rb") as f:
+            while block := f.read(size):
+                yield block
+        return
+    rows = SparkSession.active().read.format("binaryFile").load(path).select("content")  # one file of a run: a manifest or a report
+    for row in rows.toLocalIterator():
+        yield bytes(row["content"])

@@ -418,3 +418,94 @@ def test_a_table_is_not_written_to_one_machine_of_several(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         store.shared_dir(Elsewhere)
     assert store.written(spark.range(3), "test").count() == 3
+
+
+def test_paired_sides_and_map_artifact(spark, tmp_path):
+    from tessera.operators import idmap
+
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x")], "pair long, item string")
+    idmap.check_sides(a, a)
+    with pytest.raises(idmap.UnequalSides, match="pair 2"):
+        idmap.check_sides(a, a.filter("pair = 1"))
+    pairs = spark.createDataFrame([("x", 1, 3), ("y", 2, 1)], "external string, track long, n long")
+    idmap.map_artifact(pairs, str(tmp_path / "map"), {"source": "s"})
+    assert tables.is_complete(str(tmp_path / "map")) and tables.id_map(spark, str(tmp_path / "map/table")).count() == 2
+    with pytest.raises(idmap.UnequalSides):
+        idmap.map_artifact(pairs.union(spark.createDataFrame([("x", 2, 1)], pairs.schema)), str(tmp_path / "no"), {})
+
+
+def test_artifact_slices(spark):
+    rows = spark.createDataFrame([("a:s:1:1", 0), ("a:s:1:2", 1), ("b:s:1:1", 2)], "key string, place int")
+    folds = spark.createDataFrame([("a", "s:1", 3)], "source_split string, session_id string, fold int")
+    assert sorted((r["key"], r["place"], r["fold"]) for r in turns.slice_artifact(rows, "a", folds).collect()) == [("s:1:1", 0, 3), ("s:1:2", 1, 3)]
+    with pytest.raises(Exception, match="has no fold"):
+        turns.slice_artifact(rows, "b", folds).collect()
+    own = spark.createDataFrame([("s:1:1", 0), ("s:1:3", 1), ("s:1:2", 2)], "key string, place int")
+    assert [r["place"] for r in turns.out_of_order(own).collect()] == [2] and turns.out_of_order(own.filter("place < 2")).count() == 0
+
+
+def test_paths_names_and_keys():
+    assert policy.split_name({"split": "dev"}, "/a/b") == "dev" and policy.split_name({}, "/a/b/") == "b"
+    policy.check_keys(["a", "b"], ["a", "b"])
+    for found in (["a", "c"], ["a"], ["a", "b", "c"]):
+        with pytest.raises(policy.BrokenProtocol):
+            policy.check_keys(["a", "b"], found)
+    source = {"name": "x", "config": "c", "paths": {"blind": "/own"}}
+    assert policy.source_path("/r", source, "blind") == "/own" and policy.source_path("/r", source, "devset") == "/r/retriever/x/c/oof/devset"
+    assert policy.source_path("/r", {"name": "x", "out_of_fold": False}, "devset") == "/r/retriever/x/default/full/devset"
+    own = policy.decorated({"name": "x", "max_candidates": 9}, {"sources": [{"name": "x", "max_candidates": 5, "min_score": 2.0, "score_field": "tfidf"}]})
+    assert (own.max_candidates, own.min_score, own.score_field) == (5, 2.0, "tfidf")
+
+
+def test_cache_is_rewritten_in_order(spark, tmp_path):
+    cache = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", [float("nan"), 1.0]), ("d", None), ("a", [1.0, 2.0])], "key string, vector array<double>")
+    rows = spark.createDataFrame([("d", 0), ("a", 1), ("c", 2)], "key string, place int")
+    out = tables.refreshed_cache(rows, cache, "key", "place", 2, lambda df: df.withColumn("vector", F.array(F.lit(9.0), F.lit(9.0))), str(tmp_path / "cache"))
+    assert {r["key"]: r["vector"] for r in out.collect()} == {"a": [1.0, 2.0], "c": [9.0, 9.0], "d": [9.0, 9.0]}
+
+
+def test_records_prompts_and_fallbacks(spark):
+    ranked = spark.createDataFrame([(1, 1, 5, 2), (1, 1, 6, 1), (1, 1, 7, 3)], "session_id long, turn int, track_id long, rank int")
+    known = spark.createDataFrame([(5, "five"), (6, "six")], "track_id long, title string")
+    assert [(t["track_id"], t["title"]) for t in respond.ranked_records(ranked, known, 2).first()["tracks"]] == [(6, "six"), (5, "five")]
+    df = spark.createDataFrame([(" ", "query"), ("text", "query")], "p string, q string")
+    assert [r["vector"] for r in respond.encode(df, "p", lambda xs: [[float(len(x))] for x in xs], fallback="q").collect()] == [[5.0], [4.0]]
+    who = spark.createDataFrame([(None,), ((None, 3),)], "u struct<name:string,age:int>")
+    assert [tuple(r) for r in who.select(*tx.present(F.col("u"), "name", "age").values()).collect()] == [("", ""), ("", "3")]
+    text = F.lit("x")
+    row = df.limit(1).select(tx.prompt(text, F.lit(""), F.lit(None).cast("string"), text, tx.progress_text(F.lit(2), F.lit(8))).alias("a")).first()
+    assert row["a"] == "[goal]\nx\n\n[progress]\nturn 2 of 8\n\n[dialogue]\nx"
+
+
+def test_metadata_extension_has_eighteen_columns(spark, sf):
+    from tessera.operators import features
+    from tessera.plans import candidates, fixtures
+
+    out = features.metadata_extension(candidates._transition(spark, sf), fixtures.hist(spark, sf), fixtures.catalog(spark, sf), F.lit(30), F.lit("fr"))
+    assert len(out.columns) == 3 + 18 and out.filter(" OR ".join(f"{c} <> 0" for c in features.NEUTRAL)).count() == 0
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from tessera import __main__ as command
+
+    path = str(tmp_path / "out")
+    command.main(["tag_vocabulary", "--tables", sf, "--out", path])
+    assert tables.is_complete(path) and spark.read.parquet(f"{path}/table").count() > 0
+    command.main(["tag_vocabulary", "--tables", sf, "--out", path])
+    assert "is complete" in capsys.readouterr().out
+    df = spark.createDataFrame([("a", None, 1), (None, "external", 2)], "gold string, kind string, external int")
+    assert command.select(df, "public", False).count() == command.select(df, "inference", False).count() == 1
+    assert command.select(df.drop("kind"), "both", True).agg(F.sum("external")).first()[0] == 0 and command.select(df.fillna("x", ["kind"]), "both", True).count() == 1
+
+
+def test_files_through_sparks_stores(spark, tmp_path, monkeypatch):
+    """The path of other stores than the local one, on the local one."""
+    from tessera import store
+
+    monkeypatch.setattr(store, "is_remote", lambda path: True)
+    path = f"file://{tmp_path}/deep/m.json"
+    assert not store.exists(path)
+    tables.write_json({"a": 1}, path)
+    tables.write_json({"a": "é"}, path)
+    assert store.exists(path) and json.loads((tmp_path / "deep/m.json").read_text()) == {"a": "é"}
+    assert tables.file_hash(path)["sha256"] == hashlib.sha256((tmp_path / "deep/m.json").read_bytes()).hexdigest()

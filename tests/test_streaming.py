@@ -1,3 +1,5 @@
+import pandas as pd
+
 from tessera.streaming import sessions
 
 
@@ -28,4 +30,10 @@ def test_transitions(spark, sf, tmp_path):
 def test_sessions(spark, sf, tmp_path):
     events, stream = source(spark, sf, tmp_path)
     out = run(spark, sessions.sessions(stream, "ts", "user_id"), "sessions")
-    assert 0 < out.agg({"n": "sum"}).first()[0] <= events.count()
+    # what ended more than the gap and the lateness before the last event has been given out, whole
+    done = events.selectExpr("user_id", "CAST(ts AS timestamp) AS t").toPandas().sort_values(["user_id", "t"])
+    new = (done["user_id"] != done["user_id"].shift()) | (done["t"].diff() > pd.Timedelta("30 minutes"))
+    last = done.groupby(new.cumsum()).agg(user=("user_id", "first"), t=("t", "max"), n=("t", "size"))
+    want = last[last["t"] + pd.Timedelta("40 minutes") < done["t"].max()]
+    got = out.toPandas()
+    assert len(want) and sorted(zip(got["user_id"], got["n"])) == sorted(zip(want["user"], want["n"]))
