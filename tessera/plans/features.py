@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import quantised
 from tessera.operators import features, rerank, turns, union
+from tessera.operators.lexical import STOP_WORDS
 from tessera.operators.turns import ROW
 from tessera.plans import fixtures as fx
 from tessera.plans.candidates import _transition, long
@@ -70,23 +71,28 @@ def hier_popularity(spark, d):
     return features.hierarchy(fx.catalog(spark, d))
 
 
-_TOKENS = r"""tk AS (SELECT DISTINCT track_id, unnest(regexp_split_to_array(lower(array_to_string(tags, ' ')), '[^\p{L}\p{N}]+')) AS token FROM catalog), tk2 AS (SELECT * FROM tk WHERE length(token) >= 2), vo AS (SELECT token, count(*) AS df FROM tk2 GROUP BY ALL)"""
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TOKENS = r"""tk AS (SELECT DISTINCT track_id, unnest(regexp_split_to_array(lower(array_to_string(tags, ' ')), '[^\p{L}\p{N}]+')) AS token FROM catalog), tk2 AS (SELECT * FROM tk WHERE length(token) >= 2 AND token NOT IN (""" + _STOP + """)), vo AS (SELECT token, count(*) AS df FROM tk2 GROUP BY ALL)"""
 _PPMI = f"""pp AS (SELECT a.token, b.token AS other, count(*) AS n FROM tk2 a JOIN tk2 b ON a.track_id = b.track_id AND a.token <> b.token GROUP BY ALL),
     pv AS (SELECT pp.token, pp.other, o.df AS odf, ln(n * (SELECT count(*) FROM part)::DOUBLE / (v.df * o.df)) AS value FROM pp JOIN vo v ON v.token = pp.token JOIN vo o ON o.token = pp.other),
     pn AS (SELECT token, other, value, row_number() OVER (PARTITION BY token ORDER BY {q('value', '1e7')} DESC, odf DESC, other) AS place FROM pv WHERE {q('value', '1e7')} > 0 QUALIFY place <= 20)"""
 
 
+def _tag_tokens(c):
+    return features.tag_tokens(c, stop=STOP_WORDS)
+
+
 @query(sql("catalog", f"WITH {_TOKENS}, {_PPMI} SELECT token, other, {q('value')} AS value, place FROM pn"))
 def tag_ppmi_neighbors(spark, d):
     c = fx.catalog(spark, d)
-    tokens, vocabulary = features.tag_tokens(c)
+    tokens, vocabulary = _tag_tokens(c)
     near = features.ppmi(tokens, vocabulary, c.count())
     return near.withColumn("value", quantised(F.col("value")))
 
 
 @query(sql("catalog", f"WITH {_TOKENS} SELECT token, df FROM vo"))
 def tag_vocabulary(spark, d):
-    return features.tag_tokens(fx.catalog(spark, d))[1]
+    return _tag_tokens(fx.catalog(spark, d))[1]
 
 
 @query(sql("trans_top hist catalog", f"""WITH {_TOKENS}, {_PPMI}, idf AS (SELECT token, ln((1.0 + (SELECT count(*) FROM part)::DOUBLE) / (1.0 + df)) + 1.0 AS idf FROM vo), nm AS (SELECT track_id, sqrt(sum(idf * idf)) AS norm, count(*) AS k FROM tk2 JOIN idf USING (token) GROUP BY ALL),
@@ -96,20 +102,20 @@ def tag_vocabulary(spark, d):
     SELECT {_ROW}, overlap, {q('overlap / (k + coalesce(n_seen, 0) - overlap)')} AS jaccard, {q('coalesce(cos / hn, 0.0)')} AS cosine, neighbours, {q('ps')} AS ppmi_sum, {q('pm')} AS ppmi_max FROM s LEFT JOIN br USING (session_id, turn)"""))
 def tag_chain_features(spark, d):
     c = fx.catalog(spark, d)
-    tokens, vocabulary = features.tag_tokens(c)
+    tokens, vocabulary = _tag_tokens(c)
     return features.tag_chain(_successors(spark, d), fx.hist(spark, d), tokens, vocabulary, features.ppmi(tokens, vocabulary, c.count()), c.count())
 
 
 @query(sql("trans_top hist catalog", f"WITH {_TOKENS}, se AS (SELECT session_id, turn, token, count(*) AS n FROM hist JOIN tk2 USING (track_id) GROUP BY ALL) SELECT c.session_id, c.turn, c.track_id, coalesce(sum(n), 0)::BIGINT AS tag_overlap FROM trans_top c JOIN tk2 USING (track_id) LEFT JOIN se USING (session_id, turn, token) GROUP BY ALL"))
 def tag_overlap_history(spark, d):
-    return features.tag_overlap_history(_successors(spark, d), fx.hist(spark, d), features.tag_tokens(fx.catalog(spark, d))[0])
+    return features.tag_overlap_history(_successors(spark, d), fx.hist(spark, d), _tag_tokens(fx.catalog(spark, d))[0])
 
 
 @query(sql("turns catalog", f"WITH {_TOKENS}, tx AS (SELECT session_id, lower(o_orderpriority || ' small red ' || o_orderstatus) AS t FROM orders JOIN (SELECT DISTINCT session_id FROM turns) ON session_id = o_orderkey), w AS (SELECT DISTINCT session_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS token FROM tx), c AS (SELECT DISTINCT session_id, track_id FROM turns) SELECT c.session_id, c.track_id, count(w.token) AS text_overlap FROM c JOIN tk2 USING (track_id) LEFT JOIN w USING (session_id, token) GROUP BY ALL"))
 def tag_overlap_text(spark, d):
     texts = scan(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"]).select(F.col("o_orderkey").alias("session_id"), F.concat_ws(" ", "o_orderpriority", F.lit("small red"), "o_orderstatus").alias("t"))
     candidates = fx.turns(spark, d).select("session_id", "track_id").distinct()
-    return features.tag_overlap_text(candidates, texts, features.tag_tokens(fx.catalog(spark, d))[0], ["session_id"], "t")
+    return features.tag_overlap_text(candidates, texts, _tag_tokens(fx.catalog(spark, d))[0], ["session_id"], "t")
 
 
 @query(f"""WITH h AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS turn FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(e[i]) AS m FROM (SELECT label, e, unnest(range(1, len(e) + 1)) AS i FROM h WHERE turn <= 5) GROUP BY ALL) GROUP BY ALL)
