@@ -35,3 +35,24 @@ def test_unknown_tracks_of_predictions_are_found(spark):
     lists = [(1, 2, 7, list(range(20)), "ok"), (2, 2, 7, [*range(18), 99, None], "ok")]
     own = spark.createDataFrame(lists, "session_id long, turn_number int, user_id long, predicted_track_ids array<long>, predicted_response string")
     assert [tuple(r) for r in tables.prediction_faults(own, target, catalog).collect()] == [(2, 2, "unknown track")]
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_entity_lists_are_the_joins(spark, monkeypatch, last):
+    from tessera.operators import retrieve, turns
+
+    catalog = spark.createDataFrame([(i, [f"a{i % 7}"]) for i in range(200)], "track_id long, artists array<string>")
+    t = spark.createDataFrame([(s, i, (s * 13 + i * 29) % 210) for s in range(20) for i in range(1, 6)], "session_id long, turn int, track_id long")
+    want = (retrieve.last_entity if last else retrieve.history_entity)(turns.history(t), catalog, "artists", 5, single=True)
+    lists = retrieve.entity_lists(t, catalog, "artists", 5, last)
+    key = lambda df: sorted(tuple(r) for r in df.select("session_id", "turn", "track_id", "score", "rank").collect())
+    assert key(retrieve.listed(lists, "track_id", "score", "rank")) == key(want)
+    plan = lists._jdf.queryExecution().sparkPlan().toString()
+    assert "array_except" in plan and plan.split("array_except")[0].count("SortMergeJoin") == 0
+    monkeypatch.setattr(retrieve, "SENT", 10)
+    assert retrieve.entity_lists(t, catalog, "artists", 5, last) is None
+
+
+def test_override_makes_no_replaced_source(spark, sf):
+    plan = registry.QUERIES["source_override"](spark, sf)._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
+    assert "Window" not in plan and "Aggregate" not in plan
