@@ -56,3 +56,45 @@ def test_entity_lists_are_the_joins(spark, monkeypatch, last):
 def test_override_makes_no_replaced_source(spark, sf):
     plan = registry.QUERIES["source_override"](spark, sf)._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
     assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_packed_neighbours_come_back():
+    import numpy as np
+
+    from tessera.operators import neighbours
+
+    rnd = np.random.default_rng(3)
+    for size, most, kinds in ((1, 5, 1), (300, 40_000, 5), (300, 1 << 40, 3), (1000, 1000, 2)):
+        own = np.unique(np.stack([rnd.integers(-5, most, size), rnd.integers(-1, kinds, size)]), axis=1)
+        n = rnd.integers(1, 70_000 if size > 1 else 2, own.shape[1])
+        got = neighbours.unpack(neighbours.pack(own[0], own[1], n))
+        assert sorted(zip(*[x.tolist() for x in got])) == sorted(zip(own[0].tolist(), own[1].tolist(), n.tolist()))
+
+
+def test_neighbours_of_long_sessions_and_small_batches(spark, monkeypatch):
+    """Sums turn by turn, for sessions too long to spread, are those of the spread; a task's batches change nothing."""
+    import random
+
+    import numpy as np
+
+    from tessera.operators import neighbours
+
+    rnd = random.Random(9)
+    near = {a: neighbours.pack(*(np.array(x) for x in zip(*[(b, b % 3, 1 + (a * b) % 4) for b in range(40) if (a + b) % 3]))) for a in range(40)}
+    sizes = [1, 2, 9, 30, 1, 4]
+    ends = np.cumsum([0, *sizes])
+    track = np.array([rnd.randrange(40) for _ in range(ends[-1])])
+    turn, kinds = np.concatenate([np.arange(n) for n in sizes]), np.repeat([0, 1, 2, 0, 1, 2], sizes)
+    lists = [None if rnd.random() < 0.1 else near[a] for a in track.tolist()]
+    show = lambda r: sorted(zip(*[x.tolist() for x in r]))
+    whole = show(neighbours._sessions(turn, track, kinds, lists, ends, 5))
+    assert len(whole) > 100
+    for most in (1, 300):
+        monkeypatch.setattr(neighbours, "ENTRIES", most)
+        assert show(neighbours._sessions(turn, track, kinds, lists, ends, 5)) == whole
+
+
+@pytest.mark.parametrize("name", ["cooc_track_topk", "cooc_parts_topk", "ndcg_row_mean", "catalog_diversity"])
+def test_neighbours_are_dealt_as_lists(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "cooc_fold" not in plan
