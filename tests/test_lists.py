@@ -98,3 +98,22 @@ def test_neighbours_of_long_sessions_and_small_batches(spark, monkeypatch):
 def test_neighbours_are_dealt_as_lists(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("MapInArrow") == 2 and "cooc_fold" not in plan
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    asked = []
+    plain = blocks.met
+    monkeypatch.setattr(blocks, "met", lambda q, *rest: asked.append(q.count()) or plain(q, *rest))
+    queries = spark.createDataFrame([(i, t, 1.0) for i in range(50) for t in (["x", "y"] if i % 2 else ["y"])], "id long, term string, w double")
+    rows = spark.createDataFrame([(i, t, 1.0 + i) for i in range(9) for t in ("x", "y")], "id long, term string, w double")
+    got = blocks.by_terms(queries, rows, 3, "id", "id").collect()
+    assert asked == [2] and len(got) == 150
+    assert {(r["r__id"], r["rank"]) for r in got} == {(8, 1), (7, 2), (6, 3)} and {r["score"] for r in got if r["q__id"] % 2} == {18.0, 16.0, 14.0}
+
+
+@pytest.mark.parametrize("name", ["leave_one_out", "family_complementarity", "error_decomposition", "ablation_delta"])
+def test_hits_are_found_in_lists(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "explode(top" not in plan and "position" not in plan.replace("array_position", "")
