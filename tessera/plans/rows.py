@@ -73,12 +73,16 @@ def played_set(spark, d):
 
 @query(sql("hist catalog", "SELECT session_id, turn, list_sort(list(DISTINCT artist)) AS artists, list_sort(list(DISTINCT album)) AS albums, list(track_id ORDER BY h_turn) AS tracks, count(*) AS n_history FROM hist JOIN catalog USING (track_id) GROUP BY ALL"))
 def history_state(spark, d):
-    return turns.history_state(fx.hist(spark, d), fx.catalog(spark, d))
+    rows = turns.told(fx.turns(spark, d), fx.catalog(spark, d), "artists", "albums")
+    every = lambda n: F.sort_array(F.array_distinct(F.flatten(f"past.{n}"))).alias(n)
+    return rows.select(*turns.ROW, every("artists"), every("albums"), F.col("past.track_id").alias("tracks"), F.size("past").cast("long").alias("n_history"))
 
 
 @query(sql("hist catalog", r"SELECT session_id, turn, trim(regexp_replace(lower(artist), '[^\p{L}\p{N}_]+', ' ', 'g')) AS name, count(*) AS plays FROM hist JOIN catalog USING (track_id) GROUP BY ALL"))
 def history_name_counts(spark, d):
-    return turns.history_names(fx.hist(spark, d), fx.catalog(spark, d))
+    c = fx.catalog(spark, d).withColumn("names", F.transform("artists", norm_name))
+    each = turns.told(fx.turns(spark, d), c, "names").select(*turns.ROW, F.explode(F.flatten("past.names")).alias("name"))
+    return each.groupBy(*turns.ROW, "name").agg(F.count(F.lit(1)).alias("plays"))
 
 
 @query(sql("", """SELECT o_orderstatus AS source_split, session_id, turn, track_id, fold FROM (SELECT l_orderkey AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice)::INT AS turn, l_partkey AS track_id, l_orderkey % 5 AS fold FROM lineitem)

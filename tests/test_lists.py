@@ -117,3 +117,10 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
 def test_hits_are_found_in_lists(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "explode(top" not in plan and "position" not in plan.replace("array_position", "")
+
+
+@pytest.mark.parametrize("name", ["history_state", "history_name_counts", "history_pair_counts"])
+def test_histories_are_made_where_sessions_lie(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
+    spread = next(i for i, line in enumerate(plan) if "Generate explode(plays" in line)
+    assert not any("Exchange" in line for line in plan[:spread])
