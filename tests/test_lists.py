@@ -124,3 +124,26 @@ def test_histories_are_made_where_sessions_lie(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
     spread = next(i for i, line in enumerate(plan) if "Generate explode(plays" in line)
     assert not any("Exchange" in line for line in plan[:spread])
+
+
+def test_equal_rows_are_searched_once_where_some_are_skipped(spark, monkeypatch):
+    """Kinds of queries meet kinds of rows, whose ids come back in order; whole matrices score as posting lists do."""
+    import numpy as np
+    import pandas as pd
+
+    from tessera.operators import blocks
+
+    met = []
+    plain = blocks.met
+    monkeypatch.setattr(blocks, "met", lambda q, r, *rest, **more: met.append((q.count(), r.count())) or plain(q, r, *rest, **more))
+    queries = spark.createDataFrame([(i, t, 1.0) for i in range(40) for t in (["x", "y", f"n{i}"] if i % 2 else ["y"])], "id long, term string, w double")
+    rows = spark.createDataFrame([(i, t, 1.0 + i % 3) for i in range(30) for t in ("x", "y")], "id long, term string, w double")
+    skip = spark.createDataFrame([(i, 2 + 3 * j) for i in range(40) for j in range(i % 3)], "id long, doc long")
+    got = blocks.by_terms(queries, rows.withColumnRenamed("id", "doc"), 4, "id", "doc", skip)
+    assert {(r["q__id"], r["r__doc"], r["rank"]) for r in got.collect()} == {(i, 2 + 3 * (i % 3 + j), j + 1) for i in range(40) for j in range(4)}
+    assert met == [(2, 3)]
+    rnd = np.random.default_rng(1)
+    own, other = (pd.DataFrame({"t": [rnd.choice(30, 12, replace=False) for _ in range(n)], "w": [rnd.random(12) for _ in range(n)]}) for n in (300, 70))
+    whole = np.stack(list(blocks._totals(own, other)))
+    monkeypatch.setattr(blocks, "DENSE", 0)
+    assert np.allclose(whole, np.stack(list(blocks._totals(own, other))), rtol=0, atol=1e-12)
