@@ -147,3 +147,23 @@ def test_equal_rows_are_searched_once_where_some_are_skipped(spark, monkeypatch)
     whole = np.stack(list(blocks._totals(own, other)))
     monkeypatch.setattr(blocks, "DENSE", 0)
     assert np.allclose(whole, np.stack(list(blocks._totals(own, other))), rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_cooc_entity_lists_are_the_joins(spark, monkeypatch, weighted):
+    """Few entities, ties, unknown tracks, repeats and entities of one track; one batch or many."""
+    from tessera.operators import counts, entities, retrieve, turns
+
+    catalog = spark.createDataFrame([(i, [f"a{i % 7}" if i < 150 else f"b{i}"]) for i in range(200)], "track_id long, artists array<string>")
+    t = spark.createDataFrame([(s, i, (s * 13 + i * i * 29) % 210) for s in range(40) for i in range(1, 7)], "session_id long, turn int, track_id long")
+    pairs = counts.pairs(t.join(retrieve.members(catalog, "artists"), "track_id"), "entity")
+    key = lambda df: sorted(tuple(r) for r in df.select("session_id", "turn", "track_id", "score", "rank").collect())
+    want = key(retrieve.cooc_entities(turns.history(t), catalog, "artists", pairs, 9, weighted, single=True))
+    lists = retrieve.cooc_entity_lists(t, catalog, "artists", pairs, 9, weighted)
+    assert key(retrieve.listed(lists, "track_id", "score", "rank")) == want and len(want) > 500
+    plan = lists._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.split("MapInArrow")[0].count("Join") == 0
+    monkeypatch.setattr(entities, "CELLS", 1)
+    assert key(retrieve.listed(retrieve.cooc_entity_lists(t, catalog, "artists", pairs, 9, weighted), "track_id", "score", "rank")) == want
+    monkeypatch.setattr(retrieve, "PAIRS", 10)
+    assert retrieve.cooc_entity_lists(t, catalog, "artists", pairs, 9, weighted) is None
