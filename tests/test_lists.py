@@ -167,3 +167,10 @@ def test_cooc_entity_lists_are_the_joins(spark, monkeypatch, weighted):
     assert key(retrieve.listed(retrieve.cooc_entity_lists(t, catalog, "artists", pairs, 9, weighted), "track_id", "score", "rank")) == want
     monkeypatch.setattr(retrieve, "PAIRS", 10)
     assert retrieve.cooc_entity_lists(t, catalog, "artists", pairs, 9, weighted) is None
+
+
+def test_tags_meet_histories_in_lists(spark, sf):
+    """No candidate is dealt out, and nothing as long as the catalog is sent to all tasks."""
+    plan = registry.QUERIES["tag_chain_features"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    before = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and not any(x in before for x in ("Join", "Exchange", "Aggregate")) and plan.count("SortMergeJoin") >= 2
