@@ -174,3 +174,24 @@ def test_tags_meet_histories_in_lists(spark, sf):
     plan = registry.QUERIES["tag_chain_features"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     before = plan.split("MapInArrow")[0]
     assert "MapInArrow" in plan and not any(x in before for x in ("Join", "Exchange", "Aggregate")) and plan.count("SortMergeJoin") >= 2
+
+
+def test_candidates_of_rerankers_are_listed(spark, sf):
+    """The rows to fit and score are those of the union, made once; what scores them deals out nothing."""
+    from tessera.operators import features, rerank, union
+    from tessera.plans import candidates, fixtures
+    from tessera.plans import features as plans
+
+    fused = plans._fused(spark, sf)
+    p = union.provenance(candidates.long(spark, sf), plans._SOURCES)
+    filled = p.select("session_id", "turn", "track_id", *[F.coalesce(1.0 / F.col(f"{n}_rank"), F.lit(0.0)).alias(n) for n in plans._SOURCES])
+    want = features.labels(filled, fixtures.golds(spark, sf))
+    rows = plans._training(fused)
+    columns = ["session_id", "turn", "track_id", *plans._SOURCES, "label", "group_size"]
+    assert sorted(map(tuple, rows.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    model = rerank.fitted(rows, plans._SOURCES, sample_rows=20, trees=2, leaves=4)
+    best = rerank.best_listed(fused, model, plans._SOURCES, 5)
+    names = ["session_id", "turn", "track_id", "score", "rank"]
+    plain = rerank.ranked(rerank.scored(rows, model, plans._SOURCES).select(*names[:4]), 5)
+    assert sorted(map(tuple, best.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
