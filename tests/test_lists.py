@@ -195,3 +195,17 @@ def test_candidates_of_rerankers_are_listed(spark, sf):
     plain = rerank.ranked(rerank.scored(rows, model, plans._SOURCES).select(*names[:4]), 5)
     assert sorted(map(tuple, best.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
     assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_copied_for_their_tokens(spark, monkeypatch):
+    from tessera.operators import phrases
+
+    names = spark.createDataFrame([("red sun",), ("sun",), ("red",), ("old red sun",), ("",)], "name string")
+    texts = spark.createDataFrame([(1, "The old Red, SUN"), (2, "reds suns"), (3, None), (4, ""), (5, "red red sun sun")], "id long, text string")
+    found = phrases.phrase_matches(texts, "id", "text", names)
+    want = sorted([(1, "red sun"), (1, "sun"), (1, "red"), (1, "old red sun"), (5, "red"), (5, "sun"), (5, "red sun")])
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Generate"))
+    monkeypatch.setattr(phrases, "SENT", 5)
+    assert sorted(map(tuple, phrases.phrase_matches(texts, "id", "text", names).collect())) == want
